@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import (
     decontamination,
+    near_dedup,
     packing,
     quality_model,
     quality_rules,
     sharding,
+    substring_dedup,
+    suffix_dedup,
     toxicity,
 )
 
@@ -27,7 +30,11 @@ def queries() -> dict:
         "op3_toxicity": toxicity.query,
         "op4_decontamination": decontamination.query,
         "op5_sharding": sharding.query,
+        "op6_near_dedup": near_dedup.query,
+        "op7_substring_dedup": substring_dedup.query,
+        "op9_suffix_dedup": suffix_dedup.query,
         "op10_quality_model": quality_model.query,
+        "pipeline": _pipeline,
     }
 
 
@@ -35,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE,
         "op4_decontamination": decontamination.ORACLE,
+        "op7_substring_dedup": substring_dedup.ORACLE,
     }
