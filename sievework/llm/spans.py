@@ -37,7 +37,7 @@ from sievework.llm.store import stored
 
 BLOCK_BYTES = 2 << 20
 #: Text bytes whose anchors, or cut-out segments, make one bucket or shard.
-BUCKET_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+BUCKET_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
 KEY_BITS = 47
 NO_ID = np.iinfo(np.int64).max  # a null id counts as the largest
 
@@ -145,7 +145,7 @@ class Units:
         w, k = self.kind.window, self.kind.gram
         if len(self.hash) < w:
             return np.zeros(0, tx.U64), *(np.zeros(0, np.int64),) * 3
-        low = tx.sliding_min(tx.grams(self.hash, k), w - k + 1) >> tx.U64(64 - KEY_BITS)
+        low = tx.sliding_min(tx.grams(self.hash, k), w - k + 1)
         doc = tx.owner(self.first)
         inside = doc[: len(low)] == doc[w - 1 :]
         begin = inside.copy()
@@ -154,7 +154,8 @@ class Units:
         at = np.flatnonzero(begin)
         past = np.flatnonzero(~inside)
         stop = np.minimum(np.append(at[1:], len(low)), np.append(past, len(low))[np.searchsorted(past, at)])
-        return low[at], doc[at], at, stop - at
+        # smallest hashes lie near 0; mixed, the keys are even again
+        return tx.mix(low[at]) >> tx.U64(64 - KEY_BITS), doc[at], at, stop - at
 
     def content(self, first: int, count: int) -> bytes:
         """The bytes of `count` units; words are joined by one space."""
@@ -365,6 +366,7 @@ def repeated(docs: DataFrame, kind: Kind, carry: bool = False) -> DataFrame:
     buckets, shards = max(1, total // BUCKET_BYTES), max(1, total // SHARD_BYTES)
     rows = base.select("block", F.posexplode(F.arrays_zip("ids", "digests"))).select("block", F.col("pos").alias("at"), F.col("col.ids").alias("id"), F.col("col.digests").alias("digest"))
     least = rows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least")
+    least = stored(least, "copied")  # read back, the join below can split the rows of a frequent digest
     copies = stored(rows.join(least, "digest").where("id > least").groupBy("block").agg(F.collect_list("at").alias("copies")), "copies")
 
     sent = base.select("block", "ids", "sizes", "data").mapInArrow(_anchors(kind, buckets), ANCHORS)
