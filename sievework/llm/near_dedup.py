@@ -7,8 +7,8 @@ coordinate is filled and agrees between two sets with their Jaccard similarity,
 ROWS coordinates find candidates: at similarity 0.85 a pair shares no band with probability below 1e-10.
 
 Equal sets are one class, which its smallest id represents.  In a band's bucket the smallest representative is paired
-with all others; confirmed pairs make components; only where members of a bucket lie in different components are the
-remaining pairs across them looked at, in blocks, their sketches first.  All links are confirmed on full sets.
+with all others; confirmed pairs make components.  The pairs also span clusters, and where a cluster has several
+components, pairs across them are looked at in blocks, their sketches first.  All links are confirmed on full sets.
 
 Defined cases: a null or empty text has no shingle and is linked with nothing; fewer than 5 words are one shingle;
 repeated rows fall into one class; an empty table gives an empty result; other columns are ignored.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import textops as tx
 from sievework.llm.graph import components, only
+from sievework.llm.spans import groups
 from sievework.llm.store import stored
 
 SHINGLE = 5
@@ -33,8 +34,8 @@ BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 #: Sketches of sets with similarity 0.85 agree in fewer coordinates with probability below 1e-9.
 AGREE = 80
-#: Buckets up to this size are paired by a join, larger ones in blocks of about this many members.
-BLOCK = 256
+#: Members of a cluster in a block, about.
+BLOCK = 512
 _EMPTY = tx.U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -110,67 +111,68 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield kept
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    pairs = stored(pairs, "near-pairs")
+def full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, members): the whole shingle sets of the documents that occur in pairs."""
     ids = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "near-ids")
-    # rows with equal ids: the class representative's own text counts, any one of equal rows
     texts = only(docs.select("doc_id", "text"), ids)
-    sets = stored(texts.mapInArrow(_sets, "id long, members binary"), "near-sets")
+    return stored(texts.mapInArrow(_sets, "id long, members binary"), "near-sets")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
     right = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
     return stored(pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "near-links")
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, half, member, component, sketch) sorted by group: pairs across components whose sketches agree."""
-    rest = None
-    for batch in [*batches, None]:
-        if batch is not None:
-            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            group = np.asarray(rest.column("group"))
-            done = int(np.searchsorted(group != group[-1], False, "left")) if (group == group[-1]).all() else int(np.flatnonzero(group != group[-1])[-1]) + 1
-            if (group == group[-1]).all():
-                continue
-        elif rest is None:
-            return
-        else:
-            done = rest.num_rows
-        part, rest = rest.slice(0, done).combine_chunks(), rest.slice(done)
-        group = np.asarray(part.column("group"))
-        cuts = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]))
-        member, comp, half = (np.asarray(part.column(c)) for c in ("member", "component", "half"))
+    """Two blocks of a cluster (side 0 and 1) at a time: confirmed links between different components.  A link makes
+    one component of two, so a block gives fewer links than it has members."""
+    for _, held in groups(batches, "block"):
+        part = pa.Table.from_batches(held).combine_chunks()
+        side, member, main = (np.asarray(part.column(c)) for c in ("side", "member", "main"))
+        root = np.unique(np.asarray(part.column("component")), return_inverse=True)[1]
         sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        a, b = [], []
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            own = np.arange(i, j)
-            one, two = own[half[i:j] == 0], own[half[i:j] == 1]
-            if not len(two):
-                two = one
-            for k in one:
-                other = two[(comp[two] != comp[k]) & (member[two] != member[k])]
-                other = other[(sketch[other] == sketch[k]).sum(1) >= AGREE]
-                a.append(np.minimum(member[k], member[other]))
-                b.append(np.maximum(member[k], member[other]))
-        if a and len(x := np.concatenate(a)):
-            pairs = np.unique(np.stack([x, np.concatenate(b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
-def remaining(buckets: DataFrame, comps: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Candidate pairs across the components that meet in a bucket."""
-    known = buckets.join(comps, buckets["member"] == comps["node"], "left").select("bucket", "member", F.coalesce("component", "member").alias("component"))
-    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "n")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    rows = known.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    # block i meets each block j once, in a group of its own
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), (F.col("mine") > F.col("other")).cast("int").alias("half"), "member", "component"
-    )
-    rows = rows.join(sketched.select(F.col("doc_id").alias("member"), "sketch"), "member")
-    rows = rows.repartition("group").sortWithinPartitions("group").select("group", "half", "member", "component", "sketch")
-    return rows.mapInArrow(_across, "a long, b long").distinct()
+        sets = [np.frombuffer(x, tx.U64) for x in part.column("members").to_pylist()]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        other, links = np.flatnonzero(side == 1), []
+        for i in np.flatnonzero(side == 0).tolist():
+            # of two members outside the main component, the smaller one looks at the larger one
+            near = other[(root[other] != root[i]) & (main[other] | (member[other] > member[i]))]
+            near = near[(100 * size[near] >= THRESHOLD * size[i]) & (100 * size[i] >= THRESHOLD * size[near])]
+            agree = (sketch[near] == sketch[i]).sum(1)
+            for j in near[np.argsort(-agree, kind="stable")[: int((agree >= AGREE).sum())]].tolist():
+                if root[i] == root[j]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= THRESHOLD * (size[i] + size[j] - both):
+                    links.append((min(member[i], member[j]), max(member[i], member[j])))
+                    root[root == root[j]] = root[i]
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def across(pairs: DataFrame, comps: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components whose members meet in buckets.  The pairs span clusters that hold every candidate.  A
+    cluster's members outside its largest component are dealt to blocks, and so are all its members; each block of the
+    former meets each of the latter in a group of bounded size."""
+    clusters = components(pairs).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
+    known = clusters.join(comps, clusters["member"] == comps["node"], "left").select("cluster", "member", F.coalesce("component", "member").alias("component"))
+    sizes = known.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    few = lambda c: F.ceil(c / BLOCK).cast("int")
+    mixed = mixed.select("cluster", F.col("top.component").alias("largest"), few(F.col("all") - F.col("top.n")).alias("outer"), few(F.col("all")).alias("every"))
+    rows = known.join(mixed, "cluster").withColumn("main", F.col("component") == F.col("largest"))
+    rows = rows.join(sketched.select(F.col("doc_id").alias("member"), "sketch"), "member").join(sets.withColumnRenamed("id", "member"), "member")
+    dealt = lambda n, salt: F.pmod(F.xxhash64("member", F.lit(salt)), F.col(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = ["side", "member", "main", "component", "sketch", "members"]
+    left = rows.where("not main").withColumn("side", F.lit(0)).withColumn("k", dealt("outer", 1)).withColumn("r", numbers("every"))
+    right = rows.withColumn("side", F.lit(1)).withColumn("r", dealt("every", 2)).withColumn("k", numbers("outer"))
+    block = F.xxhash64("cluster", "k", "r").alias("block")
+    met = left.select(block, *out).unionByName(right.select(block, *out))
+    return met.repartition("block").sortWithinPartitions("block", "member").mapInArrow(_across, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -183,12 +185,13 @@ def classes(docs: DataFrame) -> DataFrame:
     flat = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("member"))
     shared = flat.groupBy("bucket").agg(F.min("member").alias("first"), F.max("member").alias("last")).where("first < last")
     buckets = stored(flat.join(shared.select("bucket", "first"), "bucket").select("bucket", "first", "member"), "near-buckets")
-    links = confirmed(docs, buckets.where("first < member").select(F.col("first").alias("a"), F.col("member").alias("b")).distinct())
+    pairs = stored(buckets.where("first < member").select(F.col("first").alias("a"), F.col("member").alias("b")).distinct(), "near-pairs")
+    sets = full_sets(docs, pairs)
+    links = confirmed(sets, pairs)
     comps = stored(components(links), "near-components")
-    more = stored(remaining(buckets.select("bucket", "member"), comps, reps), "near-candidates")
+    more = stored(across(pairs, comps, reps, sets), "near-links")
     if not more.isEmpty():
-        links = links.unionByName(confirmed(docs, more))
-        comps = stored(components(links), "near-components")
+        comps = stored(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-components")
     named = heads.join(comps, F.col("head") == F.col("node"), "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "head").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "sig").join(named, F.col("sig") == F.col("_sig"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
