@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import (
     decontamination,
+    license_scan,
     near_dedup,
     packing,
     quality_model,
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op5_sharding": sharding.query,
         "op6_near_dedup": near_dedup.query,
         "op7_substring_dedup": substring_dedup.query,
+        "op8_license_scan": license_scan.query,
         "op9_suffix_dedup": suffix_dedup.query,
         "op10_quality_model": quality_model.query,
         "pipeline": _pipeline,
