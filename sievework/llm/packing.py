@@ -6,8 +6,8 @@ cuts the stream of all ids at multiples of the sequence length; a document that
 record on either side.  Only the last sequence of all is padded.
 
 Defined cases: a null or empty text is its end mark alone; rows with equal doc_id are packed one by one; an empty
-table gives no piece; other columns are ignored.  Words between ASCII white space are tokenised once per worker and
-looked up by a 64-bit hash after that: the vocabulary's splitter never joins across white space.
+table gives no piece; other columns are ignored.  Words between ASCII white space, A-Z folded as the vocabulary does,
+are tokenised once per worker and looked up by a 64-bit hash after that: its splitter never joins across white space.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ from sievework.llm.store import stored
 LENGTH = 4096
 END = 2
 #: Distinct words that a worker remembers; it starts anew beyond, which changes speed only.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: A seldom word of one id in the vocabulary; it only stands between words that are tokenised together.
+MARK = "philanthropy"
 #: Up to so many partitions their offsets are broadcast (16 bytes each), beyond that they are joined by shuffle.
 BROADCAST_PARTITIONS = 1_000_000
 BUNDLES = "part int, before long, n long, docs binary, counts binary, ids binary"
@@ -44,6 +46,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -52,21 +55,30 @@ class WordTokens:
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, keys: list[int], texts: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.pool):
+        ids, size = self.encode(texts)
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
+        self.pool[self.used : self.used + len(ids)] = ids
         start = self.used + np.concatenate(([0], np.cumsum(size)))[:-1]
         self.at.update(zip(keys, range(len(self.start), len(self.start) + len(keys)), strict=True))
         self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
-        self.used += len(flat)
+        self.used += len(ids)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number in each).  They go as one text with a word of one id between them; where that id
+        shows up within a text too, they go one by one."""
+        parts = [f" {MARK} ".join(texts[i : i + 256]) for i in range(0, len(texts), 256)]
+        ids = np.concatenate([np.array(x.ids + [self.mark], np.uint32) for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) == len(texts):
+            return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each])
 
     def __call__(self, t: tx.Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their end marks, number of them in each text)."""
-        s, e, first = tx.words(t)
-        keys, at, back = np.unique(tx.span_hashes(t.data, s, e), return_index=True, return_inverse=True)
+        s, e, first = pieces(t)
+        keys, at, back = np.unique(tx.span_hashes(tx.LOWER[t.data], s, e), return_index=True, return_inverse=True)
         if len(self.at) + len(keys) > REMEMBERED:
             self.clear()
         listed = keys.tolist()
@@ -84,6 +96,22 @@ class WordTokens:
         return np.insert(ids, ends[1:], END), np.diff(ends) + 1
 
 
+def pieces(t: tx.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, with ASCII punctuation at their ends as pieces of its own where a letter or digit stands before it: there
+    the vocabulary's splitter always divides.  Letters are told for ASCII and for U+00C0 to U+00FF."""
+    s, e, _ = tx.words(t)
+    d = t.data
+    punct = tx.NOT_ALNUM[tx.LOWER[d]]
+    last = np.maximum.accumulate(np.where(punct, -1, np.arange(len(d))))[e - 1] if len(s) else s  # last other byte
+    inside = (last >= s) & (last < e - 1)
+    at = last[inside]
+    before = d[np.maximum(at - 1, 0)]
+    letter = (d[at] < 0x80) | (before == 0xC3) & (at > s[inside]) & (d[at] != 0x97) & (d[at] != 0xB7)
+    cut = at[letter] + 1
+    start = np.sort(np.concatenate([s, cut]))
+    return start, np.sort(np.concatenate([e, cut])), np.searchsorted(start, t.offsets)
+
+
 def tokenized(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Bundles of documents: their ids, and the tokens that come before them in their partition."""
 
