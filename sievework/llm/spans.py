@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sievework.llm import textops as tx
 from sievework.llm.store import stored
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Text bytes whose anchors, or cut-out segments, make one bucket or shard.
 BUCKET_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
 KEY_BITS = 47
