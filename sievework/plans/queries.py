@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import textkeys as tk
@@ -26,7 +26,10 @@ def query(sql: str | None = None):
     return add
 
 
-n = F.count(F.lit(1)).alias("n")
+def n() -> Column:
+    return F.count(F.lit(1)).alias("n")
+
+
 #: Documents' duplicate key in either engine.
 KEY = "regexp_replace(lower(text), '\\s+', '', 'g')"
 H = "sha256(concat_ws('|', '7', {}))"
@@ -54,7 +57,7 @@ def pool_verdicts(read) -> DataFrame:
     d = d.withColumn("reason", reason)
     ok = F.count_if((F.col("reason") == "") & (F.col("quality") == 1))
     eligible = F.count_if(F.col("reason") == "")
-    return d.groupBy("source").agg(n, eligible.alias("eligible"), F.count_if(F.col("reason") == "duplicate").alias("duplicates"), ok.alias("good"), metrics.ratio(ok, eligible).alias("good_rate"))
+    return d.groupBy("source").agg(n(), eligible.alias("eligible"), F.count_if(F.col("reason") == "duplicate").alias("duplicates"), ok.alias("good"), metrics.ratio(ok, eligible).alias("good_rate"))
 
 
 @query("SELECT doc_id, source || ':' || substr(sha256(concat_ws('␟', trim(text, ' ' || chr(10) || chr(9)), lang)), 1, 16) AS sample_id FROM documents")
@@ -143,7 +146,7 @@ def evidence_found(read) -> DataFrame:
 
 @query(f"SELECT sha256({KEY}) AS k, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, k LIMIT 25")
 def repeated_text_topk(read) -> DataFrame:
-    d = read("documents").groupBy(F.sha2(tk.text_key(F.col("text")), 256).alias("k")).agg(n)
+    d = read("documents").groupBy(F.sha2(tk.text_key(F.col("text")), 256).alias("k")).agg(n())
     return d.where("n > 1").orderBy(F.desc("n"), "k").limit(25)  # the report's 25
 
 
@@ -525,7 +528,7 @@ def distractor_classify(read) -> DataFrame:
 @query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat, count(*) AS turns FROM conversations GROUP BY 1""")
 def chat_messages(read) -> DataFrame:
     m = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))))
-    return read("conversations").groupBy("conv_id").agg(F.array_join(F.transform(m, lambda x: x["line"]), "\n").alias("chat"), n.alias("turns"))
+    return read("conversations").groupBy("conv_id").agg(F.array_join(F.transform(m, lambda x: x["line"]), "\n").alias("chat"), n().alias("turns"))
 
 
 @query("""SELECT conv_id, turn, 'As ' || role || ' in ' || conv_id || ': ' || text || ' {role}' AS prompt FROM conversations""")
@@ -538,7 +541,7 @@ def template_render(read) -> DataFrame:
 def anchor_donor_matrix(read) -> DataFrame:
     d = read("documents").select("doc_id", "lang")
     nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("donor"))
-    return d.join(nxt, "doc_id").groupBy(F.col("lang").alias("anchor"), "donor").agg(n)
+    return d.join(nxt, "doc_id").groupBy(F.col("lang").alias("anchor"), "donor").agg(n())
 
 
 @query()
@@ -566,7 +569,7 @@ def embedding_diversity(read) -> DataFrame:
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48) GROUP BY 1")
 def length_limited_anchors(read) -> DataFrame:
-    return curation.drop_long_anchors(read("lineitem").select("l_orderkey", "l_quantity"), "l_orderkey", "l_quantity", 48).groupBy("l_orderkey").agg(n)
+    return curation.drop_long_anchors(read("lineitem").select("l_orderkey", "l_quantity"), "l_orderkey", "l_quantity", 48).groupBy("l_orderkey").agg(n())
 
 
 @query(f"""WITH h AS (SELECT doc_id, lang, n_chars % 100 AS g, {H.format("doc_id")} AS h FROM documents),
