@@ -96,13 +96,13 @@ BLOCK = "block long, ids array<long>, digests array<binary>, bytes long, sizes b
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("bytes", pa.int64()), ("sizes", pa.binary()), ("data", pa.binary()), ("rest", pa.binary())])
 
 
-def blocks(docs: DataFrame, carry: bool) -> DataFrame:
-    """Texts in blocks of about BLOCK_BYTES; with carry, the other columns go along as one Arrow message."""
+def blocks(docs: DataFrame, carry: bool, most: int = BLOCK_BYTES) -> DataFrame:
+    """Texts in blocks of about `most` bytes; with carry, the other columns go along as one Arrow message."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for part, t in tx.chunks(batch, "text", BLOCK_BYTES):
+            for part, t in tx.chunks(batch, "text", most):
                 data = t.data.tobytes()
                 sizes = np.diff(t.offsets)
                 rest = b""
@@ -358,10 +358,10 @@ def removed_units(row: dict, kind: Kind) -> tuple[Units, np.ndarray, np.ndarray]
     return u, np.cumsum(step)[:n] > 0, ids
 
 
-def repeated(docs: DataFrame, kind: Kind, carry: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, kind: Kind, carry: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The stored blocks, each with the spans of it that are removed and the numbers of its copies."""
     spark = docs.sparkSession
-    base = blocks(docs, carry)
+    base = blocks(docs, carry, block_bytes)
     total = base.agg(F.sum("bytes")).first()[0] or 0
     buckets, shards = max(1, total // BUCKET_BYTES), max(1, total // SHARD_BYTES)
     rows = base.select("block", F.posexplode(F.arrays_zip("ids", "digests"))).select("block", F.col("pos").alias("at"), F.col("col.ids").alias("id"), F.col("col.digests").alias("digest"))
@@ -401,11 +401,11 @@ def cleaned(docs: DataFrame, kind: Kind) -> DataFrame:
                         texts.append(u.text.data[left].tobytes().decode("utf-8", "ignore"))
                     keep.append(bool(texts[-1]) or a == b)
                 made = {"doc_id": pa.array([None if i == NO_ID else int(i) for i in ids], pa.int64()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
-                columns = [made[c] if c in made else other.column(c) for c in names]
+                columns = [made[c].cast(whole_schema.field(c).type) if c in made else other.column(c) for c in names]
                 out = pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
                 if out.num_rows:
                     yield out
 
     rest = [f for f in docs.schema.names if f not in ("doc_id", "text", "n_chars")]
-    rest_schema = to_arrow_schema(docs.select(*rest).schema)
+    whole_schema, rest_schema = to_arrow_schema(docs.schema), to_arrow_schema(docs.select(*rest).schema)
     return repeated(docs, kind, carry=True).mapInArrow(run, schema)
