@@ -1,6 +1,6 @@
 """Quality rules as a bitmask ledger (DataFrame functions only).
 
-`evaluate_rules` measures every text once and stores one row per document: the measurements and a long whose bit b is
+`build_ledger` measures every text once and stores one row per document: the measurements and a long whose bit b is
 set when rule b failed.  A policy is a named, versioned mask over those bits; applying one, or asking what each rule
 removes alone (an ablation), reads the ledger only, by bitwise operations.
 
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.store import stored
+
 WS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -60,8 +62,13 @@ def _covered(starts: Column) -> Column:
     )
 
 
+def build_ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stored ledger: rules are evaluated once, and filters on it are not pushed into their evaluation."""
+    return stored(evaluate_rules(docs, key, text), "ledger")
+
+
 def evaluate_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The ledger: key, the measurements, failed_bits.  No shuffle: each text is measured where it is read."""
+    """The ledger's rows: key, the measurements, failed_bits.  No shuffle: each text is measured where it is read."""
     t = F.coalesce(F.col(text), F.lit(""))
     bare = F.translate(t, WS, "")
     # each step is a projection of its own, whose columns the next reads several times, so that it isn't inlined there
@@ -135,7 +142,7 @@ def ablation(ledger: DataFrame, policy: Policy) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = evaluate_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    ledger = build_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     judged = apply_policy(apply_policy(ledger, BASE, "base_kept"), STRICT)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits")
 

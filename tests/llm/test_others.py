@@ -20,7 +20,7 @@ def test_rules_against_sql(spark, duck):
 
 
 def test_rules(spark):
-    got = {r["doc_id"]: r for r in quality_rules.evaluate_rules(documents(spark)).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.build_ledger(documents(spark)).collect()}
     for i, t in pairs_of():
         w = WORD.findall(t or "")
         windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
@@ -31,11 +31,11 @@ def test_rules(spark):
 
 
 def test_policies_and_ablation(spark):
-    ledger = quality_rules.evaluate_rules(documents(spark))
+    ledger = quality_rules.build_ledger(documents(spark))
     kept = quality_rules.apply_policy(ledger, quality_rules.BASE).where("kept").count()
     table = {r["rule"]: r for r in quality_rules.ablation(ledger, quality_rules.BASE).collect()}
     assert kept < ledger.count() and all(table[r]["n_kept_without"] == kept + table[r]["n_failed_alone"] for r in quality_rules.BASE.rules)
-    assert quality_rules.evaluate_rules(documents(spark, [])).count() == 0
+    assert quality_rules.build_ledger(documents(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("length", [64, 4096])
