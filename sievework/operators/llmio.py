@@ -58,41 +58,37 @@ def with_fallback(df: DataFrame, column: str, status: str, value: object) -> Dat
     return df.withColumn(column, F.when(F.col(status) == "refused", F.lit(value)).otherwise(F.col(column)))
 
 
-def whole_json(text: Column) -> Column:
-    """The text as a variant if all of it is one JSON value.  Spark's parser stops behind the first value, so what
-    follows it is tried inside an array and inside an object: no rest suits both."""
-    in_array, in_object = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
-    alone = in_array.isNotNull() & in_object.isNotNull() & F.try_variant_get(in_array, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_parse_json(text))
+def with_json(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the text as a variant if all of it is one JSON value, else null.  Spark's parser stops behind the first
+    value, so what follows it is tried inside an array and inside an object: no rest suits both.  The steps are
+    projections of their own, so that a text is parsed once in each way."""
+    tried = df.withColumns({"_array": F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "_object": F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))})
+    alone = F.col("_array").isNotNull() & F.col("_object").isNotNull() & F.try_variant_get("_array", "$[1]", "variant").isNull()
+    return tried.withColumn(out, F.when(alone, F.try_variant_get("_array", "$[0]", "variant"))).drop("_array", "_object")
 
 
-def parse_answer(text: Column, keys: list[str], statuses: list[str]) -> Column:
-    """struct(processing_status, repaired, description, evidence_quote, status, extra_keys) of a model's JSON answer.
+def parse_answers(df: DataFrame, text: str, keys: list[str], statuses: list[str]) -> DataFrame:
+    """Adds processing_status, repaired, description, evidence_quote, status and extra_keys of a model's JSON answers.
     A fenced block is unwrapped.  JSON is Spark's strict one: duplicate keys and NaN are errors."""
-    bare = whole_json(text).isNotNull()
-    inner = F.regexp_extract(text, FENCE, 1)
-    body = F.when(bare, text).when(whole_json(inner).isNotNull(), inner)
-    have = F.when(F.ltrim(body).startswith("{"), F.json_object_keys(body))
-    v = F.try_parse_json(body)
-    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
-    get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+    d = with_json(df, text, "_bare").withColumn("_inner", F.when(F.col("_bare").isNull(), F.nullif(F.regexp_extract(text, FENCE, 1), F.lit(""))))
+    d = with_json(d, "_inner", "_fenced")
+    d = d.withColumns({"_v": F.coalesce("_bare", "_fenced"), "repaired": F.col("_bare").isNull() & F.col("_fenced").isNotNull(), "_body": F.coalesce("_inner", text)})
+    is_object = F.col("_v").isNotNull() & F.ltrim("_body").startswith("{")
+    kind = lambda k: F.schema_of_variant(F.try_variant_get("_v", f"$.{k}", "variant"))
+    get = lambda k: F.try_variant_get("_v", f"$.{k}", "string")
+    d = d.withColumns({"_have": F.when(is_object, F.json_object_keys("_body")), **{f"_k_{k}": kind(k) for k in keys}, **{f"_s_{k}": get(k) for k in keys}})
     names = F.array(*[F.lit(k) for k in keys])
-    lacks = F.size(F.array_except(names, have)) > 0
+    c = F.col
     wrong = (
-        lacks
-        | ~F.coalesce(kind("description"), F.lit("VOID")).isin("STRING", "VOID")
-        | F.coalesce(F.lower(strip(get("description"))).isin("null", "none"), F.lit(False))
-        | (F.coalesce(kind("evidence_quote"), F.lit("")) != "STRING")
-        | (F.coalesce(kind("status"), F.lit("")) != "STRING")
-        | ~F.coalesce(get("status").isin(statuses), F.lit(False))
-    )
-    state = F.when(blank(text), F.lit("empty_response")).when(body.isNull(), F.lit("json_parse_error")).when(have.isNull() | wrong, F.lit("schema_invalid")).otherwise(F.lit("ok"))
-    good = lambda c: F.when(state == "ok", c)
-    return F.struct(
-        state.alias("processing_status"),
-        (body.isNotNull() & ~F.coalesce(bare, F.lit(False))).alias("repaired"),
-        good(get("description")).alias("description"),
-        good(get("evidence_quote")).alias("evidence_quote"),
-        good(get("status")).alias("status"),
-        F.coalesce(F.array_sort(F.array_except(have, names)), F.array().cast("array<string>")).alias("extra_keys"),
+        (F.size(F.array_except(names, "_have")) > 0)
+        | ~F.coalesce(c("_k_description"), F.lit("VOID")).isin("STRING", "VOID")
+        | F.coalesce(F.lower(strip(c("_s_description"))).isin("null", "none"), F.lit(False))
+        | (F.coalesce(c("_k_evidence_quote"), F.lit("")) != "STRING")
+        | (F.coalesce(c("_k_status"), F.lit("")) != "STRING")
+        | ~F.coalesce(c("_s_status").isin(statuses), F.lit(False))
     )
+    state = F.when(blank(c(text)), F.lit("empty_response")).when(c("_v").isNull(), F.lit("json_parse_error")).when(c("_have").isNull() | wrong, F.lit("schema_invalid")).otherwise(F.lit("ok"))
+    d = d.withColumn("processing_status", state)
+    made = {k: F.when(c("processing_status") == "ok", c(f"_s_{k}")) for k in keys}
+    extra = F.coalesce(F.array_sort(F.array_except("_have", names)), F.array().cast("array<string>"))
+    return d.select(*df.columns, "processing_status", "repaired", *[v.alias(k) for k, v in made.items()], extra.alias("extra_keys"))

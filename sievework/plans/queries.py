@@ -487,8 +487,8 @@ def json_validate(read) -> DataFrame:
     k = F.col("event_id") % 5
     good = F.concat(F.lit('{"description":"'), "event_type", F.lit('","evidence_quote":"x","status":"ok"}'))
     text = F.when(k == 0, F.lit("  ")).when(k == 1, F.concat("props", F.lit("}"))).when(k == 2, F.col("props")).when(k == 3, good).otherwise(F.concat(F.lit("```json\n"), good, F.lit("\n```")))
-    r = read("events").select("event_id", llmio.parse_answer(text, ["description", "evidence_quote", "status"], ["ok", "ambiguous", "label_conflict"]).alias("r"))
-    return r.select("event_id", "r.processing_status", "r.repaired", "r.description")
+    r = llmio.parse_answers(read("events").select("event_id", text.alias("answer")), "answer", ["description", "evidence_quote", "status"], ["ok", "ambiguous", "label_conflict"])
+    return r.select("event_id", "processing_status", "repaired", "description")
 
 
 _REQ = """SELECT sha256('{"event":"' || event_type || '","user":"' || user_id || '"}') AS request_key, event_id, event_type, user_id FROM events"""

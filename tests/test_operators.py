@@ -121,8 +121,8 @@ def test_checks(spark):
     ],
 )
 def test_parse_answer(spark, text, want):
-    df = spark.createDataFrame([(text,)], "t string").select(llmio.parse_answer(F.col("t"), ["description", "evidence_quote", "status"], ["ok"]).alias("r"))
-    assert df.first()["r"]["processing_status"] == want
+    df = llmio.parse_answers(spark.createDataFrame([(text,)], "t string"), "t", ["description", "evidence_quote", "status"], ["ok"])
+    assert df.first()["processing_status"] == want
 
 
 def test_cascade_asks_the_verifier_for_incorrect_only(spark):
