@@ -3,10 +3,11 @@ their members, and a row's place never depends on rows of other strata."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.textkeys import hash_rank
+from sievework.operators.ranks import hash_ranked
 
 
 def vote(df: DataFrame, group: str, stratum: str) -> DataFrame:
@@ -44,8 +45,11 @@ def split_strata(df: DataFrame, stratum: str, group: str, seed: object, cuts: li
         g = g.join(forced.select(F.col(group).alias("_f")).distinct(), F.col(group) == F.col("_f"), "left").withColumn("_forced", F.col("_f").isNotNull()).drop("_f")
     else:
         g = g.withColumn("_forced", F.lit(False))
-    w = Window.partitionBy(stratum)
-    g = g.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col("_forced").cast("int"), hash_rank(seed, F.col(stratum), F.col(group)), group)))
+    # forced groups come last and are never cut, so the others are ranked by themselves
+    free = hash_ranked(g.where("not _forced"), [stratum], hash_rank(seed, F.col(stratum), F.col(group)), group).drop("_n")
+    g = free.unionByName(g.where("_forced").withColumn("_r", F.lit(None).cast("long")))
+    sizes = df.select(group, stratum).distinct().groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    g = g.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
     name, low = F.lit(rest), F.lit(0).cast("long")
     tests = []
     for label, share in cuts:
@@ -59,9 +63,7 @@ def split_strata(df: DataFrame, stratum: str, group: str, seed: object, cuts: li
 
 def halves(df: DataFrame, stratum: str, group: str, seed: object) -> DataFrame:
     """A or B in turn along the hash order; strata of odd size give their extra group to A and B alternately."""
-    w = Window.partitionBy(stratum)
-    g = df.select(group, stratum).distinct()
-    g = g.withColumn("_r", F.row_number().over(w.orderBy(hash_rank(seed, F.col(stratum), F.col(group)), group)))
+    g = hash_ranked(df.select(group, stratum).distinct(), [stratum], hash_rank(seed, F.col(stratum), F.col(group)), group)
     odd = g.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1")
     odd = odd.select(stratum, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(stratum)) % 2).alias("_flip"))
     return g.join(odd, stratum, "left").select(group, stratum, F.when((F.col("_r") + F.coalesce("_flip", F.lit(1))) % 2 == 0, F.lit("A")).otherwise(F.lit("B")).alias("half"))
@@ -70,9 +72,9 @@ def halves(df: DataFrame, stratum: str, group: str, seed: object) -> DataFrame:
 def carve(groups: DataFrame, pool: str, stratum: str, group: str, target: int, seed: object) -> DataFrame:
     """Validation groups from a restricted pool, at the rate that gives `target` of all of it."""
     p = groups.where(F.col(pool))
-    rate = F.lit(float(target)) / F.count(F.lit(1)).over(Window.partitionBy())
-    w = Window.partitionBy(stratum)
-    q = p.withColumn("_cut", F.floor(F.count(F.lit(1)).over(w) * rate + F.lit(0.5))).withColumn("_r", F.row_number().over(w.orderBy(hash_rank(seed, F.col(stratum), F.col(group)), group)))
+    ranked = hash_ranked(p, [stratum], hash_rank(seed, F.col(stratum), F.col(group)), group)
+    rate = p.agg((F.lit(float(target)) / F.count(F.lit(1))).alias("_rate"))
+    q = ranked.join(F.broadcast(rate)).withColumn("_cut", F.floor(F.col("_n") * F.col("_rate") + F.lit(0.5)))
     return q.where(F.col("_r") <= F.col("_cut")).select(group, stratum)
 
 
@@ -121,3 +123,25 @@ def balanced_exact(df: DataFrame, id_: str, options: str, seed: object, split: s
         return rows.assign(option=chosen)[[id_, split, "option"]]
 
     return df.select(id_, split, options).groupBy(split).applyInPandas(assign, f"{id_} {dict(df.dtypes)[id_]}, {split} {dict(df.dtypes)[split]}, option string")
+
+
+def spread_pick(df: DataFrame, category: str, quotas: dict[str, int], stage: str, id_: str, seed: object) -> DataFrame:
+    """The quota of each category, its stages in turn along their hash orders; categories without a quota give none."""
+    most = F.create_map(*[F.lit(x) for item in quotas.items() for x in item])
+    ranked = hash_ranked(df.where(F.col(category).isin(*quotas)), [category, stage], hash_rank(seed, F.col(id_)), id_)
+    # no stage can give more than the quota, so at most quota times stages rows of a category are ordered
+    few = ranked.where(F.col("_r") <= most[F.col(category)])
+    turn = F.row_number().over(Window.partitionBy(category).orderBy("_r", stage, id_))
+    return few.withColumn("place", turn).where(F.col("place") <= most[F.col(category)]).select(*df.columns, "place")
+
+
+def stage_order(id_: str, seed: object, stage: object) -> Column:
+    """Order key of a training stage: every stage has a permutation of its own."""
+    return hash_rank(seed, F.lit(str(stage)), F.col(id_))
+
+
+def broken_blocks(df: DataFrame, condition: str, position: str, size: int) -> DataFrame:
+    """Conditions whose rollouts aren't exactly the positions 0 to size - 1, each once."""
+    n, p = F.count(F.lit(1)), F.col(position)
+    seen = df.groupBy(condition).agg(n.alias("n"), F.count_distinct(F.when((p >= 0) & (p < size), p)).alias("inside"))
+    return seen.where(f"n <> {size} or inside <> {size}")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.textkeys import hash_int
+from sievework.functions.textkeys import hash_int, hash_rank
 from sievework.operators.metrics import ratio
+from sievework.operators.ranks import hash_ranked
 
 
 def multiplicities(groups: DataFrame, group: str, replicates: int, seed: object) -> DataFrame:
     """(replicate, group, times) of resampling the groups with replacement: draw i of a replicate takes the group at a
     hashed place.  Groups are numbered in hash order; draws that take a group are counted before any join."""
-    g = groups.select(group).distinct().withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group)), 256), group)) - 1)
+    g = hash_ranked(groups.select(group).distinct(), [], hash_rank(seed, F.col(group)), group).select(group, (F.col("_r") - 1).alias("place"))
     n = g.agg(F.count(F.lit(1)).alias("n_groups"))
     draws = g.select(F.col("place").alias("draw")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).join(F.broadcast(n))
     taken = draws.select("replicate", (hash_int(F.concat_ws("|", F.lit(str(seed)), "replicate", "draw")) % F.col("n_groups")).alias("place")).groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("times"))

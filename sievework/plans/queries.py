@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import textkeys as tk
-from sievework.operators import checks, curation, llmio, metrics, pairs, rewards, splits, stats
+from sievework.operators import checks, curation, exports, llmio, metrics, pairs, rewards, runs, splits, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -579,3 +579,146 @@ SELECT lang, g, doc_id FROM a UNION ALL SELECT lang, g, doc_id FROM b""")
 def sample_once_per_group(read) -> DataFrame:
     d = read("documents").select("doc_id", "lang", (F.col("n_chars") % 100).alias("g"))
     return splits.sample_once(d, [("es", 30), ("de", 30)], "lang", "g", "doc_id", SEED).select("lang", "g", "doc_id")
+
+
+_RUNS = f"""SELECT *, verdict = 'incorrect' AND accepted IS TRUE AS in_g, CASE WHEN verdict = 'incorrect' THEN event_id % 4 END AS shape, CAST(user_id % 4 AS BIGINT) AS k,
+ event_id % 7 = 0 AS cached, event_id % 3 + 1 AS attempts, event_id % 11 = 0 AS truncated, event_id % 13 = 0 AS anomaly FROM ({_ROLL})"""
+
+
+def _results(read) -> DataFrame:
+    r, i = _rollouts(read).drop("k"), F.col("event_id")
+    aligned, other, bad = F.lit("aligned"), F.lit("not_aligned"), F.lit("invalid")
+    shapes = [F.array(aligned, aligned), F.array(aligned, other), F.array(bad, bad), F.array(other, other)]
+    labels = F.when(F.col("verdict") == "incorrect", F.element_at(F.array(*shapes), (i % 4 + 1).cast("int")))
+    in_g = F.coalesce((F.col("verdict") == "incorrect") & F.col("accepted"), F.lit(False))
+    flags = [(i % m == 0).alias(c) for m, c in ((7, "cached"), (11, "truncated"), (13, "anomaly"))]
+    return r.select("*", in_g.alias("in_g"), labels.alias("labels"), (F.col("user_id") % 4).alias("k"), *flags, (i % 3 + 1).alias("attempts"), (i % 8).alias("latency_s"), (i % 5).alias("aux"), (i % 4).alias("total"))
+
+
+@query(f"""WITH r AS ({_RUNS}) SELECT condition, count(*) AS n, CAST(count_if(verdict IS NULL) AS DOUBLE) / count(*) AS null_rate, CAST(count_if(verdict = 'correct') AS DOUBLE) / count(*) AS correct_rate,
+ CAST(count_if(verdict = 'incorrect') AS DOUBLE) / count(*) AS incorrect_rate, coalesce(CAST(count_if(verdict = 'incorrect') AS DOUBLE) / nullif(count(verdict), 0), 0) AS incorrect_rate_judgeable,
+ CAST(count_if(cached) AS DOUBLE) / count(*) AS cache_hit_rate, coalesce(CAST(sum(attempts - 1) FILTER (NOT cached) AS DOUBLE) / nullif(count_if(NOT cached), 0), 0) AS retry_rate,
+ coalesce(CAST(sum(event_id % 8) FILTER (NOT cached) AS DOUBLE) / nullif(count_if(NOT cached), 0), 0) AS latency_s,
+ coalesce(CAST(count_if(shape = 0) AS DOUBLE) / nullif(count(shape), 0), 0) AS accept_rate_incorrect, coalesce(CAST(2 * count_if(shape = 2) AS DOUBLE) / nullif(2 * count(shape), 0), 0) AS invalid_sample_rate,
+ coalesce(CAST(count_if(shape = 1) AS DOUBLE) / nullif(count(shape), 0), 0) AS sample_disagreement_rate, CAST(count_if(in_g) AS DOUBLE) / count(*) AS success_rate,
+ CAST(count_if(in_g AND k >= 2) AS DOUBLE) / count(*) AS aux_active_rate, coalesce(CAST(sum(event_id % 5) FILTER (in_g AND k >= 2) AS DOUBLE) / nullif(count_if(in_g AND k >= 2), 0), 0) AS aux_mean_active,
+ CAST(count_if(truncated) AS DOUBLE) / count(*) AS truncation_rate, count_if(anomaly) AS anomalies, CAST(sum(event_id % 4) AS DOUBLE) / count(*) AS total_mean FROM r GROUP BY condition""")
+def step_metrics(read) -> DataFrame:
+    return runs.step_metrics(_results(read), ("condition",))
+
+
+@query(f"""SELECT CAST(sum(k) AS DOUBLE) / count(*) AS k_mean, CAST(count_if(k >= 2) AS DOUBLE) / count(*) AS k_ge2_rate, CAST(count_if(k = 0) AS DOUBLE) / count(*) AS k0_rate
+ FROM (SELECT user_id, count_if(verdict = 'incorrect' AND accepted) AS k FROM ({_ROLL}) GROUP BY 1)""")
+def group_size_rates(read) -> DataFrame:
+    return runs.group_sizes(rewards.accepted_groups(_rollouts(read), "user_id", "event_id"))
+
+
+@query(f"""WITH c AS (SELECT CASE WHEN verdict IS NULL THEN 'null' WHEN verdict = 'correct' THEN 'correct' WHEN event_id % 4 = 0 THEN 'distractor' WHEN accepted THEN 'verifier_pass' ELSE 'incorrect_rejected' END AS r FROM ({_ROLL}))
+SELECT count(*) AS n, CAST(count_if(r = 'null') AS DOUBLE) / count(*) AS null_rate, CAST(count_if(r = 'correct') AS DOUBLE) / count(*) AS correct_rate, CAST(count_if(r = 'distractor') AS DOUBLE) / count(*) AS distractor_rate,
+ CAST(count_if(r = 'verifier_pass') AS DOUBLE) / count(*) AS verifier_pass_rate, CAST(count_if(r = 'incorrect_rejected') AS DOUBLE) / count(*) AS incorrect_rejected_rate FROM c""")
+def reward_case_rates(read) -> DataFrame:
+    return runs.case_rates(distractor_reward(read), "reward_case", ["null", "correct", "distractor", "verifier_pass", "incorrect_rejected"])
+
+
+@query(f"""WITH r AS (SELECT shape, condition % 2 = 0 AS positive, CASE WHEN k = 1 THEN 'same_stage' WHEN k = 2 THEN 'different_stage' END AS kind FROM ({_RUNS}) WHERE verdict = 'incorrect')
+SELECT CAST(count_if(positive AND shape <> 0) AS DOUBLE) / count_if(positive) AS false_rejection, CAST(count_if(NOT positive AND shape = 0) AS DOUBLE) / count_if(NOT positive) AS false_acceptance,
+ CAST(2 * count_if(shape = 2) AS DOUBLE) / (2 * count(*)) AS invalid_sample_rate, CAST(count_if(shape = 1) AS DOUBLE) / count(*) AS sample_disagreement_rate,
+ CAST(count_if(NOT positive AND kind = 'same_stage' AND shape = 0) AS DOUBLE) / nullif(count_if(NOT positive AND kind = 'same_stage'), 0) AS false_acceptance_same_stage,
+ CAST(count_if(NOT positive AND kind = 'different_stage' AND shape = 0) AS DOUBLE) / nullif(count_if(NOT positive AND kind = 'different_stage'), 0) AS false_acceptance_different_stage FROM r""")
+def served_judge_check(read) -> DataFrame:
+    r = _results(read).where("verdict = 'incorrect'")
+    kind = F.when(F.col("k") == 1, "same_stage").when(F.col("k") == 2, "different_stage")
+    r = r.select("labels", F.when(F.col("condition") % 2 == 0, "aligned").otherwise("not_aligned").alias("target"), kind.alias("negative_kind"))
+    return runs.judge_rates(r, ["same_stage", "different_stage"])
+
+
+@query("SELECT coalesce(CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT), 0) AS k, CAST(0 AS BIGINT) AS missing FROM events")
+def usage_totals(read) -> DataFrame:
+    u = F.struct(F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.missing").alias("missing"))
+    return runs.usage_totals(read("events").select(u.alias("usage")), "usage.k", "usage.missing")
+
+
+@query("SELECT lang, count(*) AS requests, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text)) // 4 AS BIGINT) AS approx_tokens, CAST(sum(length(text)) // 4 AS DOUBLE) * 0.25 / 1e6 AS cost FROM documents GROUP BY 1")
+def cost_estimate(read) -> DataFrame:
+    return runs.cost_estimate(read("documents"), "text", 0.25, ("lang",))
+
+
+@query("""SELECT lang, 'source' AS facet, source AS value, count(*) AS n FROM documents GROUP BY 1, 3 UNION ALL
+SELECT lang, 'long', CASE WHEN n_chars > 4096 THEN 'true' ELSE 'false' END, count(*) FROM documents GROUP BY 1, 3""")
+def facet_histogram(read) -> DataFrame:
+    d = read("documents").select("lang", F.create_map(F.lit("source"), "source", F.lit("long"), (F.col("n_chars") > 4096).cast("string")).alias("annotations"))
+    return runs.facet_counts(d, "annotations", "lang")
+
+
+@query(f"SELECT count(*) AS donors, max(n) AS most_uses FROM (SELECT donor, count(*) AS n FROM ({ORACLES['negative_pairs']}) GROUP BY 1)")
+def donor_reuse(read) -> DataFrame:
+    return runs.donor_reuse(_negatives(read))
+
+
+@query("""WITH q AS (SELECT o_orderstatus AS split, count(*) AS questions, CAST(sum(o_custkey % 5) AS BIGINT) AS total FROM orders GROUP BY 1),
+s AS (SELECT split, questions, 'balanced k=' || k AS scenario, questions * k AS conditions FROM q, (VALUES (1), (2), (4)) t(k) UNION ALL SELECT split, questions, 'all_types', total FROM q)
+SELECT *, conditions // 48 AS steps FROM s""")
+def scenario_sizes(read) -> DataFrame:
+    q = read("orders").select(F.col("o_orderstatus").alias("split"), (F.col("o_custkey") % 5).alias("types"))
+    return runs.scenario_sizes(q, "split", "types", [1, 2, 4], 48)
+
+
+@query("""SELECT count(*) AS pairs, count(DISTINCT user_id) AS conditions, CAST(count_if(event_type = 'click') AS DOUBLE) / count(*) AS x_rate, CAST(count_if(event_type = 'view') AS DOUBLE) / count(*) AS y_rate,
+ CAST(count_if(event_type NOT IN ('click', 'view')) AS DOUBLE) / count(*) AS tie_rate FROM events""")
+def outcome_rates(read) -> DataFrame:
+    w = F.when(F.col("event_type") == "click", "x").when(F.col("event_type") == "view", "y").otherwise("tie")
+    return runs.outcome_rates(read("events").select("user_id", w.alias("winner")), "user_id")
+
+
+@query(f"""WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY {H.format("doc_id")}, doc_id) AS r FROM documents WHERE lang IN ('en', 'de')),
+p AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY r, source, doc_id) AS place FROM r)
+SELECT * FROM p WHERE place <= CASE lang WHEN 'en' THEN 25 ELSE 10 END""")
+def quota_pick(read) -> DataFrame:
+    return splits.spread_pick(read("documents").select("doc_id", "lang", "source"), "lang", {"en": 25, "de": 10}, "source", "doc_id", SEED)
+
+
+@query("SELECT event_id, sha256(concat_ws('|', '7', 'stage2', event_id)) AS place FROM events")
+def stage_permutation(read) -> DataFrame:
+    return read("events").select("event_id", splits.stage_order("event_id", SEED, "stage2").alias("place"))
+
+
+@query("SELECT conv_id, count(*) AS n, count(DISTINCT turn) FILTER (turn >= 0 AND turn < 4) AS inside FROM conversations GROUP BY 1 HAVING count(*) <> 4 OR count(DISTINCT turn) FILTER (turn >= 0 AND turn < 4) <> 4")
+def block_integrity(read) -> DataFrame:
+    return splits.broken_blocks(read("conversations"), "conv_id", "turn", 4)
+
+
+@query("SELECT doc_id, text, CASE WHEN n_chars > 1000 THEN 'long' ELSE 'short' END AS label FROM documents")
+def labels_on_rows(read) -> DataFrame:
+    d = read("documents")
+    return exports.attach(d.select("doc_id", "text"), d.select("doc_id", F.when(F.col("n_chars") > 1000, "long").otherwise("short").alias("label")), ["doc_id"], "label")
+
+
+@query("SELECT a.text, a.lang, min(b.source) AS label FROM documents a JOIN documents b ON a.text = b.text AND a.lang = b.lang WHERE a.doc_id % 2 = 0 GROUP BY a.doc_id, a.text, a.lang")
+def labels_on_copies(read) -> DataFrame:
+    d = read("documents")
+    return exports.attach_by_identity(d.where("doc_id % 2 = 0").select("text", "lang"), d.select("text", "lang", F.col("source").alias("label")), "label")
+
+
+@query("SELECT event_id, list_sort([event_type, CAST(user_id AS VARCHAR)]) AS verdicts FROM events")
+def rollout_verdicts(read) -> DataFrame:
+    e = read("events")
+    v = e.select("event_id", F.explode(F.array("event_type", F.col("user_id").cast("string"))).alias("verdict"))
+    return exports.with_verdicts(e.select("event_id"), v, ["event_id"], "verdict", 2)
+
+
+@query(f"""WITH n AS ({ORACLES['negative_pairs']}), s AS (SELECT doc_id, doc_id % 50 AS g, source, text FROM documents)
+SELECT name, passed, detail FROM (SELECT unnest(['each question group lies in one split', 'negative donor from the same split', 'negative donor from the same dataset', 'negative donor label differs', 'negative donor from another question group',
+ 'positive donor is the anchor itself', 'anchors and donors have a usable description', 'no group of prompt development in test']) AS name, true AS passed, '0 violations' AS detail)
+UNION ALL SELECT 'one positive and one negative an anchor', count(*) = 0, count(*) || ' violations' FROM s WHERE doc_id NOT IN (SELECT anchor FROM n)
+UNION ALL SELECT 'no empty question, solution or description', count(*) = 0, count(*) || ' violations' FROM (SELECT doc_id FROM s UNION ALL SELECT anchor FROM n) t JOIN s USING (doc_id) WHERE trim(text) = ''
+UNION ALL SELECT 'no pair over 4096 tokens', count(*) = 0, count(*) || ' violations' FROM (SELECT doc_id FROM s UNION ALL SELECT anchor FROM n) t JOIN s USING (doc_id) WHERE length(text) > 4096""")
+def pair_checks(read) -> DataFrame:
+    d = read("documents")
+    group = (F.col("doc_id") % 50).alias("question_group_id")
+    cases = d.select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("dataset"), group, F.lit("train").alias("split"), F.lit("ok").alias("description_status"), F.lit(False).alias("prompt_dev_group"), F.lit("").alias("exclusion_reason"))
+    side = lambda name: d.select(F.col("doc_id").alias(f"{name}_sample_id"), F.col("source").alias(f"{name}_source_error_label"), group.alias("question_group_id" if name == "anchor" else "donor_question_group_id"))
+    drawn = _negatives(read).select(F.col("anchor").alias("anchor_sample_id"), F.col("donor").alias("donor_sample_id"), F.lit("not_aligned").alias("target"))
+    own = d.select(F.col("doc_id").alias("anchor_sample_id"), F.col("doc_id").alias("donor_sample_id"), F.lit("aligned").alias("target"))
+    text = d.select(F.col("doc_id").alias("anchor_sample_id"), F.col("lang").alias("dataset"), F.lit("train").alias("split"), *[F.col("text").alias(c) for c in ("question", "solution", "error_description")], F.col("n_chars").alias("n_tokens"))
+    made = own.unionByName(drawn).join(side("anchor"), "anchor_sample_id").join(side("donor"), "donor_sample_id").join(text, "anchor_sample_id")
+    return checks.pair_checks(cases, made, 4096)
