@@ -44,5 +44,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE,
         "op4_decontamination": decontamination.ORACLE,
+        "op6_near_dedup": near_dedup.ORACLE,
         "op7_substring_dedup": substring_dedup.ORACLE,
+        "op9_suffix_dedup": suffix_dedup.ORACLE,
     }

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from sievework.llm import near_dedup, spans, substring_dedup, suffix_dedup
+from tests.conftest import SMALL, same
 from tests.llm.fixtures import documents, pairs_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -175,3 +176,8 @@ def test_null_ids(spark):
     got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffix_dedup.removals(documents(spark, rows)).collect()}
     assert got[(None, len(t))] == len(t) and got[(2, len(t))] == 0
     assert substring_dedup.removals(documents(spark, rows)).count() == 4
+
+
+@pytest.mark.parametrize("module", [near_dedup, substring_dedup, suffix_dedup])
+def test_against_sql(spark, duck, module):
+    assert same(module.query(spark, SMALL), duck.execute(module.ORACLE))
