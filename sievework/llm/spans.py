@@ -379,6 +379,13 @@ def repeated(docs: DataFrame, kind: Kind, carry: bool = False, block_bytes: int
     return base.drop("digests").join(found, "block", "left").join(copies, "block", "left").select("block", "ids", "sizes", "data", "rest", "spans", "copies")
 
 
+def without_points(data: np.ndarray, gone: np.ndarray) -> bytes:
+    """UTF-8 text without the code points that have a byte in gone."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    cut = np.logical_or.reduceat(gone, lead)
+    return data[~np.repeat(cut, np.diff(np.append(lead, len(data))))].tobytes()
+
+
 def cleaned(docs: DataFrame, kind: Kind) -> DataFrame:
     """docs with the removed units cut out of their texts; n_chars, if there is one, follows the text.  Documents of
     which nothing is left go.  A code point that a cut falls into goes whole."""
@@ -398,7 +405,7 @@ def cleaned(docs: DataFrame, kind: Kind) -> DataFrame:
                     elif kind.words:
                         texts.append(b" ".join(u.raw[x:y] for x, y in zip(u.start[left].tolist(), u.end[left].tolist(), strict=True)).decode())
                     else:
-                        texts.append(u.text.data[left].tobytes().decode("utf-8", "ignore"))
+                        texts.append(without_points(u.text.doc(i), gone[a:b]).decode())
                     keep.append(bool(texts[-1]) or a == b)
                 made = {"doc_id": pa.array([None if i == NO_ID else int(i) for i in ids], pa.int64()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
                 columns = [made[c].cast(whole_schema.field(c).type) if c in made else other.column(c) for c in names]

@@ -84,6 +84,26 @@ def plain_suffix(rows):
     return sorted(out)
 
 
+def plain_cleaned(rows):
+    """Rows with the text that stays, a code point going if one of its bytes does; emptied texts go."""
+    low, out = {}, []
+    for i, t in sorted(rows):
+        b = t.encode()
+        for p in range(len(b) - 49):
+            low.setdefault(b[p : p + 50], i)
+    for i, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if low[b[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        at = np.cumsum([0] + [len(c.encode()) for c in t])
+        left = "".join(c for k, c in enumerate(t) if not gone[at[k] : at[k + 1]].any())
+        if left or not t:
+            out.append((i, left))
+    return out
+
+
 @pytest.mark.parametrize("hot,block", [(1000, 1 << 20), (2, 3000)])
 def test_suffix(spark, hot, block):
     kind = dataclasses.replace(suffix_dedup.KIND, hot_blocks=hot)
@@ -181,3 +201,13 @@ def test_null_ids(spark):
 @pytest.mark.parametrize("module", [near_dedup, substring_dedup, suffix_dedup])
 def test_against_sql(spark, duck, module):
     assert same(module.query(spark, SMALL), duck.execute(module.ORACLE))
+
+
+def test_cut_points_go_whole(spark):
+    """The shared bytes begin and end inside code points; what is left of two of them is no new one."""
+    core = "z" * 60
+    rows = [(1, "\u00a9" + core + "\u00e9 tail"), (2, "begin \u00e9" + core + "\u00e8 end")]
+    out = {r["doc_id"]: r["text"] for r in suffix_dedup.dedup(documents(spark, rows)).collect()}
+    assert out == {1: rows[0][1], 2: "begin  end"}
+    data = np.frombuffer("a\u65e5\u672cb".encode(), np.uint8)
+    assert spans.without_points(data, np.arange(8) == 3) == "a\u672cb".encode()

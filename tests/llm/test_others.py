@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.llm import decontamination, license_scan, packing, quality_model, quality_rules, sharding, toxicity
+from sievework.llm.store import stored
 from tests.conftest import SMALL, same
 from tests.llm.fixtures import documents, pairs_of
 
@@ -186,9 +187,21 @@ def test_every_notice_is_known(spark):
 def test_pipeline(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SMALL)
-        assert out.columns == docs.columns and out.count() <= docs.count()
-        docs = out
-    assert corpus_pipeline.run(spark, SMALL).count() >= docs.count()
+    from tests.llm.test_dedup import plain_cleaned, plain_near
+
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.query(spark, SMALL).collect()}
+    items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    rows = sorted((r["doc_id"], r["text"]) for r in table.collect())
+    want = [[r for r in rows if not scored[r[0]]]]
+    near = plain_near(want[-1])
+    want.append([r for r in want[-1] if near[r[0]][2]])
+    want.append(plain_cleaned(want[-1]))
+    leaks = {r[0] for r in plain_hits(want[-1], items) if r[5]}
+    want.append([r for r in want[-1] if r[0] not in leaks])
+    docs = table
+    for (_, stage), kept in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+        docs = stored(stage(spark, docs, SMALL), "test-stage")
+        assert docs.columns == table.columns and sorted((r["doc_id"], r["text"]) for r in docs.collect()) == kept
+    pieces = sorted(map(tuple, packing.pack(docs).collect()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == pieces and {p[0] for p in pieces} == {r[0] for r in want[-1]}
