@@ -1,0 +1,17 @@
+"""Queries over whole tables, where the SQL of the catalogue has a part of the rows: its text without the filter."""
+
+import pytest
+
+from sievework.catalog import ORACLES, QUERIES
+from tests.conftest import SMALL, same
+
+
+def whole(name, cut):
+    return ORACLES[name].replace(cut, "")
+
+
+@pytest.mark.parametrize("name", ["stratified_split", "halves_split"])
+def test_all_orders_are_split(spark, duck, name):
+    got = QUERIES[name](spark, SMALL)
+    assert got.count() == duck.execute("SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)").fetchone()[0]
+    assert same(got, duck.execute(whole(name, " WHERE o_orderkey % 10 = 0")))
