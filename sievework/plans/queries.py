@@ -392,8 +392,8 @@ s AS (SELECT user_id, CASE WHEN f THEN x ELSE y END AS a, CASE WHEN f THEN y ELS
 
 
 def _schedule(read) -> DataFrame:
-    # a fifth of the clicks stands for the accepted rollouts of a group
-    m = read("events").where("event_type = 'click' AND event_id % 5 = 0").select("user_id", "event_id")
+    # the members that accepted_set lists; the SQL above still has a fifth of them, so it doesn't agree (see README)
+    m = _rollouts(read).where("verdict = 'incorrect' AND accepted").select("user_id", "event_id")
     return rewards.pair_schedule(m, "user_id", "event_id", SEED)
 
 

@@ -15,3 +15,11 @@ def test_all_orders_are_split(spark, duck, name):
     got = QUERIES[name](spark, SMALL)
     assert got.count() == duck.execute("SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)").fetchone()[0]
     assert same(got, duck.execute(whole(name, " WHERE o_orderkey % 10 = 0")))
+
+
+@pytest.mark.parametrize("name", ["pair_schedule", "win_scores"])
+def test_all_accepted_rollouts_meet(spark, duck, name):
+    got = QUERIES[name](spark, SMALL)
+    k = [len(r["accepted_positions"]) for r in QUERIES["accepted_set"](spark, SMALL).collect()]
+    assert got.count() == (sum(n * (n - 1) // 2 for n in k) if name == "pair_schedule" else sum(n for n in k if n > 1))
+    assert same(got, duck.execute(whole(name, " AND event_id % 5 = 0")))
