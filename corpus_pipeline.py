@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sievework.llm import decontamination, near_dedup, packing, suffix_dedup, toxicity
 from sievework.llm.store import stored
 
+#: Per cent of common shingles that link two documents; op6_near_dedup has 85 in its own contract.
+NEAR = 80
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose score of toxicity is 0.3 or more."""
@@ -18,8 +21,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each class of near-duplicates."""
-    return near_dedup.one_of_each(docs)
+    """Keeps the smallest document of each class of near-duplicates, linked at a similarity of 0.8 or more."""
+    return near_dedup.one_of_each(docs, NEAR)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Texts are sets of 5-word shingles, A-Z folded.  A sketch has BINS coordinates, f
 BINS rounds every shingle is hashed into one bin with a value that starts with the round, in the following ones all
 shingles go to one bin each; a bin keeps its smallest value and the rounds end once all bins are filled, so every
 coordinate is filled and agrees between two sets with their Jaccard similarity, with concentration.  BANDS bands of
-ROWS coordinates find candidates: at similarity 0.85 a pair shares no band with probability below 1e-10.
+ROWS coordinates find candidates: a pair shares no band with probability below 1e-10 at similarity 0.85, and below
+1e-7 at 0.8.
 
 Equal sets are one class, which its smallest id represents.  In a band's bucket the smallest representative is paired
 with all others; confirmed pairs make components.  The pairs also span clusters, and where a cluster has several
@@ -16,7 +17,8 @@ repeated rows fall into one class; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,26 @@ from sievework.llm.spans import groups
 from sievework.llm.store import stored
 
 SHINGLE = 5
-THRESHOLD = 85  # per cent
+THRESHOLD = 85  # per cent, of the query; classes can be given another
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
-#: Sketches of sets with similarity 0.85 agree in fewer coordinates with probability below 1e-9.
-AGREE = 80
+#: Sketches of sets at the threshold agree in fewer coordinates than agreeing() with probability below this.
+MISSED = 1e-10
 #: Members of a cluster in a block, about.
 BLOCK = 512
 _EMPTY = tx.U64(0xFFFFFFFFFFFFFFFF)
 
 
+def agreeing(threshold: int) -> int:
+    """Coordinates in which sketches must agree before their full sets are compared."""
+    p, below = threshold / 100, 0.0
+    for a in range(BINS):
+        below += comb(BINS, a) * p**a * (1 - p) ** (BINS - a)
+        if below >= MISSED:
+            return a
+    return BINS
+
+
 def shingle_sets(t: tx.Texts) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     low = tx.LOWER[t.data]
@@ -99,16 +111,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(t)], pa.binary())], names=["id", "members"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_py(), tx.U64), np.frombuffer(y.as_py(), tx.U64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
-        kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        if kept.num_rows:
-            yield kept
+def _confirm(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), tx.U64), np.frombuffer(y.as_py(), tx.U64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
+            kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if kept.num_rows:
+                yield kept
+
+    return run
 
 
 def full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -118,42 +133,47 @@ def full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(_sets, "id long, members binary"), "near-sets")
 
 
-def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(sets: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
     right = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
-    return stored(pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "near-links")
+    return stored(pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(_confirm(threshold), "a long, b long"), "near-links")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Two blocks of a cluster (side 0 and 1) at a time: confirmed links between different components.  A link makes
     one component of two, so a block gives fewer links than it has members."""
-    for _, held in groups(batches, "block"):
-        part = pa.Table.from_batches(held).combine_chunks()
-        side, member, main = (np.asarray(part.column(c)) for c in ("side", "member", "main"))
-        root = np.unique(np.asarray(part.column("component")), return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        sets = [np.frombuffer(x, tx.U64) for x in part.column("members").to_pylist()]
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        other, links = np.flatnonzero(side == 1), []
-        for i in np.flatnonzero(side == 0).tolist():
-            # of two members outside the main component, the smaller one looks at the larger one
-            near = other[(root[other] != root[i]) & (main[other] | (member[other] > member[i]))]
-            near = near[(100 * size[near] >= THRESHOLD * size[i]) & (100 * size[i] >= THRESHOLD * size[near])]
-            agree = (sketch[near] == sketch[i]).sum(1)
-            for j in near[np.argsort(-agree, kind="stable")[: int((agree >= AGREE).sum())]].tolist():
-                if root[i] == root[j]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= THRESHOLD * (size[i] + size[j] - both):
-                    links.append((min(member[i], member[j]), max(member[i], member[j])))
-                    root[root == root[j]] = root[i]
-        if links:
-            a, b = zip(*links, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def across(pairs: DataFrame, comps: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame:
+    least = agreeing(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in groups(batches, "block"):
+            part = pa.Table.from_batches(held).combine_chunks()
+            side, member, main = (np.asarray(part.column(c)) for c in ("side", "member", "main"))
+            root = np.unique(np.asarray(part.column("component")), return_inverse=True)[1]
+            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            sets = [np.frombuffer(x, tx.U64) for x in part.column("members").to_pylist()]
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            other, links = np.flatnonzero(side == 1), []
+            for i in np.flatnonzero(side == 0).tolist():
+                # of two members outside the main component, the smaller one looks at the larger one
+                near = other[(root[other] != root[i]) & (main[other] | (member[other] > member[i]))]
+                near = near[(100 * size[near] >= threshold * size[i]) & (100 * size[i] >= threshold * size[near])]
+                agree = (sketch[near] == sketch[i]).sum(1)
+                for j in near[np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]].tolist():
+                    if root[i] == root[j]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= threshold * (size[i] + size[j] - both):
+                        links.append((min(member[i], member[j]), max(member[i], member[j])))
+                        root[root == root[j]] = root[i]
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def across(pairs: DataFrame, comps: DataFrame, sketched: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links between components whose members meet in buckets.  The pairs span clusters that hold every candidate.  A
     cluster's members outside its largest component are dealt to blocks, and so are all its members; each block of the
     former meets each of the latter in a group of bounded size."""
@@ -172,11 +192,11 @@ def across(pairs: DataFrame, comps: DataFrame, sketched: DataFrame, sets: DataFr
     right = rows.withColumn("side", F.lit(1)).withColumn("r", dealt("every", 2)).withColumn("k", numbers("outer"))
     block = F.xxhash64("cluster", "k", "r").alias("block")
     met = left.select(block, *out).unionByName(right.select(block, *out))
-    return met.repartition("block").sortWithinPartitions("block", "member").mapInArrow(_across, "a long, b long")
+    return met.repartition("block").sortWithinPartitions("block", "member").mapInArrow(_across(threshold), "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
+def classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs; sets are linked from threshold per cent on."""
     sketched = stored(docs.select("doc_id", "text").mapInArrow(_sketch, SKETCHED), "near-sketches")
     heads = sketched.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("head"))
     heads = stored(heads, "near-classes")
@@ -187,9 +207,9 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = stored(flat.join(shared.select("bucket", "first"), "bucket").select("bucket", "first", "member"), "near-buckets")
     pairs = stored(buckets.where("first < member").select(F.col("first").alias("a"), F.col("member").alias("b")).distinct(), "near-pairs")
     sets = full_sets(docs, pairs)
-    links = confirmed(sets, pairs)
+    links = confirmed(sets, pairs, threshold)
     comps = stored(components(links), "near-components")
-    more = stored(across(pairs, comps, reps, sets), "near-links")
+    more = stored(across(pairs, comps, reps, sets, threshold), "near-links")
     if not more.isEmpty():
         comps = stored(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-components")
     named = heads.join(comps, F.col("head") == F.col("node"), "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "head").alias("component"))
@@ -213,7 +233,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents that are the smallest of their class, all columns.  Where rows share that id all stay."""
-    gone = stored(classes(docs).where("not kept").select("doc_id").distinct(), "near-removed")
+    gone = stored(classes(docs, threshold).where("not kept").select("doc_id").distinct(), "near-removed")
     return only(docs, gone, "left_anti")

@@ -211,3 +211,26 @@ def test_cut_points_go_whole(spark):
     assert out == {1: rows[0][1], 2: "begin  end"}
     data = np.frombuffer("a\u65e5\u672cb".encode(), np.uint8)
     assert spans.without_points(data, np.arange(8) == 3) == "a\u672cb".encode()
+
+
+def test_near_threshold(spark):
+    """86 common shingles of 106: linked in the pipeline, not in op6_near_dedup."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join({30: "x", 70: "y"}.get(i, w) for i, w in enumerate(base)))]
+    docs = documents(spark, rows)
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()] == [1]
+    assert near_dedup.one_of_each(docs).count() == 2
+
+
+def test_near_threshold_across_blocks(spark):
+    """A link at 0.81 between two components of a cluster; a sketch may agree in fewer coordinates than at 0.85."""
+    assert near_dedup.agreeing(80) < near_dedup.agreeing(85)
+    rng = np.random.default_rng(3)
+    x = rng.permutation(1 << 20)[:106].astype(np.uint64)
+    sets = [np.sort(x[:96]), np.sort(x[10:])]
+    cols = {"block": [1, 1], "side": [0, 1], "member": [1, 2], "main": [False, True], "component": [1, 2], "members": [s.tobytes() for s in sets], "sketch": [b"\0" * 128, b"\0" * 76 + b"\1" * 52]}
+    held = near_dedup.pa.RecordBatch.from_pydict(cols)
+    assert [b.to_pydict() for b in near_dedup._across(80)(iter([held]))] == [{"a": [1], "b": [2]}]
+    assert not list(near_dedup._across(85)(iter([held])))
