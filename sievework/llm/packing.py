@@ -8,6 +8,7 @@ record on either side.  Only the last sequence of all is padded.
 Defined cases: a null or empty text is its end mark alone; rows with equal doc_id are packed one by one; an empty
 table gives no piece; other columns are ignored.  Words between ASCII white space, A-Z folded as the vocabulary does,
 are tokenised once per worker and looked up by a 64-bit hash after that: its splitter never joins across white space.
+Texts that hold an added token of the vocabulary (matched in the raw text, not folded) are tokenised whole.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [a.content.encode().translate(tx.LOWER.tobytes()) for a in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
@@ -77,15 +79,20 @@ class WordTokens:
 
     def __call__(self, t: tx.Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their end marks, number of them in each text)."""
+        low, raw = tx.LOWER[t.data], t.data.tobytes()
         s, e, first = pieces(t)
-        keys, at, back = np.unique(tx.span_hashes(tx.LOWER[t.data], s, e), return_index=True, return_inverse=True)
+        whole = self.with_added(low.tobytes(), t.offsets)
+        if len(whole):
+            stay = ~np.isin(np.repeat(np.arange(len(first) - 1), np.diff(first)), whole)
+            first = np.concatenate(([0], np.cumsum(stay)))[first]
+            s, e = s[stay], e[stay]
+        keys, at, back = np.unique(tx.span_hashes(low, s, e), return_index=True, return_inverse=True)
         if len(self.at) + len(keys) > REMEMBERED:
             self.clear()
         listed = keys.tolist()
         slot = np.fromiter((self.at.get(k, -1) for k in listed), np.int64, len(listed))
         new = np.flatnonzero(slot < 0)
         if len(new):
-            raw = t.data.tobytes()
             n = len(self.start)
             self.learn([listed[i] for i in new], [raw[a:b].decode() for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
             slot[new] = n + np.arange(len(new))
@@ -93,7 +100,24 @@ class WordTokens:
         size = self.size[which]
         ids = self.pool[tx.ranges(self.start[which], size)]
         ends = np.concatenate(([0], np.cumsum(size)))[first]
-        return np.insert(ids, ends[1:], END), np.diff(ends) + 1
+        n = np.diff(ends)
+        if len(whole):
+            each = [x.ids for x in self.tokenizer.encode_batch_fast([raw[t.offsets[i] : t.offsets[i + 1]].decode() for i in whole.tolist()], add_special_tokens=False)]
+            n[whole] = [len(x) for x in each]
+            ids = np.insert(ids, np.repeat(ends[whole], n[whole]), [i for x in each for i in x])
+            ends = np.concatenate(([0], np.cumsum(n)))
+        return np.insert(ids, ends[1:], END), n + 1
+
+    def with_added(self, low: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Texts with the content of an added token, in any case (more than have the token, which changes speed only)."""
+        at = []
+        for content in self.added:
+            k = low.find(content)
+            while k >= 0:
+                at.append(k)
+                k = low.find(content, k + 1)
+        i = np.unique(np.searchsorted(offsets, np.array(at, np.int64), side="right") - 1)
+        return i[(i >= 0) & (i < len(offsets) - 1)]
 
 
 def pieces(t: tx.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -205,3 +205,19 @@ def test_pipeline(spark):
         assert docs.columns == table.columns and sorted((r["doc_id"], r["text"]) for r in docs.collect()) == kept
     pieces = sorted(map(tuple, packing.pack(docs).collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == pieces and {p[0] for p in pieces} == {r[0] for r in want[-1]}
+
+
+def test_packing_added_tokens():
+    """Added tokens are matched in the raw text; texts with one, and those around them, get the tokenizer's own ids."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    texts = ["end <|endoftext|> start", "", "a<|startoftext|>b, c.", "plain text, no marker.", "<|ENDOFTEXT|> x", "x<|EndOfText|>y", "<|endoftext|>", "<|endoftext|><|startoftext|>\n\nend.", "<|endoftext|", "|> last, é."]
+    data = [x.encode() for x in texts]
+    part = packing.tx.Texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    words = packing.WordTokens(packing.default_vocabulary())
+    for _ in range(2):  # the second time from the words remembered
+        ids, n = words(part)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [[*t.encode(x, add_special_tokens=False).ids, packing.END] for x in texts]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [806, 49407, 1572]
