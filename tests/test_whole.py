@@ -23,3 +23,9 @@ def test_all_accepted_rollouts_meet(spark, duck, name):
     k = [len(r["accepted_positions"]) for r in QUERIES["accepted_set"](spark, SMALL).collect()]
     assert got.count() == (sum(n * (n - 1) // 2 for n in k) if name == "pair_schedule" else sum(n for n in k if n > 1))
     assert same(got, duck.execute(whole(name, " AND event_id % 5 = 0")))
+
+
+def test_all_documents_get_a_label(spark, duck):
+    got = QUERIES["labels_on_copies"](spark, SMALL)
+    assert got.count() == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
+    assert same(got, duck.execute(whole("labels_on_copies", " WHERE a.doc_id % 2 = 0")))
