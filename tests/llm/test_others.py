@@ -221,3 +221,94 @@ def test_packing_added_tokens():
         got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
         assert got == [[*t.encode(x, add_special_tokens=False).ids, packing.END] for x in texts]
     assert t.encode(texts[0], add_special_tokens=False).ids == [806, 49407, 1572]
+
+
+#: Notices that occur nowhere in the training texts, with their family.
+UNSEEN = """isc|Permission to use, copy, and distribute this software and its documentation for any purpose and without fee is hereby granted
+isc|Source code is available under an ISC-style license: ISC License
+isc|Published under the ISC licence, see COPYING
+epl|This work is made available under the Eclipse Public License, v 2.0
+epl|Eclipse Public License - v 1.0
+epl|All files are distributed under EPL-2.0
+boost|Use of this header is governed by the Boost Software License, Version 1.0
+boost|(See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)
+boost|The parser is available under the Boost license
+eupl|Licensed under the European Union Public Licence, version 1.2
+eupl|Distributed under the terms of the EUPL 1.1
+eupl|The tool may be used under the EUPL-1.2
+mit|-- SPDX-License-Identifier: MIT
+apache|; SPDX-License-Identifier: Apache-2.0
+gpl|# SPDX-License-Identifier: GPL-3.0-only
+lgpl|/* SPDX-License-Identifier: LGPL-2.1-only */
+agpl|// SPDX-License-Identifier: AGPL-3.0-only
+bsd|* SPDX-License-Identifier: BSD-2-Clause
+mpl|<!-- SPDX-License-Identifier: MPL-2.0 -->
+isc|% SPDX-License-Identifier: ISC
+gpl|It is free software, and may be redistributed under the terms of the GNU General Public License
+gpl|the program comes under GPLv3 or later
+gpl|This module is distributed under the same licence as the kernel, GPL version 2
+lgpl|The library is covered by the GNU Lesser General Public License, version 3
+agpl|The server code is covered by the GNU Affero General Public License v3.0
+mit|The MIT License
+mit|Permission is hereby granted, free of charge, to any person who obtains a copy of the Software
+mit|Code by Jane Roe, MIT licensed. Licensed under the MIT License (see LICENSE.md).
+apache|Licensed under Apache License v2.0
+apache|The samples are offered under the Apache License, Version 2.0, unless noted
+bsd|This package is released under the 3-clause BSD license
+bsd|Redistributions in binary form must reproduce the above copyright notice in the documentation
+mpl|The add-on is covered by the Mozilla Public License, version 2.0
+cc0|The author has dedicated this work to the public domain under CC0
+cc_by|This chapter is distributed under a Creative Commons Attribution 4.0 International Licence
+cc_by_sa|The encyclopedia is licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License
+cc_by_nc|This book is available under a Creative Commons Attribution-NonCommercial 3.0 license
+unlicense|This is free and unencumbered software; it is released into the public domain
+zlib|The authors will not be held liable for any damages arising from the use of this software
+proprietary|© 2021 Musterfirma. All rights reserved worldwide.
+proprietary|Tous droits réservés, reproduction interdite
+wtfpl|This program is licensed under the WTFPL, version 2""".split("\n")
+
+#: Prose and notices of other licences: no family may be confirmed.
+NO_FAMILY = """The ship was registered under the flag of a free port
+MIT has a free public lecture on software in May
+The Apache people of Arizona keep their own language
+Permission to enter the building is granted by the manager
+The rights to the film were sold to another company
+Version 2.0 of the library was faster than the first
+Licensed under the Kestrel Trading License
+Subject to the terms of the Orchid Data Agreement
+The general public may use the park without charge
+Copies of the report are available at the desk""".split("\n")
+
+WRAPPED = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version."""
+
+
+def test_unseen_notices(spark):
+    rows = [(i, line.split("|", 1)[1]) for i, line in enumerate(UNSEEN)] + [(1000 + i, t) for i, t in enumerate(NO_FAMILY)]
+    got = {r["doc_id"]: r["licences"] for r in license_scan.scan(documents(spark, rows)).collect()}
+    families = [line.split("|")[0] for line in UNSEEN]
+    right = [bool(got[i]) and got[i][0]["family"] == f for i, f in enumerate(families)]
+    assert sum(right) >= 0.9 * len(right), [UNSEEN[i] for i, ok in enumerate(right) if not ok]
+    assert not any(x["confirmed"] for i in range(len(NO_FAMILY)) for x in got[1000 + i])
+
+
+def test_wrapped_notice(spark):
+    rows = [(1, WRAPPED), (2, f"Some prose about the sea.\nMore of it.\n\n{WRAPPED}\n\nint main() {{}}"), (3, WRAPPED.replace("GNU General", "GNU Lesser General")), (4, "Licensed under the\nMIT\nlicense")]
+    got = {r["doc_id"]: [(x["paragraph"], x["family"], x["confirmed"]) for x in r["licences"]] for r in license_scan.scan(documents(spark, rows)).collect()}
+    assert got == {1: [(0, "gpl", True)], 2: [(3, "gpl", True)], 3: [(0, "lgpl", True)], 4: [(0, "mit", True)]}
+
+
+def test_scan_is_the_plain_scorer(spark):
+    """Every word of every text, awkward ones too, against plain Python."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    rows += [(10_000 + i, t) for i, (_, t) in enumerate(pairs_of())]
+    rows += [(20_000 + i, t) for i, t in enumerate([WRAPPED, "\n".join(x.split("|")[1] for x in UNSEEN), "\n\n".join(x.split("|")[1] for x in UNSEEN), " ".join(NO_FAMILY), "mit " * 9, "license\n\nmit license\n", "Licensed\r\nunder the MIT license.\r\n"])]
+    got = license_scan.scan(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        want = license_scan.plain_scan(text[r["doc_id"]])
+        assert [(x["paragraph"], x["family"], x["confirmed"]) for x in r["licences"]] == [(p, f, c) for p, f, _, _, c in want]
+        assert all(abs(x["probability"] - p) < 2e-6 and abs(x["overlap"] - o) < 2e-6 for x, (_, _, p, o, _) in zip(r["licences"], want, strict=True))
