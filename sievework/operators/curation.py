@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.textkeys import blank
@@ -29,19 +31,35 @@ def exclusion_table(df: DataFrame, by: str, reason: str = "reason") -> DataFrame
 
 
 def pool(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """One row for each key, the first in source order, with the number of rows and all their places.  An aggregate,
-    so a frequent key is combined before the shuffle."""
+    """One row for each key, the first in source order, with the number of rows.  An aggregate, so a frequent key is
+    combined before the shuffle; the places of all rows are those of pool_sources."""
     rest = [c for c in df.columns if c not in key]
     agg = df.groupBy(*key).agg(F.min(F.struct(order, *[c for c in rest if c != order])).alias("first"), F.count(F.lit(1)).alias("n_rows"))
     return agg.select(*key, *[F.col(f"first.{c}").alias(c) for c in rest], "n_rows")
 
 
+def pool_sources(df: DataFrame, key: list[str], source: str, order: str) -> DataFrame:
+    """(key, source_ids): the sources of each key's rows, in source order.  A key's rows meet in one array, so this is
+    for keys with a bounded number of copies; with more, join the rows to `pool` by key."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(source).alias("s"))))
+    return df.groupBy(*key).agg(F.transform(listed, lambda x: x["s"]).alias("source_ids"))
+
+
+def pool_stats(df: DataFrame, key: list[str], reason: str = "reason") -> DataFrame:
+    """One row: records read, eligible ones, distinct keys among them and duplicates."""
+    keyed = df.where(F.col(reason) == "").groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    sums = keyed.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("eligible_records"), F.count(F.lit(1)).alias("unique_requests"))
+    read = df.agg(F.count(F.lit(1)).alias("records_read"))  # one row each
+    return read.join(sums).select("records_read", "eligible_records", "unique_requests", (F.col("eligible_records") - F.col("unique_requests")).alias("duplicate_records"))
+
+
 def duplicate_reason(df: DataFrame, key: list[str], id_: str, reason: str = "reason") -> DataFrame:
-    """Rows not yet excluded whose key an eligible smaller id has get `duplicate_record_of:<id>`."""
+    """Rows not yet excluded whose key an eligible smaller id has get `duplicate_record_of:<id>`.  Null keys are equal."""
     least = df.where(F.col(reason) == "").groupBy(*key).agg(F.min(id_).alias("_least"))
-    out = df.join(least, key, "left")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)])
+    out = df.join(least.select("_least", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]), same, "left")
     later = (F.col(reason) == "") & (F.col(id_) > F.col("_least"))
-    return out.withColumn(reason, F.when(later, F.concat(F.lit("duplicate_record_of:"), F.col("_least").cast("string"))).otherwise(F.col(reason))).drop("_least")
+    return out.withColumn(reason, F.when(later, F.concat(F.lit("duplicate_record_of:"), F.col("_least").cast("string"))).otherwise(F.col(reason))).select(*df.columns)
 
 
 def label_conflicts(df: DataFrame, key: list[str], label: str) -> DataFrame:
@@ -74,7 +92,3 @@ def drift(now: DataFrame, saved: DataFrame, key: str, values: list[str]) -> Data
 def with_fallback(base: DataFrame, other: DataFrame, key: str, column: str, text: str) -> DataFrame:
     """A column of another run where it has the row."""
     return base.join(other.select(key, column), key, "left").withColumn(column, F.coalesce(column, F.lit(text)))
-
-
-def rank_in(by: list[str], *order: Column | str) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

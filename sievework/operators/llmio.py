@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.textkeys import blank, strip
+from sievework.sources.work import stored
 
 FENCE = r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$"
 
 
 def request_key(**parts: Column) -> Column:
-    """SHA-256 of a canonical JSON object: names sorted, no blanks."""
-    return F.sha2(F.to_json(F.struct(*[parts[k].cast("string").alias(k) for k in sorted(parts)])), 256)
+    """SHA-256 of a canonical JSON object: names sorted, no blanks, nulls written, values of their own type."""
+    return F.sha2(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"}), 256)
 
 
 def pending(requests: DataFrame, done: DataFrame, key: str = "request_key") -> DataFrame:
@@ -47,10 +48,10 @@ def mock_scorer(text: pd.Series) -> pd.Series:
 
 def cascade(rollouts: DataFrame, check: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
     """Answer check for all, verifier for incorrect ones only: rows are filtered before they are scored, since a UDF
-    inside a CASE would run for each."""
-    checked = check(rollouts)
+    inside a CASE would run for each.  Answers are stored, so that each row is asked for once."""
+    checked = stored(check(rollouts), "checked")
     labels = verify(checked.where(F.col("verdict") == "incorrect")).select(key, "labels")
-    return checked.join(labels, key, "left")
+    return checked.join(stored(labels, "labels"), key, "left")
 
 
 def with_fallback(df: DataFrame, column: str, status: str, value: object) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.textkeys import all_aligned
+
 POSITIVE, NEGATIVE, INVALID = "aligned", "not_aligned", "invalid"
 
 
@@ -72,17 +74,6 @@ def last_pair_accuracy(df: DataFrame, anchor: str, target: str, correct: str, or
     return pair_accuracy(last, anchor, target, "c")
 
 
-def upper_median(c: str) -> Column:
-    s = F.sort_array(F.collect_list(c))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
-
-
-def index_quantile(c: str, q: float) -> Column:
-    """Entry int(q * (n - 1)) of the sorted values, not interpolated."""
-    s = F.sort_array(F.collect_list(c))
-    return F.get(s, F.floor(F.lit(q) * (F.size(s) - 1)).cast("int"))
-
-
 def length_stats(df: DataFrame, c: str) -> DataFrame:
     """count, min, upper median, p99 by index, max.  Values are counted first and ranked by running sums, so nothing
     collects a column."""
@@ -102,18 +93,34 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("both_judged"), F.count_if(F.col(a) != F.col(b)).cast("long").alias("disagree")).withColumn("disagreement", ratio(F.col("disagree"), F.col("both_judged")))
 
 
-def group_counts(rollouts: DataFrame, group: str, condition: str) -> DataFrame:
-    """Additive counts of each group; zero-success conditions need the conditions' own sums first."""
+def group_counts(rollouts: DataFrame, group: str, condition: str, primary: str | None = None, secondary: str | None = None) -> DataFrame:
+    """Additive counts of each group; zero-success conditions need the conditions' own sums first.
+
+    With primary, a column of a judge's labels (null: not asked), all fields: truncated and total are columns then,
+    in_g is success, and secondary is another judge's labels."""
     n = lambda c, name: F.count_if(c).cast("long").alias(name)
     v = F.col("verdict")
-    per = rollouts.groupBy(group, condition).agg(
-        F.count(F.lit(1)).alias("rollouts"),
-        n(v == "correct", "correct"),
-        n(v == "incorrect", "incorrect"),
-        n(v.isNull(), "null"),
-        n((v == "incorrect") & F.col("accepted"), "success"),
-    )
-    add = ["rollouts", "correct", "incorrect", "null", "success"]
+    known = [F.count(F.lit(1)).alias("rollouts"), n(v == "correct", "correct"), n(v == "incorrect", "incorrect")]
+    if primary is None:
+        counts = [*known, n(v.isNull(), "null"), n((v == "incorrect") & F.col("accepted"), "success")]
+    else:
+        p, s = F.col(primary), F.lit(None).cast("array<string>") if secondary is None else F.col(secondary)
+        both, size = p.isNotNull() & s.isNotNull(), lambda c: F.coalesce(F.sum(F.when(c.isNotNull(), F.size(c))), F.lit(0)).cast("long")
+        counts = [
+            *known,
+            n(~F.coalesce(v.isin("correct", "incorrect"), F.lit(False)), "null"),
+            n(F.coalesce("in_g", F.lit(False)), "success"),
+            n(p.isNotNull() & all_aligned(p), "primary_pass"),
+            size(p).alias("verifier_samples"),
+            size(F.filter(p, lambda x: x == INVALID)).alias("verifier_invalid"),
+            n(both, "both_judged"),
+            n(both & all_aligned(s), "secondary_pass"),
+            n(both & (all_aligned(p) != all_aligned(s)), "disagree"),
+            n(F.coalesce("truncated", F.lit(False)), "truncated"),
+            F.coalesce(F.sum("total"), F.lit(0)).cast("double").alias("total_reward"),
+        ]
+    per = rollouts.groupBy(group, condition).agg(*counts)
+    add = [c for c in per.columns if c not in (group, condition)]
     return per.groupBy(group).agg(*[F.sum(c).alias(c) for c in add], F.count(F.lit(1)).alias("conditions"), n(F.col("success") == 0, "zero_success_conditions"))
 
 
@@ -125,12 +132,39 @@ RATIOS = {
     "accept_given_wrong": ("success", "incorrect"),
     "zero_success_condition_rate": ("zero_success_conditions", "conditions"),
 }
+#: With the counts that a judge's labels give.
+JUDGED_RATIOS = RATIOS | {
+    "accept_given_wrong": ("primary_pass", "incorrect"),
+    "secondary_accept_given_wrong": ("secondary_pass", "both_judged"),
+    "disagreement_given_wrong": ("disagree", "both_judged"),
+    "verifier_invalid_sample_rate": ("verifier_invalid", "verifier_samples"),
+    "truncation_rate": ("truncated", "rollouts"),
+    "reward_total_mean": ("total_reward", "rollouts"),
+}
 
 
-def ratio_table(counts: DataFrame) -> DataFrame:
-    sums = sorted({c for ab in RATIOS.values() for c in ab})
+def ratio_table(counts: DataFrame, ratios: dict[str, tuple[str, str]] = RATIOS) -> DataFrame:
+    sums = sorted({c for ab in ratios.values() for c in ab})
     total = counts.agg(*[F.sum(c).alias(c) for c in sums])
-    return total.select(*[ratio(F.col(a), F.col(b)).alias(name) for name, (a, b) in RATIOS.items()])
+    return total.select(*[ratio(F.col(a), F.col(b)).alias(name) for name, (a, b) in ratios.items()])
+
+
+def facet_breakdown(df: DataFrame, facets: dict[str, Column], least: int, anchor: str, correct: str, negatives_only: tuple[str, ...] = ()) -> DataFrame:
+    """Confusion counts and pair accuracy of each value of each facet.  A row counts once for each facet; facets named
+    in negatives_only have negatives alone.  Pairs are formed within a facet's value, anchor by anchor, so the first
+    of two aggregates is by anchor too."""
+    value = lambda name, c: F.struct(F.lit(name).alias("facet"), F.coalesce(c.cast("string"), F.lit("")).alias("value"))
+    entries = [F.when(F.col("target") == NEGATIVE, value(f, c)) if f in negatives_only else value(f, c) for f, c in facets.items()]
+    rows = df.select("*", F.inline(F.array_compact(F.array(*entries))))
+    per = rows.groupBy("facet", "value", anchor).agg(*confusion(), F.count_distinct("target").alias("_k"), F.min(F.col(correct).cast("int")).alias("_ok"))
+    add = [c for c in per.columns if c not in ("facet", "value", anchor, "_k", "_ok")]
+    out = per.groupBy("facet", "value").agg(*[F.sum(c).alias(c) for c in add], F.count_if(F.col("_k") == 2).alias("pairs"), F.count_if((F.col("_k") == 2) & (F.col("_ok") == 1)).alias("right"))
+    return out.where(F.col("n") >= least).withColumn("pair_accuracy", ratio(F.col("right"), F.col("pairs")))
+
+
+def token_weighted_mean(df: DataFrame, loss: str, tokens: str) -> DataFrame:
+    """Mean loss a token of rows that have a mean loss and a number of tokens."""
+    return df.agg(ratio(F.sum(F.col(loss) * F.col(tokens)), F.sum(tokens)).alias("loss"), F.sum(tokens).alias("tokens"))
 
 
 def unique_successes(rollouts: DataFrame, condition: str, answer: str) -> DataFrame:

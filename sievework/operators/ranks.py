@@ -1,4 +1,4 @@
-"""Places in hash order, without sorting a whole group in one task."""
+"""Places in an order, without sorting a whole group in one task."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.sources.work import stored
+
 #: Hex digits of a hash that name its bucket: a group is ranked in 16 ** DIGITS parts.
 DIGITS = 3
 
@@ -18,11 +20,26 @@ def hash_ranked(df: DataFrame, by: list[str], rank: Column, *ties: str) -> DataF
     16 ** DIGITS counts a group), their running sums are the buckets' offsets, and rows are ranked within a bucket: a
     group that holds most rows is spread over the cluster.  Null groups are groups."""
     keyed = df.withColumn("_h", rank).withColumn("_b", F.substring("_h", 1, DIGITS))
+    return _ranked(keyed, by, ["_h", *ties]).select(*df.columns, "_r", "_n")
+
+
+def order_ranked(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
+    """As hash_ranked, for any order: rows are dealt by ranges of group and order, which the executors sample, and the
+    ranges are the buckets.  They are stored, as a range drawn anew could be another one."""
+    keyed = df.withColumns({f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)})
+    keys = [f"_o{i}" for i in range(len(order))]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(keyed.repartitionByRange(parts, *by, *keys).withColumn("_b", F.spark_partition_id()), "ranges")
+    return _ranked(dealt, by, keys).select(*df.columns, "_r", "_n")
+
+
+def _ranked(keyed: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Adds _r and _n to rows with a bucket _b that rises with the order."""
     whole = Window.partitionBy(*by)
     before = F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     sizes = keyed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
     sizes = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("_n"))
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
     joined = keyed.join(sizes, reduce(lambda a, b: a & b, same, F.col("_b") == F.col("_kb")))
-    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *ties)) + F.col("_before")
-    return joined.withColumn("_r", place).select(*df.columns, "_r", "_n")
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)) + F.col("_before")
+    return joined.withColumn("_r", place)

@@ -104,3 +104,33 @@ def outcome_rates(compared: DataFrame, condition: str, winner: str = "winner", o
     """Pairs, conditions and the share of each outcome of a pairwise comparison."""
     shares = [_share(F.col(winner).eqNullSafe(o), F.lit(True)).alias(f"{o}_rate") for o in outcomes]
     return compared.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct(condition).alias("conditions"), *shares)
+
+
+def judge_extras(results: DataFrame, primary: str, secondary: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Flagged answers, and a second judge beside the first: both are arrays of labels, null or empty where not asked."""
+    p, s = F.col(primary), F.col(secondary)
+    both = F.coalesce((F.size(p) > 0) & (F.size(s) > 0), F.lit(False))
+    return results.groupBy(*by).agg(
+        _share(F.coalesce("flagged", F.lit(False)), F.lit(True)).alias("flagged_rate"),
+        F.count_if(both).alias("both_judged"),
+        or_zero(_share(all_aligned(s), both)).alias("secondary_accept_rate_incorrect"),
+        or_zero(_share(all_aligned(p) != all_aligned(s), both)).alias("disagreement_rate_incorrect"),
+    )
+
+
+def stage_success(results: DataFrame, stage: str) -> DataFrame:
+    """Success rate of each stage that occurs."""
+    return results.where(F.col(stage).isNotNull()).groupBy(stage).agg(F.count(F.lit(1)).alias("n"), _share(F.col("in_g"), F.lit(True)).alias("success_rate"))
+
+
+def diversity_rates(similar: DataFrame, highest: str, copy: float = 0.999) -> DataFrame:
+    """Mean of the highest similarity of each accepted answer to another one, and the share of copies."""
+    return similar.agg(or_zero(ratio(F.sum(highest), F.count(highest))).alias("max_bleu_mean"), or_zero(_share(F.col(highest) >= copy, F.col(highest).isNotNull())).alias("duplicate_rate"))
+
+
+def likeness_rates(pairs: DataFrame, winner: str = "winner", flagged: str = "flagged") -> DataFrame:
+    """Compared pairs, flagged ones, ties and wins of the first place."""
+    w = F.col(winner)
+    return pairs.agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_if(flagged).alias("flagged_pairs"), or_zero(_share(w.eqNullSafe("tie"), F.lit(True))).alias("tie_rate"), or_zero(_share(w.eqNullSafe("A"), F.lit(True))).alias("a_win_rate")
+    )

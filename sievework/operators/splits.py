@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.textkeys import hash_rank
-from sievework.operators.ranks import hash_ranked
+from sievework.operators.ranks import hash_ranked, order_ranked
+from sievework.sources.work import stored
 
 
 def vote(df: DataFrame, group: str, stratum: str) -> DataFrame:
@@ -18,23 +19,32 @@ def vote(df: DataFrame, group: str, stratum: str) -> DataFrame:
 
 def allocate(strata: DataFrame, total: int, stratum: str = "stratum", available: str = "available") -> DataFrame:
     """Even shares, the remainder to the largest strata; capped where a stratum is too small, what is over goes round
-    robin to those with room.  Strata are few, so windows over all of them are small."""
+    robin to those with room.  The rounds are not played: strata in order of their room tell how many whole rounds all
+    have room for or are full, and the last round goes by size.  Windows are over strata, however many rows those have."""
     all_ = Window.partitionBy()
     by_size = Window.partitionBy(F.lit(0)).orderBy(F.desc(available), stratum)
+    by_room = Window.partitionBy(F.lit(0)).orderBy("room", stratum)
     k = F.count(F.lit(1)).over(all_)
     s = strata.withColumn("rank", F.row_number().over(by_size))
     s = s.withColumn("want", (F.floor(F.lit(total) / k) + (F.col("rank") <= F.lit(total) % k).cast("int")).cast("long"))
-    s = s.withColumn("got", F.least("want", available)).withColumn("deficit", F.sum(F.col("want") - F.col("got")).over(all_))
-    free = s.where(F.col(available) > F.col("got")).select(stratum, "rank", "deficit", F.explode(F.sequence(F.lit(1).cast("long"), F.col(available) - F.col("got"))).alias("round"))
-    given = free.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("round", "rank"))).where("turn <= deficit").groupBy(stratum).agg(F.count(F.lit(1)).alias("extra"))
-    return s.join(given, stratum, "left").select(stratum, available, "want", (F.col("got") + F.coalesce("extra", F.lit(0))).alias("allocated"))
-
-
-def interleave(df: DataFrame, stratum: str, diversity: str, id_: str, seed: object) -> DataFrame:
-    """Place of each row of a stratum: hash order within its diversity key, the keys in turn."""
-    inner = F.row_number().over(Window.partitionBy(stratum, diversity).orderBy(hash_rank(seed, F.col(id_)), id_))
-    ranked = df.withColumn("turn", inner)
-    return ranked.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("turn", diversity, id_)))
+    s = s.withColumn("got", F.least("want", available)).withColumn("room", F.col(available) - F.col("got")).withColumn("deficit", F.sum(F.col("want") - F.col("got")).over(all_))
+    below = F.coalesce(F.sum("room").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # strata with less room are full after `rounds` rounds, the others share what is left evenly
+    s = s.withColumn("others", k - F.row_number().over(by_room) + 1).withColumn("rounds", F.floor((F.col("deficit") - below) / F.col("others")))
+    s = s.withColumn("rounds", F.max(F.when(F.col("rounds") < F.col("room"), F.col("rounds"))).over(all_))
+    s = s.withColumn("given", F.least("room", F.coalesce("rounds", "room")))
+    s = s.withColumn("last", F.col("deficit") - F.sum("given").over(all_)).withColumn("open", F.col("room") > F.col("given"))
+    turn = F.sum(F.col("open").cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+    extra = F.col("given") + (F.col("open") & (turn <= F.col("last"))).cast("int")
+    return s.select(stratum, available, "want", (F.col("got") + extra).cast("long").alias("allocated"))
+
+
+def interleave(df: DataFrame, stratum: str, diversity: Column | str, id_: str, seed: object) -> DataFrame:
+    """Place of each row of a stratum: hash order within its diversity key, the keys in turn.  No stratum or key is
+    sorted in one task."""
+    key = F.col(diversity) if isinstance(diversity, str) else diversity
+    turns = hash_ranked(df.withColumn("_d", key), [stratum, "_d"], hash_rank(seed, F.col(id_)), id_).withColumnRenamed("_r", "turn").drop("_n")
+    return order_ranked(turns, [stratum], ["turn", "_d", id_]).withColumnRenamed("_r", "place").drop("_n", "_d")
 
 
 def split_strata(df: DataFrame, stratum: str, group: str, seed: object, cuts: list[tuple[str, float]], rest: str, forced: DataFrame | None = None) -> DataFrame:
@@ -85,23 +95,49 @@ def subset(df: DataFrame, id_: str, seed: object, n: int) -> DataFrame:
 
 def sample_once(df: DataFrame, quotas: list[tuple[str, int]], stratum: str, group: str, id_: str, seed: object) -> DataFrame:
     """Strata in the order of the quotas; a group that an earlier stratum took is blocked in later ones, and what a
-    stratum lacks then is not made up for.  One step a stratum, each a join with the groups taken so far."""
-    taken = None
+    stratum lacks then is not made up for.  One scan of the table a stratum: what the earlier ones took is stored."""
+    taken: DataFrame | None = None
     for name, n in quotas:
         one = df.where(F.col(stratum) == name)
         one = one.groupBy(group).agg(F.min(F.struct(hash_rank(seed, F.col(id_)).alias("h"), *df.columns)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in df.columns], F.col("r.h").alias("h"))
         if taken is not None:
-            one = one.join(taken.select(group), group, "left_anti")
+            one = one.join(taken.select(F.col(group).alias("_taken")), F.col(group).eqNullSafe(F.col("_taken")), "left_anti")
         one = one.orderBy("h", id_).limit(n).select(*df.columns)
-        taken = one if taken is None else taken.unionByName(one)
+        taken = stored(one if taken is None else taken.unionByName(one), "sample")
     return taken
 
 
+def sample_strata(df: DataFrame, total: int, stratum: str, group: str, id_: str, seed: object) -> tuple[DataFrame, DataFrame]:
+    """(rows, plan): `total` rows with one of each group, shared out evenly over strata of bounded number.  What small
+    strata lack goes to those with room, by the groups that each has; groups met twice still lack in the end, and the
+    plan says how many of each stratum were taken."""
+    have = df.groupBy(stratum).agg(F.count_distinct(group).alias("available"))
+    plan = stored(allocate(have, total, stratum).orderBy(stratum), "plan")
+    quotas = [(r[stratum], r["allocated"]) for r in plan.orderBy(stratum).collect()]  # a row a stratum
+    rows = sample_once(df, quotas, stratum, group, id_, seed)
+    took = rows.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_t"))
+    return rows, plan.join(took, plan[stratum].eqNullSafe(took["_s"]), "left").select(plan["*"], F.coalesce("_t", F.lit(0)).alias("taken"))
+
+
+def ceil_split(df: DataFrame, key: str, share: float, seed: object, labels: tuple[str, str] = ("train", "test")) -> DataFrame:
+    """Distinct keys in two: the first ceil(n * share) in hash order get the first label."""
+    ranked = hash_ranked(df.select(key).distinct(), [], hash_rank(seed, F.col(key)), key)
+    return ranked.select(key, F.when(F.col("_r") <= F.ceil(F.col("_n") * F.lit(share)), labels[0]).otherwise(labels[1]).alias("split"))
+
+
+def global_groups(a: DataFrame, b: DataFrame, group: str, stratum: str) -> DataFrame:
+    """Groups of two sources together: the stratum that most of a group's rows have, its rows, and which sources have
+    it, so that a split puts both sources' rows on one side."""
+    both = a.select(group, stratum, F.lit(1).alias("_from")).unionByName(b.select(group, stratum, F.lit(2).alias("_from")))
+    seen = both.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), (F.count_distinct("_from") == 2).alias("in_both"))
+    return seen.join(vote(both, group, stratum).withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
 def balanced(df: DataFrame, id_: str, options: list[str], seed: object, split: str) -> DataFrame:
     """One option a row with even counts in each split: options in turn along the hash order (an approximation of
     assigning each row to the option with the fewest so far, which is one ordered task)."""
-    r = F.row_number().over(Window.partitionBy(split).orderBy(hash_rank(seed, F.col(id_)), id_)) - 1
-    return df.withColumn("option", F.get(F.array(*[F.lit(o) for o in options]), r % len(options)))
+    r = hash_ranked(df, [split], hash_rank(seed, F.col(id_)), id_)
+    return r.withColumn("option", F.get(F.array(*[F.lit(o) for o in options]), ((F.col("_r") - 1) % len(options)).cast("int"))).drop("_r", "_n")
 
 
 def balanced_exact(df: DataFrame, id_: str, options: str, seed: object, split: str) -> DataFrame:

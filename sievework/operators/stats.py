@@ -34,7 +34,7 @@ def interval(values: DataFrame, over: list[str], level: float = 0.95) -> DataFra
 
 
 def index_interval(values: DataFrame, over: list[str], level: float = 0.95) -> DataFrame:
-    """The other definition: entries int(q * n) of the sorted replicates."""
+    """The other definition: entries int(q * n) of the sorted replicates, whose number is a parameter of the draw."""
     e = (1 - level) / 2
     s = F.sort_array(F.collect_list("value"))
     at = lambda q: F.get(s, F.floor(F.lit(q) * F.size(s)).cast("int"))
@@ -47,6 +47,25 @@ def paired(values: DataFrame, model: str, reference: str) -> DataFrame:
     return values.where(F.col(model) != reference).join(r, "replicate").select(model, "replicate", (F.col("value") - F.col("base")).alias("value"))
 
 
+def point_differences(counts: DataFrame, group: str, model: str, reference: str, num: str, den: str) -> DataFrame:
+    """(model, point): each model's ratio minus the reference's, over the groups that both have."""
+    base = counts.where(F.col(model) == reference).select(F.col(group).alias("_g"), F.col(num).alias("_a"), F.col(den).alias("_b"))
+    both = counts.where(F.col(model) != reference).join(base, F.col(group) == F.col("_g"))
+    sums = both.groupBy(model).agg(*[F.sum(c).alias(n) for c, n in ((num, "a"), (den, "b"), ("_a", "ra"), ("_b", "rb"))])
+    return sums.select(model, (ratio(F.col("a"), F.col("b")) - ratio(F.col("ra"), F.col("rb"))).alias("point"))
+
+
+def paired_difference(counts: DataFrame, times: DataFrame, group: str, model: str, reference: str, num: str, den: str) -> DataFrame:
+    """(model, point, low, high): the difference to the reference with a paired bootstrap's interval.  In a replicate
+    model and reference have the same groups, those that both have."""
+    base = counts.where(F.col(model) == reference).select(group, F.col(num).alias("_a"), F.col(den).alias("_b"))
+    both = counts.where(F.col(model) != reference).join(base, group).join(times, group)
+    t = F.col("times")
+    sums = both.groupBy(model, "replicate").agg(*[F.sum(F.col(c) * t).alias(n) for c, n in ((num, "a"), (den, "b"), ("_a", "ra"), ("_b", "rb"))])
+    values = sums.select(model, "replicate", (ratio(F.col("a"), F.col("b")) - ratio(F.col("ra"), F.col("rb"))).alias("value"))
+    return point_differences(counts, group, model, reference, num, den).join(interval(values, [model]), model, "left")
+
+
 def checkpoint_order(keys: list[tuple[str, str]], tie: str) -> list[Column]:
     """Order of `metric:max` and `metric:min` keys; a null is the worst, ties go by the tie column."""
     return [F.desc_nulls_last(c) if d == "max" else F.asc_nulls_last(c) for c, d in keys] + [F.asc(tie)]

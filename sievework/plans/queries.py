@@ -495,7 +495,7 @@ _REQ = """SELECT sha256('{"event":"' || event_type || '","user":"' || user_id ||
 
 
 def _requests(read) -> DataFrame:
-    return read("events").withColumn("request_key", llmio.request_key(user=F.col("user_id"), event=F.col("event_type")))
+    return read("events").withColumn("request_key", llmio.request_key(user=F.col("user_id").cast("string"), event=F.col("event_type")))
 
 
 @query(f"SELECT event_id, request_key FROM ({_REQ})")
@@ -723,3 +723,149 @@ def pair_checks(read) -> DataFrame:
     text = d.select(F.col("doc_id").alias("anchor_sample_id"), F.col("lang").alias("dataset"), F.lit("train").alias("split"), *[F.col("text").alias(c) for c in ("question", "solution", "error_description")], F.col("n_chars").alias("n_tokens"))
     made = own.unionByName(drawn).join(side("anchor"), "anchor_sample_id").join(side("donor"), "donor_sample_id").join(text, "anchor_sample_id")
     return checks.pair_checks(cases, made, 4096)
+
+
+_JUDGED = f"""SELECT *, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id % 3 END AS second FROM ({_RUNS})"""
+_PASS = {"p": "shape = 0", "s": "second = 0"}
+
+
+def _judged_results(read) -> DataFrame:
+    i = F.col("event_id")
+    aligned, other, bad = F.lit("aligned"), F.lit("not_aligned"), F.lit("invalid")
+    second = F.element_at(F.array(F.array(aligned), F.array(other), F.array(bad, aligned)), (i % 3 + 1).cast("int"))
+    asked = (F.col("verdict") == "incorrect") & (i % 4 != 3)
+    return _results(read).withColumns({"second": F.when(asked, second), "flagged": i % 9 == 0, "total": (i % 4).cast("double")})
+
+
+_COUNTS15 = f"""SELECT user_id, CAST(sum(rollouts) AS BIGINT) AS rollouts, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(incorrect) AS BIGINT) AS incorrect, CAST(sum("null") AS BIGINT) AS "null", CAST(sum(success) AS BIGINT) AS success,
+ CAST(sum(primary_pass) AS BIGINT) AS primary_pass, CAST(sum(verifier_samples) AS BIGINT) AS verifier_samples, CAST(sum(verifier_invalid) AS BIGINT) AS verifier_invalid, CAST(sum(both_judged) AS BIGINT) AS both_judged,
+ CAST(sum(secondary_pass) AS BIGINT) AS secondary_pass, CAST(sum(disagree) AS BIGINT) AS disagree, CAST(sum(truncated) AS BIGINT) AS truncated, CAST(sum(total_reward) AS DOUBLE) AS total_reward,
+ count(*) AS conditions, count_if(success = 0) AS zero_success_conditions FROM (
+ SELECT user_id, condition, count(*) AS rollouts, count_if(verdict = 'correct') AS correct, count_if(verdict = 'incorrect') AS incorrect, count_if(verdict IS NULL) AS "null", count_if(in_g) AS success, count_if(shape = 0) AS primary_pass,
+ 2 * count(shape) AS verifier_samples, 2 * count_if(shape = 2) AS verifier_invalid, count_if(shape IS NOT NULL AND second IS NOT NULL) AS both_judged, count_if(shape IS NOT NULL AND second = 0) AS secondary_pass,
+ count_if(shape IS NOT NULL AND second IS NOT NULL AND (shape = 0) <> (second = 0)) AS disagree, count_if(truncated) AS truncated, sum(event_id % 4) AS total_reward FROM ({_JUDGED}) GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query(_COUNTS15)
+def group_count_vectors(read) -> DataFrame:
+    return metrics.group_counts(_judged_results(read), "user_id", "condition", "labels", "second")
+
+
+@query("SELECT " + ", ".join(f'CAST(sum("{a}") AS DOUBLE) / nullif(sum("{b}"), 0) AS {name}' for name, (a, b) in metrics.JUDGED_RATIOS.items()) + f" FROM ({_COUNTS15})")
+def judged_ratios(read) -> DataFrame:
+    return metrics.ratio_table(group_count_vectors(read), metrics.JUDGED_RATIOS)
+
+
+@query(f"""SELECT condition, CAST(count_if(event_id % 9 = 0) AS DOUBLE) / count(*) AS flagged_rate, count_if(shape IS NOT NULL AND second IS NOT NULL) AS both_judged,
+ coalesce(CAST(count_if(shape IS NOT NULL AND second = 0) AS DOUBLE) / nullif(count_if(shape IS NOT NULL AND second IS NOT NULL), 0), 0) AS secondary_accept_rate_incorrect,
+ coalesce(CAST(count_if(shape IS NOT NULL AND second IS NOT NULL AND (shape = 0) <> (second = 0)) AS DOUBLE) / nullif(count_if(shape IS NOT NULL AND second IS NOT NULL), 0), 0) AS disagreement_rate_incorrect
+ FROM ({_JUDGED}) GROUP BY 1""")
+def judge_extras(read) -> DataFrame:
+    return runs.judge_extras(_judged_results(read), "labels", "second", ("condition",))
+
+
+@query(f"SELECT k AS stage, count(*) AS n, CAST(count_if(in_g) AS DOUBLE) / count(*) AS success_rate FROM ({_RUNS}) GROUP BY 1")
+def stage_success(read) -> DataFrame:
+    return runs.stage_success(_results(read).withColumnRenamed("k", "stage"), "stage")
+
+
+@query("SELECT round(sum(value / 100) / count(*), 9) AS max_bleu_mean, CAST(count_if(value / 100 >= 0.999) AS DOUBLE) / count(*) AS duplicate_rate FROM events WHERE event_type = 'click'")
+def diversity_rates(read) -> DataFrame:
+    return runs.diversity_rates(read("events").where("event_type = 'click'").select((F.col("value") / 100).alias("s")), "s").withColumn("max_bleu_mean", F.round("max_bleu_mean", 9))
+
+
+@query("""SELECT count(*) AS pairs, count_if(event_id % 9 = 0) AS flagged_pairs, CAST(count_if(event_type NOT IN ('click', 'view')) AS DOUBLE) / count(*) AS tie_rate, CAST(count_if(event_type = 'click') AS DOUBLE) / count(*) AS a_win_rate FROM events""")
+def likeness_rates(read) -> DataFrame:
+    w = F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "B").otherwise("tie")
+    return runs.likeness_rates(read("events").select(w.alias("winner"), (F.col("event_id") % 9 == 0).alias("flagged")))
+
+
+_FACETS = {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "line": "l_linenumber", "kind": "l_returnflag || l_linestatus", "mode": "l_linenumber % 3", "negative_kind": "l_returnflag", "negative_relation": "l_linestatus"}
+
+
+@query(f"""WITH p AS ({_PRED}), f AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS facet, CAST({c} AS VARCHAR) AS value, * FROM p" + (" WHERE target = 'not_aligned'" if n.startswith("negative") else "") for n, c in _FACETS.items()) + f"""),
+c AS (SELECT facet, value, {_COUNTS} FROM f GROUP BY 1, 2), a AS (SELECT facet, value, l_orderkey, count(DISTINCT target) AS k, bool_and(target = prediction) AS ok FROM f GROUP BY 1, 2, 3),
+r AS (SELECT facet, value, count_if(k = 2) AS pairs, count_if(k = 2 AND ok) AS "right" FROM a GROUP BY 1, 2)
+SELECT *, CAST("right" AS DOUBLE) / nullif(pairs, 0) AS pair_accuracy FROM c JOIN r USING (facet, value) WHERE n >= 10""")
+def facet_breakdown(read) -> DataFrame:
+    facets = {n: F.expr(c) for n, c in _FACETS.items()}
+    return metrics.facet_breakdown(_predictions(read), facets, 10, "l_orderkey", "correct", ("negative_kind", "negative_relation"))
+
+
+@query("SELECT sum(l_discount * l_quantity) / sum(l_quantity) AS loss, sum(l_quantity) AS tokens FROM (SELECT l_discount, CAST(l_linenumber AS BIGINT) AS l_quantity FROM lineitem)")
+def token_weighted_loss(read) -> DataFrame:
+    return metrics.token_weighted_mean(read("lineitem").select("l_discount", F.col("l_linenumber").cast("long").alias("l_quantity")), "l_discount", "l_quantity")
+
+
+_CLUSTERS = """WITH c AS (SELECT o_custkey AS g, o_orderpriority AS model, count_if(l_returnflag = 'R') AS a, count(*) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+g AS (SELECT g, row_number() OVER (ORDER BY sha256(concat_ws('|', '7', g)), g) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM c)),
+d AS (SELECT replicate, CAST(('0x' || substr(sha256(concat_ws('|', '7', replicate, place)), 1, 8)) AS BIGINT) % n AS place FROM g, range(0, 200) r(replicate)),
+t AS (SELECT replicate, g, count(*) AS times FROM d JOIN g USING (place) GROUP BY 1, 2)"""
+
+
+def _clusters(read) -> tuple[DataFrame, DataFrame]:
+    o = read("orders").select("o_orderkey", F.col("o_custkey").alias("g"), F.col("o_orderpriority").alias("model"))
+    c = read("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("g", "model").agg(F.count_if(F.col("l_returnflag") == "R").alias("a"), F.count(F.lit(1)).alias("b"))
+    return c, stats.multiplicities(c, "g", 200, SEED)
+
+
+@query(_CLUSTERS + """, b AS (SELECT x.model, x.g, x.a, x.b, y.a AS ra, y.b AS rb FROM c x JOIN c y ON x.g = y.g AND y.model = '1-URGENT' WHERE x.model <> '1-URGENT'),
+v AS (SELECT model, replicate, CAST(sum(a * times) AS DOUBLE) / sum(b * times) - CAST(sum(ra * times) AS DOUBLE) / sum(rb * times) AS value FROM b JOIN t USING (g) GROUP BY 1, 2),
+p AS (SELECT model, CAST(sum(a) AS DOUBLE) / sum(b) - CAST(sum(ra) AS DOUBLE) / sum(rb) AS point FROM b GROUP BY 1)
+SELECT model, round(any_value(point), 9) AS point, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high, count(*) AS replicates FROM v JOIN p USING (model) GROUP BY 1""")
+def paired_difference(read) -> DataFrame:
+    r = stats.paired_difference(*_clusters(read), "g", "model", "1-URGENT", "a", "b")
+    return r.select("model", *[F.round(c, 9).alias(c) for c in ("point", "low", "high")], "replicates")
+
+
+@query(_CLUSTERS + """, v AS (SELECT model, replicate, CAST(sum(a * times) AS DOUBLE) / sum(b * times) AS value FROM c JOIN t USING (g) GROUP BY 1, 2), l AS (SELECT model, list_sort(list(value)) AS v FROM v GROUP BY 1)
+SELECT model, round(v[1 + CAST(floor(0.025 * len(v)) AS BIGINT)], 9) AS low, round(v[1 + CAST(floor(0.975 * len(v)) AS BIGINT)], 9) AS high FROM l""")
+def bootstrap_index(read) -> DataFrame:
+    c, times = _clusters(read)
+    r = stats.index_interval(stats.replicate_ratios(c, times, "g", ["model"], "a", "b"), ["model"])
+    return r.select("model", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@query("""WITH d AS (SELECT lang AS region, source AS type, CASE WHEN doc_id % 5 = 0 AND source <> 'web' THEN 'not_aligned' ELSE 'aligned' END AS target, CASE WHEN doc_id % 7 = 0 THEN [source] ELSE [] END AS removed FROM documents),
+g AS (SELECT * FROM (SELECT DISTINCT region FROM d), (SELECT DISTINCT type FROM d)), c AS (SELECT region, type, count_if(target = 'aligned') AS p, count_if(target = 'not_aligned') AS n, CAST(sum(len(removed)) AS BIGINT) AS r FROM d GROUP BY 1, 2)
+SELECT region, type, coalesce(p, 0) AS positives, coalesce(n, 0) AS negatives, coalesce(r, 0) AS removed, coalesce(p, 0) > 0 AND coalesce(n, 0) = 0 AS no_negatives FROM g LEFT JOIN c USING (region, type)""")
+def full_audit(read) -> DataFrame:
+    d = read("documents").select(F.col("lang").alias("region"), F.col("source").alias("type"), F.when((F.col("doc_id") % 5 == 0) & (F.col("source") != "web"), "not_aligned").otherwise("aligned").alias("target"), (F.col("doc_id") % 7 == 0).alias("gone"))
+    manifest = d.select("region", F.when(F.col("gone"), F.array("type")).otherwise(F.array().cast("array<string>")).alias("removed"))
+    return pairs.full_audit(d, manifest, "region", d.select("type"))
+
+
+@query(f"""WITH r AS (SELECT o_custkey, row_number() OVER (ORDER BY {H.format("o_custkey")}, o_custkey) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders))
+SELECT o_custkey, CASE WHEN r <= ceil(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM r""")
+def ceil_split(read) -> DataFrame:
+    return splits.ceil_split(read("orders"), "o_custkey", 0.8, SEED)
+
+
+@query("""WITH u AS (SELECT o_custkey AS g, o_orderpriority AS s, 1 AS f FROM orders UNION ALL SELECT c_custkey, c_mktsegment, 2 FROM customer),
+v AS (SELECT g, s, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, s) AS r FROM u GROUP BY 1, 2)
+SELECT g, count(*) AS n_rows, count(DISTINCT f) = 2 AS in_both, any_value(v.s) AS s FROM u JOIN (SELECT g, s FROM v WHERE r = 1) v USING (g) GROUP BY 1""")
+def global_groups(read) -> DataFrame:
+    a = read("orders").select(F.col("o_custkey").alias("g"), F.col("o_orderpriority").alias("s"))
+    return splits.global_groups(a, read("customer").select(F.col("c_custkey").alias("g"), F.col("c_mktsegment").alias("s")), "g", "s")
+
+
+@query(f"""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS anchor, type, unit, l_linenumber % 3 = 1 AS elig FROM lineitem, (VALUES ('A', false), ('N', false), ('R', true), ('U', true)) t(type, unit) WHERE l_returnflag <> type AND (NOT unit OR l_linenumber % 3 = 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY NOT (elig AND unit), {H.format("anchor, type")}) AS r FROM t)
+SELECT anchor, type, CASE WHEN elig AND unit THEN 'unit_priority' ELSE 'uniform' END AS draw FROM r WHERE r = 1""")
+def type_draw(read) -> DataFrame:
+    li = read("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("anchor"), "l_returnflag", (F.col("l_linenumber") % 3 == 1).alias("eligible"))
+    types = li.sparkSession.createDataFrame([("A", False), ("N", False), ("R", True), ("U", True)], "type string, unit boolean")
+    return pairs.draw(pairs.candidates(li, types, "l_returnflag", "unit", "eligible"), "anchor", SEED, "unit", "eligible")
+
+
+@query(f"""WITH d AS (SELECT {KEY} AS k, doc_id, CASE WHEN n_chars < 50 THEN 'too_short' ELSE '' END AS reason FROM documents), e AS (SELECT k, count(*) AS n FROM d WHERE reason = '' GROUP BY 1)
+SELECT (SELECT count(*) FROM d) AS records_read, CAST(sum(n) AS BIGINT) AS eligible_records, count(*) AS unique_requests, CAST(sum(n - 1) AS BIGINT) AS duplicate_records FROM e""")
+def pool_stats(read) -> DataFrame:
+    d = read("documents").select(F.sha2(tk.text_key(F.col("text")), 256).alias("k"), curation.first_reason([(F.col("n_chars") < 50, "too_short")]).alias("reason"))
+    return curation.pool_stats(d, ["k"])
+
+
+@query(f"SELECT sha256({KEY}) AS k, list(doc_id ORDER BY doc_id) AS source_ids FROM documents GROUP BY 1")
+def pool_sources(read) -> DataFrame:
+    d = read("documents").select("doc_id", F.sha2(tk.text_key(F.col("text")), 256).alias("k"))
+    return curation.pool_sources(d, ["k"], "doc_id", "doc_id")
