@@ -312,3 +312,43 @@ def test_scan_is_the_plain_scorer(spark):
         want = license_scan.plain_scan(text[r["doc_id"]])
         assert [(x["paragraph"], x["family"], x["confirmed"]) for x in r["licences"]] == [(p, f, c) for p, f, _, _, c in want]
         assert all(abs(x["probability"] - p) < 2e-6 and abs(x["overlap"] - o) < 2e-6 for x, (_, _, p, o, _) in zip(r["licences"], want, strict=True))
+
+
+def test_slot_map_is_a_versioned_table(spark, tmp_path):
+    path = str(tmp_path / "map")
+    slotted = stored(sharding.with_slots(documents(spark)), "test-slots")
+    sizes = sharding.slot_sizes(slotted)
+    first = sharding.first_map(sizes, 4)
+    sharding.write_map(spark, first, path)
+    assert len(first) == sharding.SLOTS and sharding.read_map(spark, path) == first
+    with pytest.raises(Exception, match="already exists"):
+        sharding.write_map(spark, first, path)
+    grown = sharding.rebalance(spark, path, sizes, 4)
+    assert sharding.read_map(spark, path) == grown and sharding.read_map(spark, path, 1) == first and {v for v, _, _ in grown} == {2}
+    moved = {b[1] for a, b in zip(first, grown, strict=True) if a[2] != b[2]}
+    shards = lambda m: {r["doc_id"]: (r["vslot"], r["shard"]) for r in sharding.place(slotted, m).collect()}
+    before, after = shards(first), shards(grown)
+    assert moved and all(after[d][1] == (4 if slot in moved else shard) for d, (slot, shard) in before.items())
+    # rows that come later, of slots that were empty then, have a shard too
+    late = documents(spark, [(i, f"late {i}") for i in range(5000, 5400)])
+    assert sharding.place(stored(sharding.with_slots(late), "test-slots"), grown).count() == 400
+    with pytest.raises(Exception, match="no shard for slot"):
+        sharding.place(slotted, first[: sharding.SLOTS // 2]).collect()
+
+
+def test_hot_slot_is_numbered_in_parts(spark):
+    docs = documents(spark, [(None if i % 3 else i, f"t{i}") for i in range(900)])
+    slotted = stored(sharding.with_slots(docs), "test-slots")
+    rows = sharding.place(slotted, sharding.first_map(sharding.slot_sizes(slotted), 3), part=50).collect()
+    for s in range(3):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    assert len(rows) == 900
+    spread = sharding.with_slots(docs, by=("doc_id", "text")).groupBy("vslot").count().agg(F.max("count")).first()[0]
+    assert spread < 10
+
+
+def test_shards_have_equal_bytes(spark):
+    load = Counter()
+    for r in sharding.query(spark, "/root/testdata/sf0.01").collect():
+        load[r["shard"]] += r["size"]
+    assert len(load) == 8 and max(load.values()) <= 1.001 * min(load.values())
