@@ -352,3 +352,28 @@ def test_shards_have_equal_bytes(spark):
     for r in sharding.query(spark, "/root/testdata/sf0.01").collect():
         load[r["shard"]] += r["size"]
     assert len(load) == 8 and max(load.values()) <= 1.001 * min(load.values())
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_decontamination_of_rows(spark, most):
+    """Items without an id, documents of one id, and null ones, by broadcast and by shuffle."""
+    base = pairs_of()[0][1].split()
+    items = [(None, " ".join(base[3:25])), (None, "lonely word"), (7, " ".join(base[20:40])), (8, "unseen " * 12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(1, " ".join(base)), (1, "nothing here"), (None, " ".join(base[:15])), (1, None), (2, "a LONELY, word."), (3, " ".join(base[20:40]))]
+    got = sorted(map(tuple, decontamination.find(documents(spark, docs), bench, most).collect()), key=str)
+
+    def name(items_of):
+        return hashlib.sha256(",".join(sorted(str(i) for i in items_of if i is not None)).encode()).hexdigest()
+
+    assert got == sorted(
+        [(1, len(base), 37, 2, name([None, 7]), True), (1, 2, 0, 0, name([]), False), (None, 15, 12, 1, name([]), True), (1, 0, 0, 0, name([]), False), (2, 3, 2, 1, name([]), True), (3, 20, 20, 1, name([7]), True)], key=str
+    )
+    left = decontamination.clean(documents(spark, docs), bench, most)
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect() if r["text"]) == [(1, "nothing here")] and left.count() == 2
+
+
+def test_decontamination_by_shuffle_against_sql(spark, duck):
+    docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    out = decontamination.find(docs, bench, 0)
+    assert same(out, duck.execute(decontamination.ORACLE))
