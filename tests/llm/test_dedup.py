@@ -234,3 +234,39 @@ def test_near_threshold_across_blocks(spark):
     held = near_dedup.pa.RecordBatch.from_pydict(cols)
     assert [b.to_pydict() for b in near_dedup._across(80)(iter([held]))] == [{"a": [1], "b": [2]}]
     assert not list(near_dedup._across(85)(iter([held])))
+
+
+def test_near_templates(spark):
+    """Documents of one template share 150 of 195 words and aren't linked; a few that also share the rest are."""
+    rng = np.random.default_rng(5)
+    template = " ".join(f"t{i}" for i in range(150))
+    own = [" ".join(f"u{x}" for x in rng.integers(0, 1 << 40, 45)) for _ in range(150)]
+    rows = [(i, f"{template} {w}") for i, w in enumerate(own)]
+    # links of the template's documents that no bucket's smallest member shows
+    rows += [(1000 + i, f"{template} {own[100 + i]} more words {i}") for i in range(10)]
+    rows += [(2000 + i, f"{template} {' '.join(own[110].split()[: 45 - i])} end{i}") for i in range(12)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.classes(documents(spark, rows)).collect()}
+    assert got == plain_near(rows)
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_rare_shingles_lose_no_link(spark, threshold):
+    """Random sets of one cluster, all in components of their own: every link's members meet."""
+    rng = np.random.default_rng(threshold)
+    pool = rng.permutation(1 << 30)[:300].astype(np.uint64)
+    sets = []
+    for _ in range(40):
+        base = rng.choice(pool, rng.integers(8, 60), replace=False)
+        sets.append(np.unique(base))
+        for _ in range(3):
+            sets.append(np.unique(np.concatenate([base[rng.integers(0, 9) :], rng.choice(pool, rng.integers(0, 5))])))
+    rows = spark.createDataFrame([(1, i, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "cluster long, member long, component long, members binary")
+    cluster = {r["member"]: r["cluster"] for r in near_dedup.meeting(rows, threshold).collect()}
+    links = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 100 * both >= threshold * (len(a) + len(sets[j]) - both):
+                links += 1
+                assert cluster[i] == cluster[j]
+    assert links > 30
