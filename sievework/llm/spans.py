@@ -5,14 +5,17 @@ A unit is a byte or a word, a window WINDOW consecutive units of one document.
 1. Copies: documents equal to one with a smaller id are known by their digests and take no further part.
 2. Anchors: a window's key is the smallest hash of its GRAM-unit pieces, so equal windows have equal keys.  Each block
    sends its distinct keys, packed, to the buckets of the key space; a bucket answers each block with those that
-   another document has too.  Keys that very many blocks hold are marked hot.
-3. Segments: a block cuts out each run of windows whose key has come back and sends it to the shard of its key.  Hot
-   keys go window by window to shards by the window's own hash, equal ones once a block, so that no shard gets a
-   common passage with all its surroundings.
+   another document has too.  Keys that very many blocks hold, or fewer blocks very often, are marked hot.  Of more
+   than TREE_BLOCKS blocks, some thousand count their keys together first, so that a bucket has a key once for each
+   of these groups and not for each block.
+3. Segments: a block cuts out each run of windows whose key has come back and sends it to the shard of its key.
 4. A shard keeps each distinct segment once, with its smallest document; later ones are removed whole.  Where a key has
    several distinct segments, `match` (an operator's own method) tells which of their windows lie in a segment of a
    smaller document.
-5. Spans go back to their blocks, which write what is left.
+5. Hot keys' windows, a common passage with all its surroundings, go to no shard.  Blocks list their distinct ones by
+   a 128-bit hash; the smallest document of each is an aggregate, combined before the shuffle, and a join, whose hot
+   side can be split, brings it back.
+6. Spans and hot windows go back to their blocks, which write what is left.
 
 Buckets and shards are numbered in proportion to the corpus, so their size is bounded; nothing reaches the driver but
 sums.  Anchors only choose candidates; segments are compared as bytes.
@@ -38,7 +41,11 @@ from sievework.llm.store import stored
 BLOCK_BYTES = 1 << 20
 #: Text bytes whose anchors, or cut-out segments, make one bucket or shard.
 BUCKET_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
-KEY_BITS = 47
+KEY_BITS = 46  # two more bits say how a block has the key
+#: So many runs of a key in a block weigh as much as a run in each of so many blocks.
+MANY_RUNS = 32
+#: Beyond so many blocks their keys are counted by groups of GROUP_BLOCKS first.
+TREE_BLOCKS, GROUP_BLOCKS = 1 << 20, 4096
 NO_ID = np.iinfo(np.int64).max  # a null id counts as the largest
 
 #: From (segments as bytes, smallest document of each, group of each), for each segment its removed units as (start, length).
@@ -111,7 +118,7 @@ def blocks(docs: DataFrame, carry: bool, most: int = BLOCK_BYTES) -> DataFrame:
                     rest = squeeze(other.serialize().to_pybytes())
                 row = {
                     "block": base + n,
-                    "ids": part.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_pylist(),
+                    "ids": part.column("doc_id").cast(pa.int64()).to_pylist(),
                     "digests": [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True)],
                     "bytes": len(data),
                     "sizes": squeeze(sizes.tobytes()),
@@ -125,8 +132,9 @@ def blocks(docs: DataFrame, carry: bool, most: int = BLOCK_BYTES) -> DataFrame:
 
 
 def load(row: dict) -> tuple[tx.Texts, np.ndarray]:
+    """The texts of a block, and their ids with the largest number for none."""
     sizes = np.frombuffer(expand(row["sizes"]), np.int64)
-    return tx.Texts(np.frombuffer(expand(row["data"]), np.uint8), np.concatenate(([0], np.cumsum(sizes)))), np.array(row["ids"], np.int64)
+    return tx.Texts(np.frombuffer(expand(row["data"]), np.uint8), np.concatenate(([0], np.cumsum(sizes)))), np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
 
 
 class Units:
@@ -163,6 +171,11 @@ class Units:
             return b" ".join(self.raw[a:b] for a, b in zip(self.start[first : first + count].tolist(), self.end[first : first + count].tolist(), strict=True))
         return self.raw[first : first + count]
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit hash of every window, also of those that are no window because a document ends in them."""
+        w = self.kind.window
+        return tx.grams(tx.mix(self.hash ^ tx.U64(0xA0761D6478BD642F)), w), tx.grams(tx.mix(self.hash ^ tx.U64(0xE7037ED1A0B428DB)), w)
+
     @property
     def raw(self) -> bytes:
         if not hasattr(self, "_raw"):
@@ -183,11 +196,11 @@ def _anchors(kind: Kind, buckets: int):
                 key, doc, _, _ = Units(t, kind).runs()
                 if not len(key):
                     continue
-                keys, back = np.unique(key, return_inverse=True)
+                keys, back, runs = np.unique(key, return_inverse=True, return_counts=True)
                 lo, hi = np.full(len(keys), len(t)), np.zeros(len(keys), np.int64)
                 np.minimum.at(lo, back, doc)
                 np.maximum.at(hi, back, doc)
-                sent = keys << tx.U64(1) | (lo != hi).astype(tx.U64)
+                sent = keys << tx.U64(2) | (runs >= MANY_RUNS).astype(tx.U64) << tx.U64(1) | (lo != hi).astype(tx.U64)
                 yield _dealt(keys, buckets, row["block"], sent)
 
     return run
@@ -206,65 +219,142 @@ def _dealt(keys: np.ndarray, parts: int, block: int, sent: np.ndarray) -> pa.Rec
     )
 
 
+def _tallied(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, place of each sent one among them, runs and blocks that weigh, more than one document) of what blocks sent."""
+    keys, back, counts = np.unique(sent >> tx.U64(2), return_inverse=True, return_counts=True)
+    weight = counts + (MANY_RUNS - 1) * np.bincount(back, (sent & tx.U64(2)) > 0, len(keys)).astype(np.int64)
+    many = counts > 1
+    many[back[(sent & tx.U64(1)) > 0]] = True
+    return keys, back, weight, many
+
+
+def _replies(owners: list[int], sizes: np.ndarray, back: np.ndarray, keys: np.ndarray, many: np.ndarray, hot: np.ndarray) -> pa.RecordBatch | None:
+    """For each block those of its keys that another document has, and whether one is hot."""
+    ends = np.cumsum(sizes)
+    out: list[tuple[int, bytes, bool]] = []
+    for block, i, j in zip(owners, (ends - sizes).tolist(), ends.tolist(), strict=True):
+        k = back[i:j][many[back[i:j]]]
+        if len(k):
+            out.append((block, pack(keys[k] << tx.U64(1) | hot[k].astype(tx.U64)), bool(hot[k].any())))
+    if not out:
+        return None
+    block, packed, any_hot = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(packed, pa.binary()), pa.array(any_hot, pa.bool_())], names=["block", "keys", "hot"])
+
+
+ANSWERS = "block long, keys binary, hot boolean"
+
+
 def _answers(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in groups(batches, "bucket"):
             raw = [x for b in held for x in b.column("keys").to_pylist()]
-            owners = np.concatenate([np.asarray(b.column("block")) for b in held])
-            sizes = np.array([len(x) // 6 for x in raw])
-            sent = unpack(b"".join(raw))
+            owners = [x for b in held for x in b.column("block").to_pylist()]
+            keys, back, weight, many = _tallied(unpack(b"".join(raw)))
+            out = _replies(owners, np.array([len(x) // 6 for x in raw]), back, keys, many, weight >= kind.hot_blocks)
+            if out is not None:
+                yield out
+
+    return run
+
+
+# the same for very many blocks: a group of blocks tallies its keys, a bucket sums the groups' tallies, and the group
+# answers its blocks.  "cell" names a group's part of a bucket.
+
+TALLIES = "bucket long, cell long, keys binary, weights binary"
+VERDICTS = "cell long, block long, keys binary"
+
+
+def _cell_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cell, held in groups(batches, "cell"):
+        keys, _, weight, many = _tallied(unpack(b"".join(x for b in held for x in b.column("keys").to_pylist())))
+        row = [held[0].column("bucket")[0].as_py(), int(cell), pack(keys << tx.U64(1) | many.astype(tx.U64)), weight.astype(np.int64).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["bucket", "cell", "keys", "weights"])
+
+
+def _sums(kind: Kind):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in groups(batches, "bucket"):
+            raw = [unpack(x) for b in held for x in b.column("keys").to_pylist()]
+            weights = np.concatenate([np.frombuffer(x, np.int64) for b in held for x in b.column("weights").to_pylist()])
+            cells = [x for b in held for x in b.column("cell").to_pylist()]
+            sent = np.concatenate(raw)
             keys, back, counts = np.unique(sent >> tx.U64(1), return_inverse=True, return_counts=True)
             many = counts > 1
-            many[back[(sent & tx.U64(1)) == 1]] = True
-            hot = counts >= kind.hot_blocks
-            ends = np.cumsum(sizes)
-            out_block, out_keys = [], []
-            for block, i, j in zip(owners.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-                k = back[i:j][many[back[i:j]]]
-                if len(k):
-                    out_block.append(block)
-                    out_keys.append(pack(keys[k] << tx.U64(1) | hot[k].astype(tx.U64)))
-            if out_block:
-                yield pa.RecordBatch.from_arrays([pa.array(out_block, pa.int64()), pa.array(out_keys, pa.binary())], names=["block", "keys"])
+            many[back[(sent & tx.U64(1)) > 0]] = True
+            hot = np.bincount(back, weights, len(keys)) >= kind.hot_blocks
+            out = _replies(cells, np.array([len(x) for x in raw]), back, keys, many, hot)
+            if out is not None:
+                # a verdict comes before the cell's blocks
+                yield pa.RecordBatch.from_arrays([out.column("block"), pa.array(np.full(out.num_rows, -1)), out.column("keys")], names=["cell", "block", "keys"])
 
     return run
 
 
+def _cell_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, held in groups(batches, "cell"):
+        rows = [(x, y) for b in held for x, y in zip(b.column("block").to_pylist(), b.column("keys").to_pylist(), strict=True)]
+        if rows[0][0] >= 0:  # no key of the cell has come back
+            continue
+        known = np.sort(unpack(rows[0][1]))
+        for i in range(1, len(rows), 256):
+            part = rows[i : i + 256]
+            sent = [unpack(x) >> tx.U64(2) for _, x in part]
+            keys = np.concatenate(sent)
+            at = np.minimum(np.searchsorted(known >> tx.U64(1), keys), len(known) - 1)
+            many, hot = known[at] >> tx.U64(1) == keys, (known[at] & tx.U64(1)) > 0
+            out = _replies([b for b, _ in part], np.array([len(x) for x in sent]), np.arange(len(keys)), keys, many, hot)
+            if out is not None:
+                yield out
+
+
+def answered(sent: DataFrame, kind: Kind, n_blocks: int) -> DataFrame:
+    """ANSWERS to what the blocks sent."""
+    if n_blocks <= TREE_BLOCKS:
+        return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers(kind), ANSWERS)
+    cells = -(-n_blocks // GROUP_BLOCKS)
+    sent = stored(sent.withColumn("cell", F.col("bucket") * cells + F.pmod(F.xxhash64("block"), F.lit(cells))), "sent")
+    tallies = sent.select("cell", "bucket", "keys").repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_tallies, TALLIES)
+    verdicts = tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sums(kind), VERDICTS)
+    both = sent.select("cell", "block", "keys").unionByName(verdicts)
+    return both.repartition("cell").sortWithinPartitions("cell", "block").mapInArrow(_cell_answers, ANSWERS)
+
+
 # ---- segments
 
 SEGMENTS = "shard long, block long, meta binary, data binary"
-#: A segment: shard, key, document number in its block, its id, first unit, units, bytes (0: known to be removed).
+#: A segment: shard, key, document number in its block, its id, first unit, units, bytes.
 _META = 7
 
 
+def _wanted(row: dict) -> tuple[tx.Texts, np.ndarray, Units, tuple[np.ndarray, ...], np.ndarray]:
+    """Texts, ids, units, the runs whose key has come back in documents that are no copies, and which of them are hot."""
+    t, ids = load(row)
+    wanted = np.sort(np.concatenate([unpack(x) for x in row["keys"]]))
+    copy = np.zeros(len(t), bool)
+    copy[row["copies"] or []] = True
+    u = Units(t, row["kind"])
+    key, doc, at, n = u.runs()
+    i = np.minimum(np.searchsorted(wanted >> tx.U64(1), key), len(wanted) - 1)
+    ok = (wanted[i] >> tx.U64(1) == key) & ~copy[doc]
+    return t, ids, u, (key[ok], doc[ok], at[ok], n[ok]), (wanted[i] & tx.U64(1)).astype(bool)[ok]
+
+
 def _segments(kind: Kind, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 if not row["keys"]:
                     continue
-                t, ids = load(row)
-                wanted = np.sort(np.concatenate([unpack(x) for x in row["keys"]]))
-                copy = np.zeros(len(t), bool)
-                copy[row["copies"] or []] = True
-                u = Units(t, kind)
-                key, doc, at, n = u.runs()
-                i = np.minimum(np.searchsorted(wanted >> tx.U64(1), key), len(wanted) - 1)
-                ok = (wanted[i] >> tx.U64(1) == key) & ~copy[doc]
-                hot = (wanted[i] & tx.U64(1)).astype(bool)[ok]
-                key, doc, at, n = key[ok], doc[ok], at[ok], n[ok]
-                shard = _place(key, shards)
-                cold = ~hot
-                rows = [np.stack([shard[cold], key[cold].astype(np.int64), doc[cold], ids[doc[cold]], at[cold], n[cold] + kind.window - 1, np.zeros(cold.sum(), np.int64)])]
-                if hot.any():
-                    rows.append(_single(u, kind, shards, row["block"], key[hot], doc[hot], ids, at[hot], n[hot]))
-                seg = np.concatenate(rows, axis=1)
+                _, ids, u, (key, doc, at, n), hot = _wanted(row | {"kind": kind})
+                key, doc, at, n = key[~hot], doc[~hot], at[~hot], n[~hot]
+                seg = np.stack([_place(key, shards), key.astype(np.int64), doc, ids[doc], at, n + kind.window - 1, np.zeros(len(key), np.int64)])
                 seg = seg[:, np.argsort(seg[0], kind="stable")]
                 cuts = np.concatenate(([0], np.flatnonzero(seg[0, 1:] != seg[0, :-1]) + 1, [seg.shape[1]]))
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     if a == b:
                         continue
-                    content = [b"" if k else u.content(f, c) for f, c, k in zip(*seg[4:7, a:b].tolist(), strict=True)]
+                    content = [u.content(f, c) for f, c in zip(*seg[4:6, a:b].tolist(), strict=True)]
                     meta = np.concatenate([seg[:6, a:b], np.array([list(map(len, content))], np.int64)])
                     meta[4] -= u.first[meta[2]]
                     yield pa.RecordBatch.from_arrays(
@@ -275,19 +365,26 @@ def _segments(kind: Kind, shards: int):
     return run
 
 
-def _single(u: Units, kind: Kind, shards: int, block: int, key, doc, ids, at, n) -> np.ndarray:
-    """Windows of hot keys one by one, with the shard of their own hash.  Of equal ones in the block the smallest
-    document's go there; the others are known to be removed and only pass through a shard that the block names."""
-    first = tx.ranges(at, n)
-    own = np.repeat(doc, n)
-    h = tx.grams(u.hash, kind.window)[first] >> tx.U64(64 - KEY_BITS)
-    least: dict[bytes, int] = {}
-    content = [u.content(f, kind.window) for f in first.tolist()]
-    for c, i in zip(content, ids[own].tolist(), strict=True):
-        least[c] = min(i, least.get(c, i))
-    known = np.array([least[c] for c in content]) < ids[own]
-    shard = np.where(known, block % shards, _place(h, shards))
-    return np.stack([shard, h.astype(np.int64), own, ids[own], first, np.full(len(first), kind.window), known])
+HOT = "h1 long, h2 long, block long, lo long, hi long"
+
+
+def _hot_windows(kind: Kind):
+    """Distinct windows of a block's hot keys, with the smallest and the largest document that have them there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, ids, u, (_, doc, at, n), hot = _wanted(row | {"kind": kind})
+                first, own = tx.ranges(at[hot], n[hot]), ids[np.repeat(doc[hot], n[hot])]
+                h1, h2 = (h[first].view(np.int64) for h in u.windows())
+                order = np.lexsort((own, h2, h1))
+                h1, h2, own = h1[order], h2[order], own[order]
+                cut = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))) if len(own) else np.zeros(0, np.int64)
+                last = np.append(cut[1:], len(own)) - 1 if len(own) else cut
+                if len(cut):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h1[cut], h2[cut], np.full(len(cut), row["block"]), own[cut], own[last])], names=["h1", "h2", "block", "lo", "hi"])
+
+    return run
 
 
 SPANS = "block long, spans binary"
@@ -309,8 +406,7 @@ def _matched(kind: Kind):
             least, key = np.full(len(number), NO_ID), np.zeros(len(number), np.int64)
             np.minimum.at(least, which_of, m[3])
             key[which_of] = m[1]
-            key[number.get(b"", len(number)) :][:1] = -1
-            later = (m[3] > least[which_of]) | (m[6] == 0)  # of no bytes: known already
+            later = m[3] > least[which_of]
             out = [np.stack([block[later], m[2, later], m[4, later], m[5, later]])]
             keys, back, counts = np.unique(key, return_inverse=True, return_counts=True)
             chosen = np.flatnonzero(counts[back] > 1)
@@ -351,6 +447,17 @@ def removed_units(row: dict, kind: Kind) -> tuple[Units, np.ndarray, np.ndarray]
         np.add.at(step, at, 1)
         np.add.at(step, at + s[2], -1)
     size = np.diff(u.first)
+    if row["hot"]:
+        h1, h2 = (h.view(np.int64) for h in u.windows())
+        known = np.array([(x["h1"], x["h2"], x["least"]) for x in row["hot"]], np.int64).T
+        known = known[:, np.lexsort((known[1], known[0]))]
+        # windows of one first hash are neighbours; another second one is as good as never
+        for shift in range(int(np.unique(known[0], return_counts=True)[1].max())):
+            i = np.minimum(np.searchsorted(known[0], h1) + shift, known.shape[1] - 1)
+            doc = tx.owner(u.first)
+            gone = np.flatnonzero((known[0, i] == h1) & (known[1, i] == h2) & (ids[doc[: len(h1)]] > known[2, i]) & (doc[: len(h1)] == doc[kind.window - 1 :]))
+            np.add.at(step, gone, 1)
+            np.add.at(step, gone + kind.window, -1)
     for i in row["copies"] or []:
         if size[i] >= kind.window:
             step[u.first[i]] += 1
@@ -362,21 +469,28 @@ def repeated(docs: DataFrame, kind: Kind, carry: bool = False, block_bytes: int
     """The stored blocks, each with the spans of it that are removed and the numbers of its copies."""
     spark = docs.sparkSession
     base = blocks(docs, carry, block_bytes)
-    total = base.agg(F.sum("bytes")).first()[0] or 0
+    total, n_blocks = base.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
     buckets, shards = max(1, total // BUCKET_BYTES), max(1, total // SHARD_BYTES)
-    rows = base.select("block", F.posexplode(F.arrays_zip("ids", "digests"))).select("block", F.col("pos").alias("at"), F.col("col.ids").alias("id"), F.col("col.digests").alias("digest"))
+    rows = base.select("block", F.posexplode(F.arrays_zip("ids", "digests"))).select("block", F.col("pos").alias("at"), F.coalesce("col.ids", F.lit(NO_ID)).alias("id"), F.col("col.digests").alias("digest"))
     least = rows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least")
     least = stored(least, "copied")  # read back, the join below can split the rows of a frequent digest
     copies = stored(rows.join(least, "digest").where("id > least").groupBy("block").agg(F.collect_list("at").alias("copies")), "copies")
 
     sent = base.select("block", "ids", "sizes", "data").mapInArrow(_anchors(kind, buckets), ANCHORS)
-    sent = sent.repartition("bucket").sortWithinPartitions("bucket")
-    back = sent.mapInArrow(_answers(kind), "block long, keys binary").groupBy("block").agg(F.collect_list("keys").alias("keys"))
-    cut = base.select("block", "ids", "sizes", "data").join(stored(back, "anchors"), "block").join(copies, "block", "left").select("block", "ids", "sizes", "data", "keys", "copies")
+    back = answered(sent, kind, n_blocks).groupBy("block").agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
+    back = stored(back, "anchors")
+    cut = base.select("block", "ids", "sizes", "data").join(back, "block").join(copies, "block", "left").select("block", "ids", "sizes", "data", "keys", "copies", "hot")
     segments = cut.mapInArrow(_segments(kind, shards), SEGMENTS).repartition("shard").sortWithinPartitions("shard")
     spans = segments.mapInArrow(_matched(kind), SPANS).groupBy("block").agg(F.collect_list("spans").alias("spans"))
     found = stored(spans, "spans")
-    return base.drop("digests").join(found, "block", "left").join(copies, "block", "left").select("block", "ids", "sizes", "data", "rest", "spans", "copies")
+    if back.where("hot").isEmpty():
+        later = spark.createDataFrame([], "block long, hot array<struct<h1:bigint,h2:bigint,least:bigint>>")
+    else:
+        listed = stored(cut.where("hot").mapInArrow(_hot_windows(kind), HOT), "hot-windows")
+        first = listed.groupBy("h1", "h2").agg(F.min("lo").alias("least"))
+        later = listed.join(first, ["h1", "h2"]).where("hi > least").groupBy("block").agg(F.collect_list(F.struct("h1", "h2", "least")).alias("hot"))
+        later = stored(later, "hot")
+    return base.drop("digests").join(found, "block", "left").join(copies, "block", "left").join(later, "block", "left").select("block", "ids", "sizes", "data", "rest", "spans", "copies", "hot")
 
 
 def without_points(data: np.ndarray, gone: np.ndarray) -> bytes:
@@ -407,7 +521,7 @@ def cleaned(docs: DataFrame, kind: Kind) -> DataFrame:
                     else:
                         texts.append(without_points(u.text.doc(i), gone[a:b]).decode())
                     keep.append(bool(texts[-1]) or a == b)
-                made = {"doc_id": pa.array([None if i == NO_ID else int(i) for i in ids], pa.int64()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
+                made = {"doc_id": pa.array(row["ids"], pa.int64()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
                 columns = [made[c].cast(whole_schema.field(c).type) if c in made else other.column(c) for c in names]
                 out = pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
                 if out.num_rows:

@@ -7,8 +7,9 @@ whole in another reference string, so the parse resumes at the last word from wh
 seeks again from there.
 
 Defined cases: a null or empty text has no words; texts below 50 words lose nothing; rows with equal doc_id do not
-remove each other's words; a null doc_id counts as the largest; an empty table gives an empty result; other columns
-are ignored by the query and kept by `dedup`.
+remove each other's words; of repeated rows the smallest doc_id keeps its words; a null doc_id counts as the largest; a
+very long text is a block of its own; an empty table gives an empty result; other columns are ignored by the query and
+kept by `dedup`.
 """
 
 from __future__ import annotations
@@ -27,21 +28,29 @@ GRAM = 8
 
 
 class Reference:
-    """Reference strings of one group, with the places of each WINDOW-word string in them."""
+    """Reference strings of one group, with the places of each WINDOW-word string in them.  A string is known by its
+    hash, and its words are compared wherever the hash is met, so that a place takes two numbers."""
 
     def __init__(self) -> None:
-        self.places: dict[tuple, list[tuple[list[bytes], int]]] = {}
+        self.texts: list[list[bytes]] = []
+        self.places: dict[int, list[tuple[int, int]]] = {}
+
+    def at(self, words: list[bytes], p: int) -> list[tuple[list[bytes], int]]:
+        """Places of the string that begins at p."""
+        string = words[p : p + WINDOW]
+        held = ((self.texts[k], q) for k, q in self.places.get(hash(tuple(string)), ()))
+        return [(other, q) for other, q in held if other[q : q + WINDOW] == string]
 
     def add(self, words: list[bytes]) -> None:
+        self.texts.append(words)
         for p in range(len(words) - WINDOW + 1):
-            held = self.places.setdefault(tuple(words[p : p + WINDOW]), [])
-            if len(held) < 4:  # any one proves the window; more only let a factor be longer
-                held.append((words, p))
+            if len(self.at(words, p)) < 4:  # any one proves the window; more only let a factor be longer
+                self.places.setdefault(hash(tuple(words[p : p + WINDOW])), []).append((len(self.texts) - 1, p))
 
     def longest(self, words: list[bytes], p: int) -> int:
         """Words of the longest factor at p among the indexed places, 0 if it is shorter than a window."""
         best = 0
-        for other, q in self.places.get(tuple(words[p : p + WINDOW]), ()):
+        for other, q in self.at(words, p):
             n, most = WINDOW, min(len(words) - p, len(other) - q)
             while n < most and words[p + n] == other[q + n]:
                 n += 1
@@ -90,12 +99,12 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            u, gone, ids = spans.removed_units(row, KIND)
+            u, gone, _ = spans.removed_units(row, KIND)
             start, end, raw, out = u.start.tolist(), u.end.tolist(), u.raw, []
-            for i, a, b in zip(ids.tolist(), u.first[:-1].tolist(), u.first[1:].tolist(), strict=True):
+            for i, a, b in zip(row["ids"], u.first[:-1].tolist(), u.first[1:].tolist(), strict=True):
                 left = (np.flatnonzero(~gone[a:b]) + a).tolist()
                 kept = b" ".join([raw[start[w] : end[w]] for w in left])
-                out.append((None if i == spans.NO_ID else i, b - a, b - a - len(left), hashlib.sha256(kept).hexdigest()))
+                out.append((i, b - a, b - a - len(left), hashlib.sha256(kept).hexdigest()))
             kinds = (pa.int64(),) * 3 + (pa.string(),)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
 

@@ -270,3 +270,38 @@ def test_rare_shingles_lose_no_link(spark, threshold):
                 links += 1
                 assert cluster[i] == cluster[j]
     assert links > 30
+
+
+@pytest.mark.parametrize("module,plain", [(suffix_dedup, plain_suffix), (substring_dedup, plain_words)])
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_many_blocks_are_counted_by_groups(spark, monkeypatch, module, plain, hot):
+    """The tree of tallies that very many blocks have gives the same."""
+    monkeypatch.setattr(spans, "TREE_BLOCKS", 2)
+    monkeypatch.setattr(spans, "GROUP_BLOCKS", 3)
+    kind = dataclasses.replace(module.KIND, hot_blocks=hot)
+    got = spans.repeated(documents(spark), kind, block_bytes=3000).mapInArrow(module._rows, module.RESULT)
+    assert sorted(map(tuple, got.collect())) == plain(pairs_of())
+
+
+@pytest.mark.parametrize("module,plain", [(suffix_dedup, plain_suffix), (substring_dedup, plain_words)])
+def test_passage_in_every_block(spark, module, plain):
+    """One passage with other surroundings everywhere, often in a block, and one key with many distinct surroundings."""
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, n))
+    passage = words(70)
+    rows = [(int(i), f"{words(int(rng.integers(1, 30)))} {passage} {words(20)}") for i in rng.permutation(240)]
+    want = plain(rows)
+    for hot in (4, 60, 1000):
+        kind = dataclasses.replace(module.KIND, hot_blocks=hot)
+        got = spans.repeated(documents(spark, rows), kind, block_bytes=20000).mapInArrow(module._rows, module.RESULT)
+        assert sorted(map(tuple, got.collect())) == want
+    hot = dataclasses.replace(module.KIND, hot_blocks=4)
+    sent = spans.blocks(documents(spark, rows), False, 20000).select("block", "ids", "sizes", "data").mapInArrow(spans._anchors(hot, 1), spans.ANCHORS)
+    assert sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(spans._answers(hot), spans.ANSWERS).where("hot").count() > 3
+
+
+def test_largest_id_is_no_null(spark):
+    t = pairs_of()[0][1]
+    rows = [(None, t), (2**63 - 1, t)]
+    got = {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.removals(documents(spark, rows)).collect()}
+    assert {i for i, _ in got} == {None, 2**63 - 1}
