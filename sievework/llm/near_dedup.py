@@ -8,11 +8,11 @@ ROWS coordinates find candidates: a pair shares no band with probability below 1
 1e-7 at 0.8.
 
 Equal sets are one class, which its smallest id represents.  In a band's bucket the smallest representative is paired
-with all others; confirmed pairs make components.  The pairs also span clusters, and where a cluster has several
-components, links across them remain to be found.  Two sets that are similar enough share one of their rarest shingles
-(as many of each as it may lack and one more), so only members of different components that do are looked at, in
-blocks, their sketches first: documents of one template, which share much but not enough, don't meet.  All links are
-confirmed on full sets.
+with all others; confirmed pairs make components.  Links across components remain to be found among the candidates:
+all that met another one in a bucket.  Two sets that are similar enough share one of their rarest shingles (as many of
+each as it may lack and one more), so only members of different components that do are looked at, in blocks, their
+sketches first: documents of one template, which share much but not enough, don't meet.  All links are confirmed on
+full sets.
 
 Defined cases: a null or empty text has no shingle and is linked with nothing; fewer than 5 words are one shingle;
 repeated rows fall into one class; a row without an id is always kept and has the smallest id of its class, if any, as
@@ -178,7 +178,7 @@ def _across(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cluster, member, component, token) of every shingle of a member."""
+    """(member, component, token) of every shingle of a member."""
     for batch in batches:
         sets = [np.frombuffer(x, np.int64) for x in batch.column("members").to_pylist()]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -186,42 +186,38 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = 0
         while i < len(sets):  # some thousand sets at a time, a longer one alone
             j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + (1 << 18))))
-            columns = [np.repeat(np.asarray(batch.column(c))[i:j], size[i:j]) for c in ("cluster", "member", "component")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(sets[i:j]))], names=["cluster", "member", "component", "token"])
+            columns = [np.repeat(np.asarray(batch.column(c))[i:j], size[i:j]) for c in ("member", "component")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(sets[i:j]))], names=["member", "component", "token"])
             i = j
 
 
 def meeting(rows: DataFrame, threshold: int) -> DataFrame:
-    """(member, cluster) of members that share a rare shingle with a member of another component of their cluster; the
-    clusters are those that such shingles connect.  rows: cluster, member, component, members.
-
-    Shingles are taken in the order of how many members of the cluster have them.  A set of n shingles that is linked
-    with another lacks at most n - ceil(n * threshold / 100) of it, so one of its first n - ceil(...) + 1 is shared,
-    and so it is for the other: the rarest shingle that they share is among the first of both."""
-    tokens = stored(rows.mapInArrow(_tokens, "cluster long, member long, component long, token long"), "near-tokens")
-    counts = tokens.groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 1")
-    shared = tokens.join(counts.select("cluster", "token", "n", (F.col("lo") < F.col("hi")).alias("mixed")), ["cluster", "token"])
-    size = rows.select("cluster", "member", (F.octet_length("members") / 8).cast("long").alias("size"))
+    """(member, cluster) of members that share a rare shingle with a member of another component; such shingles connect
+    the members of a cluster.  rows: member, component, members.
+
+    Shingles are taken in the order of how many members have them.  A set of n shingles that is linked with another
+    lacks at most n - ceil(n * threshold / 100) of it, so one of its first n - ceil(...) + 1 is shared, and so it is
+    for the other: the rarest shingle that they share is among the first of both."""
+    tokens = stored(rows.mapInArrow(_tokens, "member long, component long, token long"), "near-tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 1")
+    shared = tokens.join(counts.select("token", "n", (F.col("lo") < F.col("hi")).alias("mixed")), "token")
+    size = rows.select("member", (F.octet_length("members") / 8).cast("long").alias("size"))
     # shingles that no other member has come first; only their number matters
-    lists = shared.groupBy("cluster", "member", "component").agg(F.array_sort(F.collect_list(F.struct("n", "token", "mixed"))).alias("t"))
-    lists = lists.join(size, ["cluster", "member"])
+    lists = shared.groupBy("member", "component").agg(F.array_sort(F.collect_list(F.struct("n", "token", "mixed"))).alias("t"))
+    lists = lists.join(size, "member")
     few = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1 - (F.col("size") - F.size("t"))
-    first = lists.where(few > 0).select("cluster", "member", "component", F.explode(F.slice("t", F.lit(1), few.cast("int"))).alias("t")).where("t.mixed")
-    first = stored(first.select("cluster", "member", "component", F.col("t.token").alias("token")), "near-rare")
-    heads = first.groupBy("cluster", "token").agg(F.min("member").alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    met = components(first.join(heads.select("cluster", "token", "head"), ["cluster", "token"]).select(F.col("member").alias("a"), F.col("head").alias("b")))
+    first = lists.where(few > 0).select("member", "component", F.explode(F.slice("t", F.lit(1), few.cast("int"))).alias("t")).where("t.mixed")
+    first = stored(first.select("member", "component", F.col("t.token").alias("token")), "near-rare")
+    heads = first.groupBy("token").agg(F.min("member").alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    met = components(first.join(heads.select("token", "head"), "token").select(F.col("member").alias("a"), F.col("head").alias("b")))
     return stored(met.select(F.col("node").alias("member"), F.col("component").alias("cluster")), "near-meeting")
 
 
-def across(pairs: DataFrame, comps: DataFrame, sketched: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links between components whose members meet in buckets.  The pairs span clusters that hold every candidate; of
-    those, members that may have a link across components are clustered anew.  A cluster's members outside its largest
-    component are dealt to blocks, and so are all its members; each block of the former meets each of the latter in a
-    group of bounded size."""
-    clusters = components(pairs).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
-    known = clusters.join(comps, clusters["member"] == comps["node"], "left").select("cluster", "member", F.coalesce("component", "member").alias("component"))
-    several = known.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cluster")
-    rows = stored(known.join(several, "cluster").join(sets.withColumnRenamed("id", "member"), "member").select("cluster", "member", "component", "members"), "near-mixed")
+def across(comps: DataFrame, sketched: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Links between components of the candidates in sets.  Members that may have one are clustered; a cluster's members
+    outside its largest component are dealt to blocks, and so are all its members; each block of the former meets each
+    of the latter in a group of bounded size."""
+    rows = sets.join(comps, sets["id"] == comps["node"], "left").select(F.col("id").alias("member"), F.coalesce("component", "id").alias("component"), "members")
     known = meeting(rows, threshold).join(rows.select("member", "component"), "member")
     sizes = known.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -253,7 +249,7 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     sets = full_sets(docs, pairs)
     links = confirmed(sets, pairs, threshold)
     comps = stored(components(links), "near-components")
-    more = stored(across(pairs, comps, reps, sets, threshold), "near-links")
+    more = stored(across(comps, reps, sets, threshold), "near-links")
     if not more.isEmpty():
         comps = stored(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-components")
     named = heads.join(comps, F.col("head") == F.col("node"), "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "head").alias("component"))

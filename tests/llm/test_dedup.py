@@ -251,16 +251,16 @@ def test_near_templates(spark):
 
 @pytest.mark.parametrize("threshold", [80, 85])
 def test_rare_shingles_lose_no_link(spark, threshold):
-    """Random sets of one cluster, all in components of their own: every link's members meet."""
+    """Random sets, all in components of their own: every link's members meet."""
     rng = np.random.default_rng(threshold)
     pool = rng.permutation(1 << 30)[:300].astype(np.uint64)
     sets = []
-    for _ in range(40):
+    for _ in range(12):
         base = rng.choice(pool, rng.integers(8, 60), replace=False)
         sets.append(np.unique(base))
         for _ in range(3):
             sets.append(np.unique(np.concatenate([base[rng.integers(0, 9) :], rng.choice(pool, rng.integers(0, 5))])))
-    rows = spark.createDataFrame([(1, i, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "cluster long, member long, component long, members binary")
+    rows = spark.createDataFrame([(i, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "member long, component long, members binary")
     cluster = {r["member"]: r["cluster"] for r in near_dedup.meeting(rows, threshold).collect()}
     links = 0
     for i, a in enumerate(sets):
@@ -269,7 +269,7 @@ def test_rare_shingles_lose_no_link(spark, threshold):
             if 100 * both >= threshold * (len(a) + len(sets[j]) - both):
                 links += 1
                 assert cluster[i] == cluster[j]
-    assert links > 30
+    assert links > 10
 
 
 @pytest.mark.parametrize("module,plain", [(suffix_dedup, plain_suffix), (substring_dedup, plain_words)])
