@@ -12,9 +12,9 @@ A unit is a byte or a word, a window WINDOW consecutive units of one document.
 4. A shard keeps each distinct segment once, with its smallest document; later ones are removed whole.  Where a key has
    several distinct segments, `match` (an operator's own method) tells which of their windows lie in a segment of a
    smaller document.
-5. Hot keys' windows, a common passage with all its surroundings, go to no shard.  Blocks list their distinct ones by
-   a 128-bit hash; the smallest document of each is an aggregate, combined before the shuffle, and a join, whose hot
-   side can be split, brings it back.
+5. Hot keys' windows, a common passage with all its surroundings, meet in no shard.  Blocks list their distinct ones by
+   a 128-bit hash, with their places, and these lists only pass through the shards' tasks; the smallest document of a
+   window is an aggregate, combined before the shuffle, and a join, whose hot side can be split, brings it back.
 6. Spans and hot windows go back to their blocks, which write what is left.
 
 Buckets and shards are numbered in proportion to the corpus, so their size is bounded; nothing reaches the driver but
@@ -171,10 +171,17 @@ class Units:
             return b" ".join(self.raw[a:b] for a, b in zip(self.start[first : first + count].tolist(), self.end[first : first + count].tolist(), strict=True))
         return self.raw[first : first + count]
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit hash of every window, also of those that are no window because a document ends in them."""
-        w = self.kind.window
-        return tx.grams(tx.mix(self.hash ^ tx.U64(0xA0761D6478BD642F)), w), tx.grams(tx.mix(self.hash ^ tx.U64(0xE7037ED1A0B428DB)), w)
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit hashes of the windows that begin at some places, in two halves."""
+        out = []
+        for salt, base in ((0xA0761D6478BD642F, 0x9FB21C651E98DF25), (0xE7037ED1A0B428DB, 0xD6E8FEB86659FD93)):
+            unit = tx.mix(self.hash ^ tx.U64(salt))
+            power, total = 1, np.zeros(len(at), tx.U64)
+            for k in range(self.kind.window):
+                total += unit[at + k] * tx.U64(power)
+                power = power * base % (1 << 64)
+            out.append(tx.mix(total).view(np.int64))
+        return tuple(out)
 
     @property
     def raw(self) -> bytes:
@@ -229,20 +236,20 @@ def _tallied(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _replies(owners: list[int], sizes: np.ndarray, back: np.ndarray, keys: np.ndarray, many: np.ndarray, hot: np.ndarray) -> pa.RecordBatch | None:
-    """For each block those of its keys that another document has, and whether one is hot."""
+    """For each block those of its keys that another document has, with a bit for hot ones."""
     ends = np.cumsum(sizes)
-    out: list[tuple[int, bytes, bool]] = []
+    out: list[tuple[int, bytes]] = []
     for block, i, j in zip(owners, (ends - sizes).tolist(), ends.tolist(), strict=True):
         k = back[i:j][many[back[i:j]]]
         if len(k):
-            out.append((block, pack(keys[k] << tx.U64(1) | hot[k].astype(tx.U64)), bool(hot[k].any())))
+            out.append((block, pack(keys[k] << tx.U64(1) | hot[k].astype(tx.U64))))
     if not out:
         return None
-    block, packed, any_hot = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(packed, pa.binary()), pa.array(any_hot, pa.bool_())], names=["block", "keys", "hot"])
+    block, packed = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(packed, pa.binary())], names=["block", "keys"])
 
 
-ANSWERS = "block long, keys binary, hot boolean"
+ANSWERS = "block long, keys binary"
 
 
 def _answers(kind: Kind):
@@ -322,32 +329,53 @@ def answered(sent: DataFrame, kind: Kind, n_blocks: int) -> DataFrame:
 
 # ---- segments
 
-SEGMENTS = "shard long, block long, meta binary, data binary"
+SEGMENTS = "shard long, block long, meta binary, data binary, hot binary"
 #: A segment: shard, key, document number in its block, its id, first unit, units, bytes.
 _META = 7
 
 
-def _wanted(row: dict) -> tuple[tx.Texts, np.ndarray, Units, tuple[np.ndarray, ...], np.ndarray]:
-    """Texts, ids, units, the runs whose key has come back in documents that are no copies, and which of them are hot."""
-    t, ids = load(row)
-    wanted = np.sort(np.concatenate([unpack(x) for x in row["keys"]]))
-    copy = np.zeros(len(t), bool)
-    copy[row["copies"] or []] = True
-    u = Units(t, row["kind"])
-    key, doc, at, n = u.runs()
-    i = np.minimum(np.searchsorted(wanted >> tx.U64(1), key), len(wanted) - 1)
-    ok = (wanted[i] >> tx.U64(1) == key) & ~copy[doc]
-    return t, ids, u, (key[ok], doc[ok], at[ok], n[ok]), (wanted[i] & tx.U64(1)).astype(bool)[ok]
+def _hot_windows(u: Units, ids: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> bytes:
+    """The distinct windows of some runs: h1, h2, smallest and largest document, number of places; then the places."""
+    first, own = tx.ranges(at, n), ids[np.repeat(doc, n)]
+    h1, h2 = u.windows(first)
+    order = np.lexsort((first, h2, h1))
+    h1, h2, own, first = h1[order], h2[order], own[order], first[order]
+    cut = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
+    table = np.stack([h1[cut], h2[cut], np.minimum.reduceat(own, cut), np.maximum.reduceat(own, cut), np.diff(np.append(cut, len(own)))])
+    return squeeze(np.concatenate([[len(cut)], table.ravel(), first]).astype(np.int64).tobytes())
+
+
+def _hot_rows(block: int, raw: bytes) -> pa.RecordBatch:
+    x = np.frombuffer(expand(raw), np.int64)
+    h1, h2, lo, hi, size = x[1 : 1 + 5 * x[0]].reshape(5, -1)
+    ends, places = np.cumsum(size).tolist(), x[1 + 5 * x[0] :].astype(np.int32)
+    at = [places[i:j].tobytes() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+    columns = [pa.array(np.full(len(h1), block)), pa.nulls(len(h1), pa.binary()), *map(pa.array, (h1, h2, lo, hi)), pa.array(at, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "spans", "h1", "h2", "lo", "hi", "at"])
 
 
 def _segments(kind: Kind, shards: int):
+    names = [c.split()[0] for c in SEGMENTS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 if not row["keys"]:
                     continue
-                _, ids, u, (key, doc, at, n), hot = _wanted(row | {"kind": kind})
-                key, doc, at, n = key[~hot], doc[~hot], at[~hot], n[~hot]
+                t, ids = load(row)
+                wanted = np.sort(np.concatenate([unpack(x) for x in row["keys"]]))
+                copy = np.zeros(len(t), bool)
+                copy[row["copies"] or []] = True
+                u = Units(t, kind)
+                key, doc, at, n = u.runs()
+                i = np.minimum(np.searchsorted(wanted >> tx.U64(1), key), len(wanted) - 1)
+                ok = (wanted[i] >> tx.U64(1) == key) & ~copy[doc]
+                hot = ok & (wanted[i] & tx.U64(1)).astype(bool)
+                if hot.any():
+                    listed = _hot_windows(u, ids, doc[hot], at[hot], n[hot])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"] % shards]), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in (None, None, listed))], names=names)
+                ok &= ~hot
+                key, doc, at, n = key[ok], doc[ok], at[ok], n[ok]
                 seg = np.stack([_place(key, shards), key.astype(np.int64), doc, ids[doc], at, n + kind.window - 1, np.zeros(len(key), np.int64)])
                 seg = seg[:, np.argsort(seg[0], kind="stable")]
                 cuts = np.concatenate(([0], np.flatnonzero(seg[0, 1:] != seg[0, :-1]) + 1, [seg.shape[1]]))
@@ -358,36 +386,15 @@ def _segments(kind: Kind, shards: int):
                     meta = np.concatenate([seg[:6, a:b], np.array([list(map(len, content))], np.int64)])
                     meta[4] -= u.first[meta[2]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(seg[0, a])]), pa.array([row["block"]]), pa.array([squeeze(np.diff(meta, axis=1, prepend=0).tobytes())], pa.binary()), pa.array([squeeze(b"".join(content))], pa.binary())],
-                        names=["shard", "block", "meta", "data"],
+                        [pa.array([int(seg[0, a])]), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in (squeeze(np.diff(meta, axis=1, prepend=0).tobytes()), squeeze(b"".join(content)), None))],
+                        names=names,
                     )
 
     return run
 
 
-HOT = "h1 long, h2 long, block long, lo long, hi long"
-
-
-def _hot_windows(kind: Kind):
-    """Distinct windows of a block's hot keys, with the smallest and the largest document that have them there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, ids, u, (_, doc, at, n), hot = _wanted(row | {"kind": kind})
-                first, own = tx.ranges(at[hot], n[hot]), ids[np.repeat(doc[hot], n[hot])]
-                h1, h2 = (h[first].view(np.int64) for h in u.windows())
-                order = np.lexsort((own, h2, h1))
-                h1, h2, own = h1[order], h2[order], own[order]
-                cut = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))) if len(own) else np.zeros(0, np.int64)
-                last = np.append(cut[1:], len(own)) - 1 if len(own) else cut
-                if len(cut):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h1[cut], h2[cut], np.full(len(cut), row["block"]), own[cut], own[last])], names=["h1", "h2", "block", "lo", "hi"])
-
-    return run
-
-
-SPANS = "block long, spans binary"
+#: Spans of a block, or one of its hot windows with the places of it there.
+SPANS = "block long, spans binary, h1 long, h2 long, lo long, hi long, at binary"
 
 
 def _matched(kind: Kind):
@@ -396,12 +403,17 @@ def _matched(kind: Kind):
             number: dict[bytes, int] = {}
             which, metas, owners = [], [], []
             for batch in held:
-                for block, meta, data in zip(batch.column("block").to_pylist(), batch.column("meta").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                for block, meta, data, hot in zip(*(batch.column(c).to_pylist() for c in ("block", "meta", "data", "hot")), strict=True):
+                    if hot is not None:
+                        yield _hot_rows(block, hot)
+                        continue
                     m = np.cumsum(np.frombuffer(expand(meta), np.int64).reshape(_META, -1), axis=1)
                     raw, ends = expand(data), np.cumsum(m[6]).tolist()
                     which += [number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                     metas.append(m)
                     owners.append(np.full(m.shape[1], block))
+            if not metas:
+                continue
             m, block, which_of = np.concatenate(metas, axis=1), np.concatenate(owners), np.array(which)
             least, key = np.full(len(number), NO_ID), np.zeros(len(number), np.int64)
             np.minimum.at(least, which_of, m[3])
@@ -424,10 +436,9 @@ def _matched(kind: Kind):
             spans = spans[:, np.lexsort((spans[2], spans[1], spans[0]))]
             cuts = np.concatenate(([0], np.flatnonzero(spans[0, 1:] != spans[0, :-1]) + 1, [spans.shape[1]]))
             if spans.shape[1]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spans[0, cuts[:-1]]), pa.array([squeeze(np.diff(spans[1:, a:b], axis=1, prepend=0).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
-                    names=["block", "spans"],
-                )
+                packed = [squeeze(np.diff(spans[1:, a:b], axis=1, prepend=0).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                none = [pa.nulls(len(packed), pa.int64())] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(spans[0, cuts[:-1]]), pa.array(packed, pa.binary()), *none, pa.nulls(len(packed), pa.binary())], names=["block", "spans", "h1", "h2", "lo", "hi", "at"])
 
     return run
 
@@ -447,17 +458,11 @@ def removed_units(row: dict, kind: Kind) -> tuple[Units, np.ndarray, np.ndarray]
         np.add.at(step, at, 1)
         np.add.at(step, at + s[2], -1)
     size = np.diff(u.first)
-    if row["hot"]:
-        h1, h2 = (h.view(np.int64) for h in u.windows())
-        known = np.array([(x["h1"], x["h2"], x["least"]) for x in row["hot"]], np.int64).T
-        known = known[:, np.lexsort((known[1], known[0]))]
-        # windows of one first hash are neighbours; another second one is as good as never
-        for shift in range(int(np.unique(known[0], return_counts=True)[1].max())):
-            i = np.minimum(np.searchsorted(known[0], h1) + shift, known.shape[1] - 1)
-            doc = tx.owner(u.first)
-            gone = np.flatnonzero((known[0, i] == h1) & (known[1, i] == h2) & (ids[doc[: len(h1)]] > known[2, i]) & (doc[: len(h1)] == doc[kind.window - 1 :]))
-            np.add.at(step, gone, 1)
-            np.add.at(step, gone + kind.window, -1)
+    for x in row["hot"] or []:
+        at = np.frombuffer(x["at"], np.int32)
+        gone = at[ids[np.searchsorted(u.first, at, "right") - 1] > x["least"]]
+        np.add.at(step, gone, 1)
+        np.add.at(step, gone + kind.window, -1)
     for i in row["copies"] or []:
         if size[i] >= kind.window:
             step[u.first[i]] += 1
@@ -477,20 +482,16 @@ def repeated(docs: DataFrame, kind: Kind, carry: bool = False, block_bytes: int
     copies = stored(rows.join(least, "digest").where("id > least").groupBy("block").agg(F.collect_list("at").alias("copies")), "copies")
 
     sent = base.select("block", "ids", "sizes", "data").mapInArrow(_anchors(kind, buckets), ANCHORS)
-    back = answered(sent, kind, n_blocks).groupBy("block").agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
-    back = stored(back, "anchors")
-    cut = base.select("block", "ids", "sizes", "data").join(back, "block").join(copies, "block", "left").select("block", "ids", "sizes", "data", "keys", "copies", "hot")
+    back = answered(sent, kind, n_blocks).groupBy("block").agg(F.collect_list("keys").alias("keys"))
+    cut = base.select("block", "ids", "sizes", "data").join(stored(back, "anchors"), "block").join(copies, "block", "left").select("block", "ids", "sizes", "data", "keys", "copies")
     segments = cut.mapInArrow(_segments(kind, shards), SEGMENTS).repartition("shard").sortWithinPartitions("shard")
-    spans = segments.mapInArrow(_matched(kind), SPANS).groupBy("block").agg(F.collect_list("spans").alias("spans"))
-    found = stored(spans, "spans")
-    if back.where("hot").isEmpty():
-        later = spark.createDataFrame([], "block long, hot array<struct<h1:bigint,h2:bigint,least:bigint>>")
-    else:
-        listed = stored(cut.where("hot").mapInArrow(_hot_windows(kind), HOT), "hot-windows")
-        first = listed.groupBy("h1", "h2").agg(F.min("lo").alias("least"))
-        later = listed.join(first, ["h1", "h2"]).where("hi > least").groupBy("block").agg(F.collect_list(F.struct("h1", "h2", "least")).alias("hot"))
-        later = stored(later, "hot")
-    return base.drop("digests").join(found, "block", "left").join(copies, "block", "left").join(later, "block", "left").select("block", "ids", "sizes", "data", "rest", "spans", "copies", "hot")
+    found = stored(segments.mapInArrow(_matched(kind), SPANS), "spans")
+    spans = found.where("spans is not null").groupBy("block").agg(F.collect_list("spans").alias("spans"))
+    hot = found.where("h1 is not null")
+    first = hot.groupBy("h1", "h2").agg(F.min("lo").alias("least"))
+    later = hot.join(first, ["h1", "h2"]).where("hi > least").groupBy("block").agg(F.collect_list(F.struct("least", "at")).alias("hot"))
+    later = stored(later, "hot")
+    return base.drop("digests").join(spans, "block", "left").join(copies, "block", "left").join(later, "block", "left").select("block", "ids", "sizes", "data", "rest", "spans", "copies", "hot")
 
 
 def without_points(data: np.ndarray, gone: np.ndarray) -> bytes:

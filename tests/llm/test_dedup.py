@@ -297,7 +297,8 @@ def test_passage_in_every_block(spark, module, plain):
         assert sorted(map(tuple, got.collect())) == want
     hot = dataclasses.replace(module.KIND, hot_blocks=4)
     sent = spans.blocks(documents(spark, rows), False, 20000).select("block", "ids", "sizes", "data").mapInArrow(spans._anchors(hot, 1), spans.ANCHORS)
-    assert sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(spans._answers(hot), spans.ANSWERS).where("hot").count() > 3
+    sent = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(spans._answers(hot), spans.ANSWERS).collect()
+    assert any((spans.unpack(r["keys"]) & np.uint64(1)).any() for r in sent)
 
 
 def test_largest_id_is_no_null(spark):
