@@ -63,10 +63,6 @@ def label_key(c: Column) -> Column:
     return squash(F.translate(c, "_", " "))
 
 
-def description_key(c: Column) -> Column:
-    return strip(F.regexp_replace(squash(c), r"[^a-z0-9 ]", ""))
-
-
 def answer_key(c: Column) -> Column:
     """Answer without LaTeX delimiters, roman text, thin spaces, ties, white space and dollars."""
     c = F.regexp_replace(c, r"\\(?:mathrm|text)\{([^{}]*)\}", "$1")

@@ -54,9 +54,11 @@ def cascade(rollouts: DataFrame, check: Callable[[DataFrame], DataFrame], verify
     return checked.join(stored(labels, "labels"), key, "left")
 
 
-def with_fallback(df: DataFrame, column: str, status: str, value: object) -> DataFrame:
-    """Refused requests take the fallback value; the status stays."""
-    return df.withColumn(column, F.when(F.col(status) == "refused", F.lit(value)).otherwise(F.col(column)))
+def with_fallback(df: DataFrame, column: str, status: str, value: object) -> tuple[DataFrame, DataFrame]:
+    """(rows, log): refused requests take the fallback value and keep their status; the log counts them by value."""
+    refused = F.coalesce(F.col(status) == "refused", F.lit(False))
+    out = df.withColumn(column, F.when(refused, F.lit(value)).otherwise(F.col(column)))
+    return out, out.where(refused).groupBy(F.lit(column).alias("column"), F.col(column).cast("string").alias("fallback")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def with_json(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,16 @@ def win_scores(compared: DataFrame, group: str) -> DataFrame:
     return s.join(sizes, group).select(group, "item", (F.col("halves").cast("double") / checked).alias("score"))
 
 
+#: Rewards by name, of the columns that each needs; what a run uses is its setting.
+REWARDS = {"main": main_reward, "distractor": distractor_reward, "verifiable": verifiable_reward}
+
+
+def with_aux(rollouts: DataFrame, group: str, item: str, aux: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds aux, which a strategy gives for accepted members of groups (group, item, aux); null for all others."""
+    given = aux(rollouts.where((F.col("verdict") == "incorrect") & F.col("accepted"))).select(F.col(group).alias("_g"), F.col(item).alias("_i"), "aux")
+    return rollouts.join(given, (F.col(group) == F.col("_g")) & (F.col(item) == F.col("_i")), "left").drop("_g", "_i")
+
+
 def total(main: Column, aux: Column, trunc: Column, weight: float) -> Column:
     return main + F.lit(weight) * F.coalesce(aux, F.lit(0.0)) + trunc
 

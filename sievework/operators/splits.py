@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.textkeys import hash_rank
+from sievework.functions.textkeys import half_up, hash_rank
 from sievework.operators.ranks import hash_ranked, order_ranked
 from sievework.sources.work import stored
 
@@ -63,7 +63,7 @@ def split_strata(df: DataFrame, stratum: str, group: str, seed: object, cuts: li
     name, low = F.lit(rest), F.lit(0).cast("long")
     tests = []
     for label, share in cuts:
-        high = low + F.floor(F.col("_n") * F.lit(share) + F.lit(0.5)).cast("long")
+        high = low + half_up(F.col("_n") * F.lit(share))
         tests.append((label, low, high))
         low = high
     for label, a, b in reversed(tests):
@@ -84,7 +84,7 @@ def carve(groups: DataFrame, pool: str, stratum: str, group: str, target: int, s
     p = groups.where(F.col(pool))
     ranked = hash_ranked(p, [stratum], hash_rank(seed, F.col(stratum), F.col(group)), group)
     rate = p.agg((F.lit(float(target)) / F.count(F.lit(1))).alias("_rate"))
-    q = ranked.join(F.broadcast(rate)).withColumn("_cut", F.floor(F.col("_n") * F.col("_rate") + F.lit(0.5)))
+    q = ranked.join(F.broadcast(rate)).withColumn("_cut", half_up(F.col("_n") * F.col("_rate")))
     return q.where(F.col("_r") <= F.col("_cut")).select(group, stratum)
 
 

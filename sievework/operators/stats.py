@@ -83,6 +83,12 @@ def rank_zip(a: DataFrame, b: DataFrame, by: str, order: str, value: str) -> Dat
     return r(a, "a").join(r(b, "b"), [by, "rank"])
 
 
+def index_zip(a: DataFrame, b: DataFrame, by: str, index: str, value: str) -> DataFrame:
+    """Rows of two models paired by their index within a condition."""
+    side = lambda d, n: d.select(by, index, F.col(value).alias(n))
+    return side(a, "a").join(side(b, "b"), [by, index])
+
+
 def offset_rates(rows: DataFrame, other: DataFrame, key: str, position: str, test: Column, offsets: range) -> DataFrame:
     """Hit rate at each offset of a positional join; the configured one should be the peak."""
     shifted = rows.withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets]))).withColumn("_at", F.col(position) + F.col("offset"))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievework.functions import answers, settings
 from sievework.functions import textkeys as tk
-from sievework.operators import checks, curation, exports, llmio, metrics, pairs, rewards, runs, splits, stats
+from sievework.operators import checks, curation, eligibility, exports, llmio, metrics, pairs, rewards, runs, splits, stats
+from sievework.sources import corpora
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -707,22 +709,29 @@ def rollout_verdicts(read) -> DataFrame:
     return exports.with_verdicts(e.select("event_id"), v, ["event_id"], "verdict", 2)
 
 
-@query(f"""WITH n AS ({ORACLES['negative_pairs']}), s AS (SELECT doc_id, doc_id % 50 AS g, source, text FROM documents)
-SELECT name, passed, detail FROM (SELECT unnest(['each question group lies in one split', 'negative donor from the same split', 'negative donor from the same dataset', 'negative donor label differs', 'negative donor from another question group',
- 'positive donor is the anchor itself', 'anchors and donors have a usable description', 'no group of prompt development in test']) AS name, true AS passed, '0 violations' AS detail)
-UNION ALL SELECT 'one positive and one negative an anchor', count(*) = 0, count(*) || ' violations' FROM s WHERE doc_id NOT IN (SELECT anchor FROM n)
-UNION ALL SELECT 'no empty question, solution or description', count(*) = 0, count(*) || ' violations' FROM (SELECT doc_id FROM s UNION ALL SELECT anchor FROM n) t JOIN s USING (doc_id) WHERE trim(text) = ''
-UNION ALL SELECT 'no pair over 4096 tokens', count(*) = 0, count(*) || ' violations' FROM (SELECT doc_id FROM s UNION ALL SELECT anchor FROM n) t JOIN s USING (doc_id) WHERE length(text) > 4096""")
-def pair_checks(read) -> DataFrame:
-    d = read("documents")
-    group = (F.col("doc_id") % 50).alias("question_group_id")
-    cases = d.select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("dataset"), group, F.lit("train").alias("split"), F.lit("ok").alias("description_status"), F.lit(False).alias("prompt_dev_group"), F.lit("").alias("exclusion_reason"))
-    side = lambda name: d.select(F.col("doc_id").alias(f"{name}_sample_id"), F.col("source").alias(f"{name}_source_error_label"), group.alias("question_group_id" if name == "anchor" else "donor_question_group_id"))
+def _pair_tables(read) -> tuple[DataFrame, DataFrame]:
+    """Documents as cases, and their pairs with the negatives drawn; a tenth of the rows breaks some rule."""
+    d = read("documents").select("*", (F.col("doc_id") % 50).alias("g"), F.when(F.col("doc_id") % 10 == 3, "dev").otherwise("train").alias("side"))
+    cases = d.select(
+        F.col("doc_id").alias("sample_id"), F.col("lang").alias("dataset"), F.col("g").alias("question_group_id"), F.col("side").alias("split"), F.when(F.col("doc_id") % 30 != 7, "ok").alias("description_status"),
+        F.lit(False).alias("prompt_dev_group"), F.lit("").alias("exclusion_reason"),
+    )
     drawn = _negatives(read).select(F.col("anchor").alias("anchor_sample_id"), F.col("donor").alias("donor_sample_id"), F.lit("not_aligned").alias("target"))
     own = d.select(F.col("doc_id").alias("anchor_sample_id"), F.col("doc_id").alias("donor_sample_id"), F.lit("aligned").alias("target"))
-    text = d.select(F.col("doc_id").alias("anchor_sample_id"), F.col("lang").alias("dataset"), F.lit("train").alias("split"), *[F.col("text").alias(c) for c in ("question", "solution", "error_description")], F.col("n_chars").alias("n_tokens"))
-    made = own.unionByName(drawn).join(side("anchor"), "anchor_sample_id").join(side("donor"), "donor_sample_id").join(text, "anchor_sample_id")
-    return checks.pair_checks(cases, made, 4096)
+    anchor = d.select(F.col("doc_id").alias("anchor_sample_id"), F.col("lang").alias("dataset"), F.col("side").alias("split"), F.col("g").alias("question_group_id"), F.col("source").alias("anchor_source_error_label"), *[F.col("text").alias(c) for c in ("question", "solution", "error_description")], F.col("n_chars").alias("n_tokens"))
+    donor = d.select(F.col("doc_id").alias("donor_sample_id"), F.col("source").alias("donor_source_error_label"), F.col("g").alias("donor_question_group_id"))
+    return cases, own.unionByName(drawn).join(anchor, "anchor_sample_id").join(donor, "donor_sample_id")
+
+
+@query(f"""WITH n AS ({ORACLES['negative_pairs']}), d AS (SELECT *, doc_id % 50 AS g, CASE WHEN doc_id % 10 = 3 THEN 'dev' ELSE 'train' END AS side, doc_id % 30 <> 7 AS told FROM documents),
+p AS (SELECT doc_id AS a, doc_id AS b, true AS pos FROM d UNION ALL SELECT anchor, donor, false FROM n), j AS (SELECT p.pos, x.*, y.side AS dside, y.lang AS dlang, y.g AS dg, y.source AS dsource, y.told AS dtold, y.doc_id AS did FROM p JOIN d x ON p.a = x.doc_id JOIN d y ON p.b = y.doc_id),
+t AS (SELECT a, count_if(pos) AS k, count_if(NOT pos) AS n FROM p GROUP BY 1), g AS (SELECT g, count(DISTINCT side) AS k FROM d GROUP BY 1),
+r AS (SELECT unnest(['text.present', 'text.length', 'self.donor', 'donor.split', 'donor.label', 'donor.group', 'donor.dataset', 'donor.described']) AS name,
+ unnest([count_if(trim(text) = ''), count_if(n_chars > 4096), count_if(pos AND did <> doc_id), count_if(NOT pos AND dside <> side), count_if(NOT pos AND dsource = source), count_if(NOT pos AND dg = g), count_if(NOT pos AND dlang <> lang), count_if(NOT (told AND dtold))]) AS n FROM j
+ UNION ALL SELECT 'anchor.targets', count_if(k <> 1 OR n <> 1) FROM t UNION ALL SELECT 'group.split', count_if(k <> 1) FROM g UNION ALL SELECT 'group.prompt', 0)
+SELECT name, n = 0 AS passed, n || ' violations' AS detail FROM r""")
+def pair_expectations(read) -> DataFrame:
+    return checks.pair_checks(*_pair_tables(read), 4096)
 
 
 _JUDGED = f"""SELECT *, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id % 3 END AS second FROM ({_RUNS})"""
@@ -869,3 +878,158 @@ def pool_stats(read) -> DataFrame:
 def pool_sources(read) -> DataFrame:
     d = read("documents").select("doc_id", F.sha2(tk.text_key(F.col("text")), 256).alias("k"))
     return curation.pool_sources(d, ["k"], "doc_id", "doc_id")
+
+
+#: Columns of canonical records that SQL has too: the group key needs NFKC.
+_RECORD = ["source_id", "sample_id", "question", "incorrect_solution", "source_error_label", "stratum", "eligible", "exclusion_reason"]
+
+
+def _canonical_sql(dataset: str, file: str, question: str, solution: str, label: str, before: str, rules: str, table: str = "documents") -> str:
+    """The SQL of a corpus: before and rules are WHEN branches around that of missing fields."""
+    mark = "\u241f"
+    ends = "' ' || chr(10) || chr(9)"
+    return f"""WITH r AS (SELECT *, {file} || '#' || doc_id AS source_id, {question} AS question, {solution} AS incorrect_solution, {label} AS source_error_label FROM {table}),
+m AS (SELECT *, array_to_string(list_filter([CASE WHEN trim(question, {ends}) = '' THEN 'question' END, CASE WHEN trim(incorrect_solution, {ends}) = '' THEN 'incorrect_solution' END, CASE WHEN trim(source_error_label) = '' THEN 'source_error_label' END], lambda x: x IS NOT NULL), ',') AS missing FROM r),
+e AS (SELECT *, CASE {before} WHEN missing <> '' THEN 'missing_field:' || missing {rules} ELSE '' END AS exclusion_reason FROM m)
+SELECT source_id, '{dataset}:' || substr(sha256(concat_ws('{mark}', trim(question, {ends}), trim(incorrect_solution, {ends}), trim(source_error_label))), 1, 16) AS sample_id, question, incorrect_solution, source_error_label, trim(source_error_label) AS stratum, exclusion_reason = '' AS eligible, exclusion_reason FROM e"""
+
+
+def _raw(read, file: Column, **fields: Column) -> DataFrame:
+    return read("documents").select(file.alias("file"), F.col("doc_id").alias("row"), F.struct(*[c.alias(k) for k, c in fields.items()]).alias("record"))
+
+
+_LABEL4 = "CASE doc_id % 4 WHEN 0 THEN '{0}' WHEN 1 THEN '{1}' WHEN 2 THEN '' ELSE '{2}' END"
+
+
+def _label4(*names: str) -> Column:
+    k = F.col("doc_id") % 4
+    return F.when(k == 0, names[0]).when(k == 1, names[1]).when(k == 2, "").otherwise(names[2])
+
+
+@query(_canonical_sql("stepwise", "'s.json'", "CASE WHEN doc_id % 9 = 0 THEN '' ELSE source END", "array_to_string(string_split(lang || '|' || source, '|'), chr(10))", _LABEL4.format("calc", "None of the above", "logic"), "", "WHEN lower(trim(source_error_label)) IN ('none of the above', 'none', 'no error') THEN 'non_error_label'"))
+def stepwise_records(read) -> DataFrame:
+    steps = F.to_json(F.split(F.concat("lang", F.lit("|"), "source"), r"\|"))
+    question = F.when(F.col("doc_id") % 9 != 0, F.col("source"))
+    nothing = F.lit(None).cast("string")
+    raw = _raw(read, F.lit("s.json"), problem=question, student_incorrect_solution=steps, error_category=_label4("calc", "None of the above", "logic"), incorrect_index=F.lit(None).cast("int"), incorrect_step=nothing, topic=nothing)
+    return corpora.canonical(raw, corpora.STEPWISE).select(_RECORD)
+
+
+@query(_canonical_sql("mathclean", "'check/simple.json'", "source", "lang", _LABEL4.format("logic error", "right", "Computing Error"), "", "WHEN lower(trim(source_error_label)) NOT IN ('logic error', 'computing error', 'expression error') THEN 'label_outside_error_types:' || source_error_label"))
+def mathclean_records(read) -> DataFrame:
+    raw = _raw(read, F.lit("check/simple.json"), question=F.col("source"), answer=F.col("lang"), type=_label4("logic error", "right", "Computing Error"), extent=F.lit("x"))
+    return corpora.canonical(raw, corpora.MATHCLEAN).select(_RECORD)
+
+
+_EIC_FOLDER = "CASE WHEN doc_id % 3 = 0 THEN 'wrong_step_x' ELSE 'missing_step' END"
+
+
+@query(_canonical_sql("eic", f"'generated_cases_GSM8K/' || ({_EIC_FOLDER}) || '/c.jsonl'", "source", "lang", _LABEL4.format("missing_step", "other", "unit_conversion_error"), "", f"""WHEN ({_EIC_FOLDER}) <> 'missing_step' THEN 'non_error_type_directory:wrong_step_x' WHEN source_error_label = 'other' THEN 'label_outside_canonical_set:other'
+ WHEN doc_id % 5 = 0 THEN 'is_single_error_not_true'"""))
+def eic_records(read) -> DataFrame:
+    folder = F.when(F.col("doc_id") % 3 == 0, "wrong_step_x").otherwise("missing_step")
+    file = F.concat(F.lit("generated_cases_GSM8K/"), folder, F.lit("/c.jsonl"))
+    raw = _raw(read, file, question=F.col("source"), transformed_solution=F.col("lang"), wrong_type=_label4("missing_step", "other", "unit_conversion_error"), is_single_error=F.when(F.col("doc_id") % 5 != 0, F.lit(True)), wrong_step=F.lit("1"), explanation=F.lit("e"))
+    return corpora.canonical(corpora.eic_rows(raw, ["GSM8K"]), corpora.EIC).select(_RECORD)
+
+
+_EDU = "(SELECT d.*, coalesce(q.p_name, '') AS asked, doc_id % 5 AS errors FROM documents d LEFT JOIN part q ON d.doc_id = q.p_partkey)"
+
+
+@query(_canonical_sql("mathedu", "'train.json'", "asked", "lang", "CASE WHEN errors = 1 THEN source ELSE '' END", """WHEN doc_id % 7 = 0 THEN 'not_an_incorrect_answer:right' WHEN errors = 0 THEN 'no_teacher_annotated_error' WHEN errors > 1 THEN 'multiple_annotated_errors:' || errors WHEN trim(asked) = '' THEN 'mathqa_question_not_found'""", "", _EDU))
+def mathedu_records(read) -> DataFrame:
+    error = F.struct(F.col("source").alias("error_type"), F.lit("e").alias("error_equation"), F.lit("a").alias("teacher_advice_en"), F.lit("b").alias("teacher_advice_ch"))
+    n = (F.col("doc_id") % 5).cast("int")
+    review = F.struct(n.alias("error_counts"), F.array_repeat(error, n).alias("error"))
+    raw = _raw(read, F.lit("train.json"), id=F.col("doc_id"), student_id=F.lit("s"), student_process=F.col("lang"), correct_or_not=F.when(F.col("doc_id") % 7 == 0, "right").otherwise("Wrong"), teacher_review=review)
+    questions = read("part").select(F.col("p_partkey").alias("position"), "p_name")
+    return corpora.canonical(corpora.with_questions(raw, questions, F.col("record.id"), "p_name"), corpora.MATHEDU).select(_RECORD)
+
+
+@query("SELECT lang, doc_id FROM documents WHERE lang IN ('en', 'de') AND doc_id IN (SELECT doc_id FROM labels JOIN documents USING (doc_id) WHERE lang IN ('en', 'de'))")
+def run_selection(read) -> DataFrame:
+    d = read("documents")
+    ids = read("labels").select("doc_id").join(d.where(F.col("lang").isin("en", "de")).select("doc_id"), "doc_id")
+    return eligibility.select_run(d, "doc_id", "lang", ["en", "de"], ids).select("lang", "doc_id")
+
+
+@query("SELECT p_partkey, p_brand AS label, 'T' || length(p_brand) AS type_id, CASE WHEN p_brand < 'Brand#2' THEN 'adopted' ELSE 'excluded' END AS type_status FROM part")
+def taxonomy_resolution(read) -> DataFrame:
+    p = read("part").select("p_partkey", F.lit("part").alias("dataset"), F.col("p_brand").alias("label"))
+    status = F.when(F.col("label") < "Brand#2", "adopted").otherwise("excluded")
+    taxonomy = p.select("dataset", F.col("label").alias("alias"), F.concat(F.lit("T"), F.length("label")).alias("type_id"), status.alias("status")).distinct()
+    return eligibility.resolve_types(p, taxonomy, "dataset", "label").select("p_partkey", "label", "type_id", "type_status")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 50 THEN 'short' WHEN l.doc_id IS NOT NULL THEN 'held_out' ELSE '' END AS reason FROM documents LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l USING (doc_id)".replace("l.doc_id IS NOT NULL", "doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
+def held_out_cases(read) -> DataFrame:
+    cases = read("documents").select("doc_id", curation.first_reason([(F.col("n_chars") < 50, "short")]).alias("reason"))
+    return eligibility.hold_out(cases, read("labels").where("toxic = 1"), "doc_id", "reason")
+
+
+@query(f"""WITH c AS (SELECT doc_id, {KEY} AS k, source AS l FROM documents), x AS (SELECT * FROM c UNION ALL SELECT NULL, k, 'other' FROM c WHERE doc_id % 13 = 0),
+b AS (SELECT k, count(DISTINCT l) FILTER (doc_id IS NOT NULL) = 1 AS only_extra FROM x GROUP BY 1 HAVING count(DISTINCT l) > 1)
+SELECT doc_id, CASE WHEN b.k IS NOT NULL THEN 'multi_label_solution' ELSE '' END AS reason, coalesce(only_extra, false) AS only_extra FROM c LEFT JOIN b USING (k)""")
+def conflict_exclusion(read) -> DataFrame:
+    c = read("documents").select("doc_id", F.sha2(tk.text_key(F.col("text")), 256).alias("k"), F.col("source").alias("l"), F.lit("").alias("reason"))
+    extra = c.where("doc_id % 13 = 0").select("k", F.lit("other").alias("l"))
+    return eligibility.exclude_conflicts(c, ["k"], "l", "reason", extra).select("doc_id", "reason", "only_extra")
+
+
+@query("""WITH s AS (SELECT lang, unnest(['chars', 'quarter']) AS tokenizer, unnest([n_chars, n_chars // 4]) AS t FROM documents)
+SELECT lang, tokenizer, count(*) AS n, max(t) AS longest, quantile_cont(t, 0.99) AS p99, count_if(t > 1024) AS over FROM s GROUP BY 1, 2""")
+def tokenizer_lengths(read) -> DataFrame:
+    lengths = {"chars": F.col("n_chars"), "quarter": F.floor(F.col("n_chars") / 4)}
+    return eligibility.length_check(read("documents"), "doc_id", lengths, 1024, "lang")[1]
+
+
+@query("""WITH r AS (SELECT l_partkey AS k, CASE WHEN min(l_linenumber % 2) = max(l_linenumber % 2) THEN min(l_linenumber % 2) = 1 END AS v FROM lineitem GROUP BY 1),
+x AS (SELECT p_partkey AS k FROM part WHERE p_size % 3 = 0)
+SELECT coalesce(r.k, x.k) AS k, CASE WHEN r.k IS NULL THEN true WHEN x.k IS NULL THEN v WHEN v THEN true END AS eligible, CASE WHEN r.k IS NULL THEN 'extra' WHEN v IS NULL OR (x.k IS NOT NULL AND NOT v) THEN 'ambiguous' ELSE 'rows' END AS source FROM r FULL JOIN x ON r.k = x.k""")
+def unit_eligibility(read) -> DataFrame:
+    rows = read("lineitem").select(F.col("l_partkey").alias("k"), (F.col("l_linenumber") % 2 == 1).alias("v"))
+    return eligibility.eligibility(rows, "k", "v", read("part").where("p_size % 3 = 0").select(F.col("p_partkey").alias("k")))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'other keys' WHEN 2 THEN 'a text for null' WHEN 3 THEN 'a verdict without an answer' ELSE '' END AS fault,
+ CASE WHEN event_id % 6 = 4 THEN event_type END AS extracted_answer, CASE WHEN event_id % 6 = 4 THEN 'correct' END AS verdict FROM events""")
+def answer_faults(read) -> DataFrame:
+    k = F.col("event_id") % 6
+    text = lambda a, v: F.concat(F.lit('{"extracted_answer": '), a, F.lit(', "verdict": '), v, F.lit(', "reason": "r"}'))
+    quoted = F.concat(F.lit('"'), "event_type", F.lit('"'))
+    null = F.lit("null")
+    raw = F.when(k == 0, F.lit("{")).when(k == 1, F.col("props")).when(k == 2, text(F.lit('"null"'), null)).when(k == 3, text(null, F.lit('"correct"'))).when(k == 4, text(quoted, F.lit('"correct"'))).otherwise(text(null, null))
+    return answers.answer_check(read("events").select("event_id", raw.alias("t")), "t").select("event_id", "fault", "extracted_answer", "verdict")
+
+
+@query("""SELECT p_partkey, 'A: ' || p_type || chr(10) || 'B: ' || p_brand AS options, CASE WHEN p_size % 4 = 0 THEN 'unjudgeable' WHEN p_size % 4 = 1 THEN 'target' WHEN p_size % 4 = 2 THEN 'other' ELSE 'none' END AS matched FROM part""")
+def matched_options(read) -> DataFrame:
+    k = F.col("p_size") % 4
+    answer = F.when(k == 1, F.concat(F.lit("$"), "p_type", F.lit(" $"))).when(k == 2, F.col("p_brand")).when(k == 3, "nothing like it")
+    options = F.array(F.struct(F.lit("B").alias("option"), F.col("p_brand").alias("text")), F.struct(F.lit("A").alias("option"), F.col("p_type").alias("text")))
+    return read("part").select("p_partkey", answers.options_text(options).alias("options"), answers.matched_class(answer, {"target": F.array("p_type"), "other": F.array("p_brand")}).alias("matched"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y%m%d_%H%M%S') AS stamp FROM events")
+def seoul_stamps(read) -> DataFrame:
+    return read("events").select("event_id", settings.stamp(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
+@query("""WITH a AS (SELECT doc_id, lang, source FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN lang || '?' ELSE lang END AS lang, source FROM documents WHERE doc_id % 5 <> 0)
+SELECT doc_id, unnest(['lang', 'source']) AS "column", unnest([a.lang, a.source]) AS "left", unnest([b.lang, b.source]) AS "right" FROM a FULL JOIN b USING (doc_id) WHERE a.lang IS NULL OR b.lang IS NULL
+UNION ALL SELECT doc_id, 'lang', a.lang, b.lang FROM a JOIN b USING (doc_id) WHERE a.lang <> b.lang""")
+def table_difference(read) -> DataFrame:
+    d = read("documents").select("doc_id", "lang", "source")
+    b = d.where("doc_id % 5 <> 0").withColumn("lang", F.when(F.col("doc_id") % 11 == 0, F.concat("lang", F.lit("?"))).otherwise(F.col("lang")))
+    return checks.table_difference(d.where("doc_id % 7 <> 0"), b, "doc_id", ["lang", "source"])
+
+
+@query(f"SELECT lang, {KEY} AS k FROM documents UNION ALL SELECT role, {KEY} FROM conversations".replace(KEY, f"sha256({KEY})"))
+def pooled_texts(read) -> DataFrame:
+    key = F.sha2(tk.text_key(F.col("text")), 256).alias("k")
+    return read("documents").select("lang", key).unionByName(read("conversations").select(F.col("role").alias("lang"), key))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def status_histogram(read) -> DataFrame:
+    return read("events").groupBy("event_type").agg(n())

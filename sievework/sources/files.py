@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return parsed.where(checked).select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields])
 
 
-def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, append: bool = False) -> int:
+    """Writes JSON Lines; the number of rows written, counted while they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append" if append else "overwrite").json(path)
+    return seen.get["n"]
+
+
+def provenance(spark: SparkSession, path: str) -> DataFrame:
+    """file, bytes and sha256 of every file below a path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def read_json_array(spark: SparkSession, path: str, element: str, wrappers: tuple[str, ...] = ("data", "records", "items", "examples")) -> DataFrame:
@@ -52,9 +61,12 @@ def write_review_csv(df: DataFrame, path: str) -> None:
     named.coalesce(1).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
 
 
-def read_pinned(spark: SparkSession, path: str, rows: int, answer: str | None = None, mark: str = "####") -> DataFrame:
-    """Parquet with a known number of rows; with answer, adds `reference`, what stands behind the last mark."""
+def read_pinned(spark: SparkSession, path: str, rows: int, answer: str | None = None, mark: str = "####", sha256: set[str] | None = None) -> DataFrame:
+    """Parquet with a known number of rows, and with sha256 the digests that its files must have; with answer, adds
+    `reference`, what stands behind the last mark."""
     df = spark.read.parquet(path)
+    if sha256 is not None and (got := {r["sha256"] for r in provenance(spark, path).where("file like '%.parquet'").collect()}) != sha256:
+        raise BadInput(f"{path}: files with the digests {sorted(got)}")
     if (n := df.count()) != rows:
         raise BadInput(f"{path}: {n} rows, {rows} expected")
     if answer is None:
