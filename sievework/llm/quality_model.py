@@ -5,9 +5,10 @@ over the text's norm; a few dense columns of shape (length, capitals, symbols, r
 FTRL-proximal with L1 and L2, one update a text, on a bounded sample of labelled rows; scoring is a sparse dot product
 with one array of weights whose size is fixed by BUCKETS.
 
-Defined cases: a null or empty text has no words and gets the score of its bias and shape columns; labels without a
-document are ignored; several labels of a document count as several rows; without any labelled row, or with labels of
-one class only, the score is the share of label 1 among them (0.5 without any); other columns are ignored.
+Defined cases: a null or empty text has no words and gets the score of its bias and shape columns; a very long text is
+scored whole in one task; repeated rows get equal scores; labels without a document are ignored; several labels of a
+document count as several rows; without any labelled row, or with labels of one class only, the score is the share of
+label 1 among them (0.5 without any); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ BUCKETS = 1 << 18
 SHAPE = 6
 #: At most so many labelled rows, those with the smallest hashes of their ids, are used to fit.
 SAMPLE_ROWS = 6000
-#: Of a training text, so many of its n-grams at most; the scorer takes all.
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.0005, 0.0005
 SALT = 17
@@ -131,8 +131,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             for part, t in tx.chunks(batch, "text"):
                 bins, values, first = features(t)
-                dot = np.concatenate(([0.0], np.cumsum(w[bins].astype(np.float64) * values)))
-                z = dot[first[1:]] - dot[first[:-1]]
+                z = np.add.reduceat(w[bins].astype(np.float64) * values, first[:-1])  # each text has its shape columns
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")

@@ -41,9 +41,10 @@ from sievework.llm.store import stored
 BLOCK_BYTES = 1 << 20
 #: Text bytes whose anchors, or cut-out segments, make one bucket or shard.
 BUCKET_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
-KEY_BITS = 46  # two more bits say how a block has the key
-#: So many runs of a key in a block weigh as much as a run in each of so many blocks.
-MANY_RUNS = 32
+KEY_BITS = 45  # three more bits say how a block has the key: whether in several documents, and how often about
+RUNS = (1, 32, 512, 8192)
+#: Segments of a key, about, that a shard has room for.
+HOT_RUNS = SHARD_BYTES // 64
 #: Beyond so many blocks their keys are counted by groups of GROUP_BLOCKS first.
 TREE_BLOCKS, GROUP_BLOCKS = 1 << 20, 4096
 NO_ID = np.iinfo(np.int64).max  # a null id counts as the largest
@@ -207,7 +208,8 @@ def _anchors(kind: Kind, buckets: int):
                 lo, hi = np.full(len(keys), len(t)), np.zeros(len(keys), np.int64)
                 np.minimum.at(lo, back, doc)
                 np.maximum.at(hi, back, doc)
-                sent = keys << tx.U64(2) | (runs >= MANY_RUNS).astype(tx.U64) << tx.U64(1) | (lo != hi).astype(tx.U64)
+                often = (np.searchsorted(RUNS, runs, "right") - 1).astype(tx.U64)
+                sent = keys << tx.U64(3) | often << tx.U64(1) | (lo != hi).astype(tx.U64)
                 yield _dealt(keys, buckets, row["block"], sent)
 
     return run
@@ -226,13 +228,13 @@ def _dealt(keys: np.ndarray, parts: int, block: int, sent: np.ndarray) -> pa.Rec
     )
 
 
-def _tallied(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, place of each sent one among them, runs and blocks that weigh, more than one document) of what blocks sent."""
-    keys, back, counts = np.unique(sent >> tx.U64(2), return_inverse=True, return_counts=True)
-    weight = counts + (MANY_RUNS - 1) * np.bincount(back, (sent & tx.U64(2)) > 0, len(keys)).astype(np.int64)
+def _tallied(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, place of each sent one among them, blocks, runs at least, more than one document) of what blocks sent."""
+    keys, back, counts = np.unique(sent >> tx.U64(3), return_inverse=True, return_counts=True)
+    runs = np.bincount(back, np.array(RUNS)[(sent >> tx.U64(1) & tx.U64(3)).astype(np.int64)], len(keys)).astype(np.int64)
     many = counts > 1
     many[back[(sent & tx.U64(1)) > 0]] = True
-    return keys, back, weight, many
+    return keys, back, counts, runs, many
 
 
 def _replies(owners: list[int], sizes: np.ndarray, back: np.ndarray, keys: np.ndarray, many: np.ndarray, hot: np.ndarray) -> pa.RecordBatch | None:
@@ -257,8 +259,8 @@ def _answers(kind: Kind):
         for _, held in groups(batches, "bucket"):
             raw = [x for b in held for x in b.column("keys").to_pylist()]
             owners = [x for b in held for x in b.column("block").to_pylist()]
-            keys, back, weight, many = _tallied(unpack(b"".join(raw)))
-            out = _replies(owners, np.array([len(x) // 6 for x in raw]), back, keys, many, weight >= kind.hot_blocks)
+            keys, back, counts, runs, many = _tallied(unpack(b"".join(raw)))
+            out = _replies(owners, np.array([len(x) // 6 for x in raw]), back, keys, many, (counts >= kind.hot_blocks) | (runs >= HOT_RUNS))
             if out is not None:
                 yield out
 
@@ -268,28 +270,28 @@ def _answers(kind: Kind):
 # the same for very many blocks: a group of blocks tallies its keys, a bucket sums the groups' tallies, and the group
 # answers its blocks.  "cell" names a group's part of a bucket.
 
-TALLIES = "bucket long, cell long, keys binary, weights binary"
+TALLIES = "bucket long, cell long, keys binary, blocks binary, runs binary"
 VERDICTS = "cell long, block long, keys binary"
 
 
 def _cell_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for cell, held in groups(batches, "cell"):
-        keys, _, weight, many = _tallied(unpack(b"".join(x for b in held for x in b.column("keys").to_pylist())))
-        row = [held[0].column("bucket")[0].as_py(), int(cell), pack(keys << tx.U64(1) | many.astype(tx.U64)), weight.astype(np.int64).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["bucket", "cell", "keys", "weights"])
+        keys, _, counts, runs, many = _tallied(unpack(b"".join(x for b in held for x in b.column("keys").to_pylist())))
+        row = [held[0].column("bucket")[0].as_py(), int(cell), pack(keys << tx.U64(1) | many.astype(tx.U64)), counts.astype(np.int64).tobytes(), runs.tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["bucket", "cell", "keys", "blocks", "runs"])
 
 
 def _sums(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in groups(batches, "bucket"):
             raw = [unpack(x) for b in held for x in b.column("keys").to_pylist()]
-            weights = np.concatenate([np.frombuffer(x, np.int64) for b in held for x in b.column("weights").to_pylist()])
+            blocks, runs = (np.concatenate([np.frombuffer(x, np.int64) for b in held for x in b.column(c).to_pylist()]) for c in ("blocks", "runs"))
             cells = [x for b in held for x in b.column("cell").to_pylist()]
             sent = np.concatenate(raw)
             keys, back, counts = np.unique(sent >> tx.U64(1), return_inverse=True, return_counts=True)
             many = counts > 1
             many[back[(sent & tx.U64(1)) > 0]] = True
-            hot = np.bincount(back, weights, len(keys)) >= kind.hot_blocks
+            hot = (np.bincount(back, blocks, len(keys)) >= kind.hot_blocks) | (np.bincount(back, runs, len(keys)) >= HOT_RUNS)
             out = _replies(cells, np.array([len(x) for x in raw]), back, keys, many, hot)
             if out is not None:
                 # a verdict comes before the cell's blocks
@@ -306,7 +308,7 @@ def _cell_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         known = np.sort(unpack(rows[0][1]))
         for i in range(1, len(rows), 256):
             part = rows[i : i + 256]
-            sent = [unpack(x) >> tx.U64(2) for _, x in part]
+            sent = [unpack(x) >> tx.U64(3) for _, x in part]
             keys = np.concatenate(sent)
             at = np.minimum(np.searchsorted(known >> tx.U64(1), keys), len(known) - 1)
             many, hot = known[at] >> tx.U64(1) == keys, (known[at] & tx.U64(1)) > 0

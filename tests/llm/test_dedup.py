@@ -306,3 +306,10 @@ def test_largest_id_is_no_null(spark):
     rows = [(None, t), (2**63 - 1, t)]
     got = {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.removals(documents(spark, rows)).collect()}
     assert {i for i, _ in got} == {None, 2**63 - 1}
+
+
+def test_runs_of_a_key_are_summed():
+    flags = [(5, 0, 0), (5, 2, 1), (7, 3, 0)]
+    keys, back, blocks, runs, many = spans._tallied(np.array([k << 3 | often << 1 | several for k, often, several in flags], np.uint64))
+    assert keys.tolist() == [5, 7] and back.tolist() == [0, 0, 1] and blocks.tolist() == [2, 1] and many.tolist() == [True, False]
+    assert runs.tolist() == [1 + 512, 8192] and 4 * 8192 >= spans.HOT_RUNS

@@ -377,3 +377,46 @@ def test_decontamination_by_shuffle_against_sql(spark, duck):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     out = decontamination.find(docs, bench, 0)
     assert same(out, duck.execute(decontamination.ORACLE))
+
+
+def test_pipeline_at_its_threshold(spark):
+    """All stages against plain versions, near duplicates linked from 0.8 on."""
+    import corpus_pipeline
+
+    from tests.llm.test_dedup import plain_cleaned
+
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.query(spark, SMALL).collect()}
+    items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    rows = sorted((r["doc_id"], r["text"]) for r in table.collect())
+    want = [[r for r in rows if not scored[r[0]]]]
+    want.append([r for r in want[-1] if r[0] in plain_representatives(want[-1], 80)])
+    want.append(plain_cleaned(want[-1]))
+    leaks = {r[0] for r in plain_hits(want[-1], items) if r[5]}
+    want.append([r for r in want[-1] if r[0] not in leaks])
+    docs = table
+    for (_, stage), kept in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+        docs = stored(stage(spark, docs, SMALL), "test-stage")
+        assert docs.columns == table.columns and sorted((r["doc_id"], r["text"]) for r in docs.collect()) == kept
+    pieces = sorted(map(tuple, packing.pack(docs).collect()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == pieces and {p[0] for p in pieces} == {r[0] for r in want[-1]}
+
+
+def plain_representatives(rows, threshold):
+    """The smallest ids of the classes of near-duplicates, by comparing all pairs."""
+    low = str.maketrans({c: c + 32 for c in range(65, 91)})
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    ids, smallest = sorted(sets), {i: i for i in sets}
+    changed = True
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(smallest[a], smallest[b])
+            if smallest[a] != m or smallest[b] != m:
+                smallest[a] = smallest[b] = m
+                changed = True
+    return {i for i in ids if smallest[i] == i}
