@@ -176,10 +176,9 @@ class Units:
         """128-bit hashes of the windows that begin at some places, in two halves."""
         out = []
         for salt, base in ((0xA0761D6478BD642F, 0x9FB21C651E98DF25), (0xE7037ED1A0B428DB, 0xD6E8FEB86659FD93)):
-            unit = tx.mix(self.hash ^ tx.U64(salt))
             power, total = 1, np.zeros(len(at), tx.U64)
-            for k in range(self.kind.window):
-                total += unit[at + k] * tx.U64(power)
+            for k in range(self.kind.window):  # hot windows are few, so their units are mixed where they stand
+                total += tx.mix(self.hash[at + k] ^ tx.U64(salt)) * tx.U64(power)
                 power = power * base % (1 << 64)
             out.append(tx.mix(total).view(np.int64))
         return tuple(out)
@@ -485,7 +484,8 @@ def repeated(docs: DataFrame, kind: Kind, carry: bool = False, block_bytes: int
 
     sent = base.select("block", "ids", "sizes", "data").mapInArrow(_anchors(kind, buckets), ANCHORS)
     back = answered(sent, kind, n_blocks).groupBy("block").agg(F.collect_list("keys").alias("keys"))
-    cut = base.select("block", "ids", "sizes", "data").join(stored(back, "anchors"), "block").join(copies, "block", "left").select("block", "ids", "sizes", "data", "keys", "copies")
+    # blocks are joined by shuffle at every size, so that what is measured on small tables holds for large ones
+    cut = base.select("block", "ids", "sizes", "data").join(stored(back, "anchors").hint("merge"), "block").join(copies.hint("merge"), "block", "left").select("block", "ids", "sizes", "data", "keys", "copies")
     segments = cut.mapInArrow(_segments(kind, shards), SEGMENTS).repartition("shard").sortWithinPartitions("shard")
     found = stored(segments.mapInArrow(_matched(kind), SPANS), "spans")
     spans = found.where("spans is not null").groupBy("block").agg(F.collect_list("spans").alias("spans"))
@@ -493,7 +493,7 @@ def repeated(docs: DataFrame, kind: Kind, carry: bool = False, block_bytes: int
     first = hot.groupBy("h1", "h2").agg(F.min("lo").alias("least"))
     later = hot.join(first, ["h1", "h2"]).where("hi > least").groupBy("block").agg(F.collect_list(F.struct("least", "at")).alias("hot"))
     later = stored(later, "hot")
-    return base.drop("digests").join(spans, "block", "left").join(copies, "block", "left").join(later, "block", "left").select("block", "ids", "sizes", "data", "rest", "spans", "copies", "hot")
+    return base.drop("digests").join(spans.hint("merge"), "block", "left").join(copies.hint("merge"), "block", "left").join(later.hint("merge"), "block", "left").select("block", "ids", "sizes", "data", "rest", "spans", "copies", "hot")
 
 
 def without_points(data: np.ndarray, gone: np.ndarray) -> bytes:
