@@ -81,6 +81,12 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, as each may hold a block."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[pa.RecordBatch]]]:
     """Rows sorted by key, one key's at a time."""
     held: list[pa.RecordBatch] = []
@@ -198,7 +204,7 @@ ANCHORS = "bucket long, block long, keys binary"
 def _anchors(kind: Kind, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows(batch):
                 t, _ = load(row)
                 key, doc, _, _ = Units(t, kind).runs()
                 if not len(key):
@@ -360,7 +366,7 @@ def _segments(kind: Kind, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows(batch):
                 if not row["keys"]:
                     continue
                 t, ids = load(row)
@@ -510,7 +516,7 @@ def cleaned(docs: DataFrame, kind: Kind) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows(batch):
                 u, gone, ids = removed_units(row, kind)
                 other = pa.ipc.read_record_batch(expand(row["rest"]), rest_schema) if rest else None
                 texts, keep = [], []

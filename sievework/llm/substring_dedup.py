@@ -98,7 +98,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in spans.rows(batch):
             u, gone, _ = spans.removed_units(row, KIND)
             start, end, raw, out = u.start.tolist(), u.end.tolist(), u.raw, []
             for i, a, b in zip(row["ids"], u.first[:-1].tolist(), u.first[1:].tolist(), strict=True):
