@@ -4,8 +4,9 @@
 set when rule b failed.  A policy is a named, versioned mask over those bits; applying one, or asking what each rule
 removes alone (an ablation), reads the ledger only, by bitwise operations.
 
-Defined cases: a null text counts as no words; an empty text fails `few_words` only; rows with equal doc_id are
-independent; an empty table gives an empty ledger; other columns of the input are ignored.
+Defined cases: a null text counts as no words; an empty text fails `few_words` only; a very long text is one array of
+words in one task; rows with equal doc_id are independent; an empty table gives an empty ledger; other columns of the
+input are ignored.
 Windows of words are compared by 64-bit hashes within one document.
 """
 
@@ -78,17 +79,19 @@ def evaluate_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         bare.alias("bare"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
+    a = a.select(key, F.size("ws").cast("long").alias("n_words"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"), "bare", "lines")
     b = a.select(
         key,
-        F.size("ws").cast("long").alias("n_words"),
+        "n_words",
         F.char_length("bare").cast("long").alias("word_chars"),
         (F.char_length("bare") - F.char_length(F.translate("bare", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.char_length("bare") - F.char_length(F.translate("bare", CAPITALS, ""))).cast("long").alias("n_capitals"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        # a window is the hash of its words' hashes
         F.when(
-            F.size("ws") >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size("ws") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("ws", i, WINDOW))),
+            F.size("hs") >= WINDOW,
+            F.transform(F.sequence(F.lit(0), F.size("hs") - WINDOW), lambda i: F.xxhash64(*[F.get("hs", i + k) for k in range(WINDOW)])),
         ).otherwise(F.array().cast("array<bigint>")).alias("keys"),
     )
     measured = ["n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines"]
