@@ -5,7 +5,7 @@ docs.  All but the last return the columns of documents.
 
 Defined cases, in all stages: null and empty texts go through (they have no words, spans or hits, get the score of a row
 of no words, and are packed as their end mark); very long texts are handled whole; rows with equal doc_id are judged
-each by its own text, but where one of a near-duplicate class goes, rows of its id go with it; a null doc_id counts as the
+each by its own text, but near-duplicates that share an id go only if none of them is kept; a null doc_id counts as the
 largest; an empty table stays empty; columns other than doc_id, text and n_chars are carried along.
 """
 

@@ -7,7 +7,7 @@ coordinate is filled and agrees between two sets with their Jaccard similarity,
 ROWS coordinates find candidates: a pair shares no band with probability below 1e-10 at similarity 0.85, and below
 1e-7 at 0.8.
 
-Equal sets are one class, which its smallest id represents.  In a band's bucket the smallest representative is paired
+Equal sets are one node, numbered once, which the text of its smallest id represents.  In a band's bucket the smallest representative is paired
 with all others; confirmed pairs make components.  Links across components remain to be found among the candidates:
 all that met another one in a bucket.  Two sets that are similar enough share one of their rarest shingles (as many of
 each as it may lack and one more), so only members of different components that do are looked at, in blocks, their
@@ -15,8 +15,9 @@ sketches first: documents of one template, which share much but not enough, don'
 full sets.
 
 Defined cases: a null or empty text has no shingle and is linked with nothing; fewer than 5 words are one shingle;
-repeated rows fall into one class; a row without an id is always kept and has the smallest id of its class, if any, as
-component; a very long text is one set in one task; an empty table gives an empty result; other columns are ignored.
+repeated rows fall into one class; rows with equal doc_id and different texts are judged each by its own text, and all
+their links count; a row without an id is always kept and has the smallest id of its class, if any, as component; a
+very long text is one set in one task; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 #: Sketches of sets at the threshold agree in fewer coordinates than agreeing() with probability below this.
 MISSED = 1e-10
+#: Up to so many nodes (their number, id and set's name) are broadcast, beyond that they are joined by shuffle.
+BROADCAST_NODES = 400_000
 #: Members of a cluster in a block, about.
 BLOCK = 512
 _EMPTY = tx.U64(0xFFFFFFFFFFFFFFFF)
@@ -90,6 +93,11 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def signature(x: np.ndarray) -> bytes | None:
+    """Name of a set: its size and two sums of mixed hashes, in which the order does not matter; none if empty."""
+    return len(x).to_bytes(4, "little") + tx.mix(x).sum(dtype=tx.U64).tobytes() + tx.mix(x ^ tx.U64(0x5851F42D4C957F2D)).sum(dtype=tx.U64).tobytes() if len(x) else None
+
+
 SKETCHED = "doc_id long, n_shingles long, sig binary, bands array<long>, sketch binary"
 
 
@@ -98,8 +106,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in tx.chunks(batch, "text"):
             sets = shingle_sets(t)
             sk = sketches(sets)
-            # the order does not matter in two sums of mixed hashes; with the size they name the set
-            sig = [len(x).to_bytes(4, "little") + tx.mix(x).sum(dtype=tx.U64).tobytes() + tx.mix(x ^ tx.U64(0x5851F42D4C957F2D)).sum(dtype=tx.U64).tobytes() if len(x) else None for x in sets]
+            sig = [signature(x) for x in sets]
             keys = band_keys(sk)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
             small = tx.mix(sk).astype(np.uint8)
@@ -110,9 +117,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, members) of texts that have the set named by sig; another text of the same doc_id has not."""
     for batch in batches:
         for part, t in tx.chunks(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(t)], pa.binary())], names=["id", "members"])
+            sets = shingle_sets(t)
+            own = [signature(x) == want for x, want in zip(sets, part.column("sig").to_pylist(), strict=True)]
+            members = pa.array([x.tobytes() for x, is_own in zip(sets, own, strict=True) if is_own], pa.binary())
+            if len(members):
+                yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(own)), members], names=["id", "members"])
 
 
 def _confirm(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -130,11 +142,13 @@ def _confirm(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, members): the whole shingle sets of the documents that occur in pairs."""
-    ids = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "near-ids")
-    texts = only(docs.select("doc_id", "text"), ids)
-    return stored(texts.mapInArrow(_sets, "id long, members binary"), "near-sets")
+def full_sets(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, members): the whole shingle sets of the nodes that occur in pairs."""
+    nodes = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    wanted = stored(heads.join(nodes, F.col("node") == F.col("a")).select("node", "head", "sig"), "near-nodes")
+    small = wanted.count() <= BROADCAST_NODES
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("head"))
+    return stored(texts.select("node", "sig", "text").mapInArrow(_sets, "id long, members binary"), "near-sets")
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -224,7 +238,7 @@ def across(comps: DataFrame, sketched: DataFrame, sets: DataFrame, threshold: in
     few = lambda c: F.ceil(c / BLOCK).cast("int")
     mixed = mixed.select("cluster", F.col("top.component").alias("largest"), few(F.col("all") - F.col("top.n")).alias("outer"), few(F.col("all")).alias("every"))
     rows = known.join(mixed, "cluster").withColumn("main", F.col("component") == F.col("largest"))
-    rows = rows.join(sketched.select(F.col("doc_id").alias("member"), "sketch"), "member").join(sets.withColumnRenamed("id", "member"), "member")
+    rows = rows.join(sketched.select("member", "sketch"), "member").join(sets.withColumnRenamed("id", "member"), "member")
     dealt = lambda n, salt: F.pmod(F.xxhash64("member", F.lit(salt)), F.col(n)).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     out = ["side", "member", "main", "component", "sketch", "members"]
@@ -238,22 +252,26 @@ def across(comps: DataFrame, sketched: DataFrame, sets: DataFrame, threshold: in
 def classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs; sets are linked from threshold per cent on."""
     sketched = stored(docs.select("doc_id", "text").mapInArrow(_sketch, SKETCHED), "near-sketches")
-    heads = sketched.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("head"))
-    heads = stored(heads, "near-classes")
-    reps = sketched.join(heads.select("head"), sketched["doc_id"] == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
-    reps = stored(reps.select("doc_id", "bands", "sketch"), "near-representatives")
-    flat = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("member"))
+    heads = sketched.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("head"))
+    heads = stored(heads.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    named = heads.select(F.col("sig").alias("_sig"), "head", F.col("node").alias("member"))
+    reps = sketched.join(named, (F.col("doc_id") == F.col("head")) & (F.col("sig") == F.col("_sig"))).dropDuplicates(["member"])
+    reps = stored(reps.select("member", "bands", "sketch"), "near-representatives")
+    flat = reps.select(F.explode("bands").alias("bucket"), "member")
     shared = flat.groupBy("bucket").agg(F.min("member").alias("first"), F.max("member").alias("last")).where("first < last")
     buckets = stored(flat.join(shared.select("bucket", "first"), "bucket").select("bucket", "first", "member"), "near-buckets")
     pairs = stored(buckets.where("first < member").select(F.col("first").alias("a"), F.col("member").alias("b")).distinct(), "near-pairs")
-    sets = full_sets(docs, pairs)
+    sets = full_sets(docs, heads, pairs)
     links = confirmed(sets, pairs, threshold)
     comps = stored(components(links), "near-components")
     more = stored(across(comps, reps, sets, threshold), "near-links")
     if not more.isEmpty():
         comps = stored(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-components")
-    named = heads.join(comps, F.col("head") == F.col("node"), "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "head").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "sig").join(named, F.col("sig") == F.col("_sig"), "left")
+    linked = heads.join(comps.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
+    smallest = linked.groupBy("component").agg(F.min("head").alias("smallest"))
+    named = linked.join(smallest, "component").select(F.col("sig").alias("_sig"), F.col("smallest").alias("component"))
+    alone = heads.join(comps.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left_anti").select(F.col("sig").alias("_sig"), F.col("head").alias("component"))
+    out = sketched.select("doc_id", "n_shingles", "sig").join(named.unionByName(alone), F.col("sig") == F.col("_sig"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
@@ -274,6 +292,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents that are the smallest of their class, all columns.  Where rows share that id all stay."""
-    gone = stored(classes(docs, threshold).where("not kept").select("doc_id").distinct(), "near-removed")
+    """The documents that are the smallest of their class, all columns.  Rows that share an id stay together: they go
+    only if none of them is kept."""
+    judged = classes(docs, threshold)
+    gone = stored(judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "near-removed")
     return only(docs, gone, "left_anti")

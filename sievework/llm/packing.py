@@ -5,8 +5,8 @@ token totals are summed up to global offsets (one row a partition).  Pass two re
 cuts the stream of all ids at multiples of the sequence length; a document that crosses a cut gives one boundary
 record on either side.  Only the last sequence of all is padded.
 
-Defined cases: a null or empty text is its end mark alone; rows with equal doc_id are packed one by one; an empty
-table gives no piece; other columns are ignored.  Words between ASCII white space, A-Z folded as the vocabulary does,
+Defined cases: a null or empty text is its end mark alone; rows with equal doc_id are packed one by one, and so are
+rows without an id, whose pieces have none; an empty table gives no piece; other columns are ignored.  Words between ASCII white space, A-Z folded as the vocabulary does,
 are tokenised once per worker and looked up by a 64-bit hash after that: its splitter never joins across white space.
 Texts that hold an added token of the vocabulary (matched in the raw text, not folded) are tokenised whole.
 """
@@ -34,7 +34,7 @@ REMEMBERED = 600_000
 MARK = "philanthropy"
 #: Up to so many partitions their offsets are broadcast (16 bytes each), beyond that they are joined by shuffle.
 BROADCAST_PARTITIONS = 1_000_000
-BUNDLES = "part int, before long, n long, docs binary, counts binary, ids binary"
+BUNDLES = "part int, before long, n long, docs binary, nulls binary, counts binary, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -146,10 +146,11 @@ def tokenized(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
         for batch in batches:
             for rows, t in tx.chunks(batch, text, 2 * tx.CHUNK_BYTES):
                 ids, counts = words(t)
-                doc = np.asarray(rows.column(key).cast(pa.int64()).fill_null(-1))
+                key_of = rows.column(key).cast(pa.int64())
+                doc, nulls = np.asarray(key_of.fill_null(0)), np.packbits(np.asarray(key_of.is_null())).tobytes() if key_of.null_count else None
                 yield pa.RecordBatch.from_pylist(
-                    [{"part": part, "before": before, "n": len(ids), "docs": doc.tobytes(), "counts": counts.astype(np.int64).tobytes(), "ids": ids.astype(kind).tobytes()}],
-                    schema=pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())]),
+                    [{"part": part, "before": before, "n": len(ids), "docs": doc.tobytes(), "nulls": nulls, "counts": counts.astype(np.int64).tobytes(), "ids": ids.astype(kind).tobytes()}],
+                    schema=pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("nulls", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())]),
                 )
                 before += len(ids)
 
@@ -177,10 +178,11 @@ def cut(bundles: DataFrame, length: int = LENGTH) -> DataFrame:
                 a, b = np.maximum(at[own], sequence * length), np.minimum((at + n)[own], (sequence + 1) * length)
                 shift = r["base"] + r["before"]
                 crc = [zlib.crc32(ids[i:j]) for i, j in zip((a - shift).tolist(), (b - shift).tolist(), strict=True)]
-                columns = [doc[own], a - at[own], b - a, np.array(crc, np.int64), n[own], sequence, a - sequence * length]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=[c.split()[0] for c in PIECES.split(", ")])
+                no_id = np.unpackbits(np.frombuffer(r["nulls"], np.uint8))[own].astype(bool) if r["nulls"] else None
+                columns = [a - at[own], b - a, np.array(crc, np.int64), n[own], sequence, a - sequence * length]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[own], mask=no_id), *[pa.array(c.astype(np.int64)) for c in columns]], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return bundles.join(bases, "part").select("base", "before", "n", "docs", "counts", "ids").mapInArrow(run, PIECES)
+    return bundles.join(bases, "part").select("base", "before", "n", "docs", "nulls", "counts", "ids").mapInArrow(run, PIECES)
 
 
 def default_vocabulary() -> str:

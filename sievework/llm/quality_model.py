@@ -6,8 +6,8 @@ FTRL-proximal with L1 and L2, one update a text, on a bounded sample of labelled
 with one array of weights whose size is fixed by BUCKETS.
 
 Defined cases: a null or empty text has no words and gets the score of its bias and shape columns; a very long text is
-scored whole in one task; repeated rows get equal scores; labels without a document are ignored; several labels of a
-document count as several rows; without any labelled row, or with labels of one class only, the score is the share of
+scored whole in one task; repeated rows get equal scores; labels without a document are ignored; different labels of
+a document count as several rows, equal ones as one; of documents with equal ids one text is learned from; without any labelled row, or with labels of one class only, the score is the share of
 label 1 among them (0.5 without any); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -37,10 +37,14 @@ def fold(key: Column, parts: int) -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int) -> DataFrame:
-    """(y, text) of at most `most` labelled rows outside the held-out fold, by a hash order: the same at every size."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & (fold(F.col("doc_id"), parts) != held_out))
+    """(doc_id, y, text) of at most `most` labelled documents outside the held-out fold, by a hash order: the same at
+    every size.  Labels count once, and only those that have a document; of several texts of an id one is taken, by a
+    hash order too, so the bound holds for rows."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & (fold(F.col("doc_id"), parts) != held_out)).distinct()
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(SALT)), "doc_id", "y").limit(most)  # bounded, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def features(t: tx.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

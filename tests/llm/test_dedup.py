@@ -313,3 +313,16 @@ def test_runs_of_a_key_are_summed():
     keys, back, blocks, runs, many = spans._tallied(np.array([k << 3 | often << 1 | several for k, often, several in flags], np.uint64))
     assert keys.tolist() == [5, 7] and back.tolist() == [0, 0, 1] and blocks.tolist() == [2, 1] and many.tolist() == [True, False]
     assert runs.tolist() == [1 + 512, 8192] and 4 * 8192 >= spans.HOT_RUNS
+
+
+def test_links_of_all_texts_of_an_id(spark):
+    """Two texts under id 5 and a near copy of each: both links count, and id 5 stays."""
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(5, a), (5, b), (7, a + " end"), (9, b + " end"), (11, "other words " * 10), (None, a), (3, None)]
+    for order in (rows, rows[::-1]):
+        got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.classes(documents(spark, order)).collect()), key=str)
+        assert got == sorted([(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True), (None, 5, True), (3, 3, True)], key=str)
+        assert sorted(str(r["doc_id"]) for r in near_dedup.one_of_each(documents(spark, order)).collect()) == sorted(["5", "5", "11", "None", "3"])
+    # an id whose one text is a copy of a smaller id stays for the sake of its other text
+    kept = near_dedup.one_of_each(documents(spark, [(3, a), (5, a), (5, b), (9, b + " end")]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 5]
