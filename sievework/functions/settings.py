@@ -1,112 +1,21 @@
-"""Settings, run names and files' hashes: small things of the driver."""
+"""Time stamps of runs, and digests of the driver's files."""
 
 from __future__ import annotations
 
 import hashlib
-import json
-import unicodedata
-from collections.abc import Callable, Iterable, Mapping
-from datetime import datetime, timezone
-from pathlib import Path
-from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-REQUIRED = "REQUIRED"
 ZONE = "Asia/Seoul"
 
 
-def merged(base: Mapping, over: Mapping) -> dict:
-    """Both; where both have a mapping it is merged, else the second one's value stands."""
-    both = {k: merged(base[k], v) if isinstance(v, Mapping) and isinstance(base.get(k), Mapping) else v for k, v in over.items()}
-    return {**base, **both}
-
-
-def load(name: str, read: Callable[[str], Mapping], overrides: Iterable[str] = ()) -> dict:
-    """Settings with those of the files that they inherit from, and `a.b=value` overrides, whose values are JSON where
-    they can be read as such.  Adds the files' names and a hash of the settings."""
-    chain, own = [], dict(read(name))
-    chain.append(name)
-    while (parent := own.pop("inherits", None)) is not None:
-        if parent in chain:
-            raise ValueError(f"settings inherit from themselves: {[*chain, parent]}")
-        chain.append(parent)
-        base = dict(read(parent))
-        own = merged({k: v for k, v in base.items() if k != "inherits"}, own) | ({"inherits": base["inherits"]} if "inherits" in base else {})
-    for item in overrides:
-        key, eq, value = item.partition("=")
-        if not key or not eq:
-            raise ValueError(f"an override is a.b=value, not {item!r}")
-        try:
-            put: object = json.loads(value)
-        except json.JSONDecodeError:
-            put = value
-        for part in reversed(key.split(".")):
-            put = {part: put}
-        own = merged(own, put)
-    return own | {"_chain": chain[::-1], "_sha256": digest(own)}
-
-
-def digest(value: object) -> str:
-    """SHA-256 of a value as JSON with sorted names."""
-    return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
-
-
 def file_digest(path: str) -> str:
     """SHA-256 of a file of the driver."""
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def still_required(value: object, at: str = "") -> list[str]:
-    """Dotted names of what is still marked as required; names that begin with an underscore aren't looked at."""
-    if isinstance(value, Mapping):
-        return [x for k, v in value.items() if not str(k).startswith("_") for x in still_required(v, f"{at}.{k}".lstrip("."))]
-    if isinstance(value, list):
-        return [x for i, v in enumerate(value) for x in still_required(v, f"{at}[{i}]")]
-    return [at] if value == REQUIRED else []
-
-
-def short_labels(runs: list[str], mark: str = "__") -> dict[str, str]:
-    """The parts in which run names differ, or the whole names where those don't tell them apart."""
-    parts = [r.split(mark) for r in runs]
-    if len({len(p) for p in parts}) == 1:
-        differ = [i for i in range(len(parts[0])) if len({p[i] for p in parts}) > 1]
-        labels = [mark.join(p[i] for i in differ) for p in parts]
-        if differ and len(set(labels)) == len(runs):
-            return dict(zip(runs, labels, strict=True))
-    return {r: r for r in runs}
-
-
-def run_name(experiment: str, seed: int, now: datetime | None = None) -> str:
-    at = (now or datetime.now(timezone.utc)).astimezone(ZoneInfo(ZONE))
-    return f"{experiment}_seed{seed}_{at:%Y%m%d_%H%M%S}"
-
-
 def stamp(at: Column, zone: str = ZONE) -> Column:
     """yyyymmdd_HHMMSS in a zone, of a timestamp without zone that is in UTC."""
     return F.date_format(F.from_utc_timestamp(at, zone), "yyyyMMdd_HHmmss")
-
-
-def approved(files: Iterable[str], approvals: Mapping[str, str]) -> list[str]:
-    """What is not approved: files whose content has no approval, or another one than it was given for."""
-    return [f for f in files if approvals.get(f) != file_digest(f)]
-
-
-def named(folder: str, name: str) -> Path:
-    """The file of a folder whose name is this one after NFC, as some systems store names decomposed."""
-    want = unicodedata.normalize("NFC", name)
-    found = [p for p in Path(folder).iterdir() if unicodedata.normalize("NFC", p.name) == want]
-    if len(found) != 1:
-        raise FileNotFoundError(f"{len(found)} files named {name!r} in {folder}")
-    return found[0]
-
-
-def write_json(path: str, value: object) -> None:
-    """A sidecar of the driver: indented, with its own letters, and a newline at the end."""
-    Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
-
-
-def read_json(path: str) -> object:
-    return json.loads(Path(path).read_text(encoding="utf-8"))

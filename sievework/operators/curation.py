@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.textkeys import blank
+from sievework.operators.ranks import free
 
 
 def missing_reason(fields: dict[str, Column]) -> Column:
@@ -55,11 +56,12 @@ def pool_stats(df: DataFrame, key: list[str], reason: str = "reason") -> DataFra
 
 def duplicate_reason(df: DataFrame, key: list[str], id_: str, reason: str = "reason") -> DataFrame:
     """Rows not yet excluded whose key an eligible smaller id has get `duplicate_record_of:<id>`.  Null keys are equal."""
-    least = df.where(F.col(reason) == "").groupBy(*key).agg(F.min(id_).alias("_least"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)])
-    out = df.join(least.select("_least", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]), same, "left")
-    later = (F.col(reason) == "") & (F.col(id_) > F.col("_least"))
-    return out.withColumn(reason, F.when(later, F.concat(F.lit("duplicate_record_of:"), F.col("_least").cast("string"))).otherwise(F.col(reason))).select(*df.columns)
+    first, *ks = free(df, "_least", *[f"_k{i}" for i in range(len(key))])
+    least = df.where(F.col(reason) == "").groupBy(*key).agg(F.min(id_).alias(first))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(key, ks, strict=True)])
+    out = df.join(least.select(first, *[F.col(c).alias(k) for c, k in zip(key, ks, strict=True)]), same, "left")
+    later = (F.col(reason) == "") & (F.col(id_) > F.col(first))
+    return out.withColumn(reason, F.when(later, F.concat(F.lit("duplicate_record_of:"), F.col(first).cast("string"))).otherwise(F.col(reason))).select(*df.columns)
 
 
 def label_conflicts(df: DataFrame, key: list[str], label: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.textkeys import half_up, hash_rank
-from sievework.operators.ranks import hash_ranked, order_ranked
+from sievework.operators.ranks import free, hash_ranked, order_ranked
 from sievework.sources.work import stored
 
 
@@ -41,10 +41,12 @@ def allocate(strata: DataFrame, total: int, stratum: str = "stratum", available:
 
 def interleave(df: DataFrame, stratum: str, diversity: Column | str, id_: str, seed: object) -> DataFrame:
     """Place of each row of a stratum: hash order within its diversity key, the keys in turn.  No stratum or key is
-    sorted in one task."""
+    sorted in one task.  Adds turn and place, in the stead of columns of these names."""
+    rows = df.drop("turn", "place")
+    (d,) = free(rows, "_d")
     key = F.col(diversity) if isinstance(diversity, str) else diversity
-    turns = hash_ranked(df.withColumn("_d", key), [stratum, "_d"], hash_rank(seed, F.col(id_)), id_).withColumnRenamed("_r", "turn").drop("_n")
-    return order_ranked(turns, [stratum], ["turn", "_d", id_]).withColumnRenamed("_r", "place").drop("_n", "_d")
+    turns = hash_ranked(rows.withColumn(d, key), [stratum, d], hash_rank(seed, F.col(id_)), id_).withColumnRenamed("_r", "turn").drop("_n")
+    return order_ranked(turns, [stratum], ["turn", d, id_]).withColumnRenamed("_r", "place").drop("_n", d)
 
 
 def split_strata(df: DataFrame, stratum: str, group: str, seed: object, cuts: list[tuple[str, float]], rest: str, forced: DataFrame | None = None) -> DataFrame:
@@ -56,8 +58,8 @@ def split_strata(df: DataFrame, stratum: str, group: str, seed: object, cuts: li
     else:
         g = g.withColumn("_forced", F.lit(False))
     # forced groups come last and are never cut, so the others are ranked by themselves
-    free = hash_ranked(g.where("not _forced"), [stratum], hash_rank(seed, F.col(stratum), F.col(group)), group).drop("_n")
-    g = free.unionByName(g.where("_forced").withColumn("_r", F.lit(None).cast("long")))
+    unforced = hash_ranked(g.where("not _forced"), [stratum], hash_rank(seed, F.col(stratum), F.col(group)), group).drop("_n")
+    g = unforced.unionByName(g.where("_forced").withColumn("_r", F.lit(None).cast("long")))
     sizes = df.select(group, stratum).distinct().groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     g = g.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
     name, low = F.lit(rest), F.lit(0).cast("long")

@@ -193,7 +193,7 @@ def dev_holdout(read) -> DataFrame:
 
 
 _RANKED = f"""SELECT o_custkey, o_orderpriority, count(*) OVER (PARTITION BY o_orderpriority) AS n,
- row_number() OVER (PARTITION BY o_orderpriority ORDER BY {H.format("o_orderpriority, o_custkey")}, o_custkey) AS r FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 10 = 0)"""
+ row_number() OVER (PARTITION BY o_orderpriority ORDER BY {H.format("o_orderpriority, o_custkey")}, o_custkey) AS r FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)"""
 
 
 def _orders(read) -> DataFrame:
@@ -387,7 +387,7 @@ def verifiable_reward(read) -> DataFrame:
     return r.select("event_id", case.alias("reward_case")).withColumn("main", rewards.verifiable_reward(F.col("reward_case")))
 
 
-_SCHED = f"""WITH g AS (SELECT user_id, event_id, {H.format("user_id, event_id")} AS h FROM events WHERE event_type = 'click' AND event_id % 5 = 0),
+_SCHED = f"""WITH g AS (SELECT user_id, event_id, {H.format("user_id, event_id")} AS h FROM events WHERE event_type = 'click'),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h, event_id) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS k FROM g),
 j AS (SELECT x.user_id, x.event_id AS x, y.event_id AS y, (2 * (y.p - x.p) < x.k) OR (2 * (y.p - x.p) = x.k AND x.p % 2 = 0) AS f FROM r x JOIN r y ON x.user_id = y.user_id AND x.p < y.p),
 s AS (SELECT user_id, CASE WHEN f THEN x ELSE y END AS a, CASE WHEN f THEN y ELSE x END AS b FROM j)"""
@@ -695,7 +695,7 @@ def labels_on_rows(read) -> DataFrame:
     return exports.attach(d.select("doc_id", "text"), d.select("doc_id", F.when(F.col("n_chars") > 1000, "long").otherwise("short").alias("label")), ["doc_id"], "label")
 
 
-@query("SELECT a.text, a.lang, min(b.source) AS label FROM documents a JOIN documents b ON a.text = b.text AND a.lang = b.lang WHERE a.doc_id % 2 = 0 GROUP BY a.doc_id, a.text, a.lang")
+@query("SELECT a.text, a.lang, min(b.source) AS label FROM documents a JOIN documents b ON a.text = b.text AND a.lang = b.lang GROUP BY a.doc_id, a.text, a.lang")
 def labels_on_copies(read) -> DataFrame:
     d = read("documents")
     # all documents; the SQL above still has half of them, so it doesn't agree (see README)

@@ -29,27 +29,32 @@ def replace_steps(stream: DataFrame, path: str, checkpoint: str, step: str = "st
     attempt add up, a batch run again replaces itself, and older attempts of a step go once a newer one is written.
 
     attempt: a column, or the number of this run; without it each call is a newer attempt, so a call that was cut
-    short is resumed with the number that it had.  Rows of an attempt older than one already seen are left out."""
+    short is resumed with the number that it had.  Rows of an attempt older than one already seen are left out.  Rows
+    without a step (null or empty) are one step; a null attempt is older than all others."""
     number = time.time_ns() if attempt is None else attempt
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         which = F.col(number) if isinstance(number, str) else F.lit(number)
-        rows = batch.withColumns({"_step": F.col(step), "_attempt": which.cast("long")}).persist()
-        newest = {str(r["_step"]): r["a"] for r in rows.groupBy("_step").agg(F.max("_attempt").alias("a")).collect()}  # a row a step of the batch
+        # a folder cannot tell an empty step from a null one, so both are one step; _step names it without a null
+        folder = F.nullif(F.col(step).cast("string"), F.lit(""))
+        named = {"_step": F.coalesce(F.concat(F.lit("="), folder), F.lit("")), "_attempt": F.coalesce(which.cast("long"), F.lit(-1))}
+        rows = batch.withColumns(named).persist()
+        newest = {r["_step"]: r["a"] for r in rows.groupBy("_step").agg(F.max("_attempt").alias("a")).collect()}  # a row a step of the batch
         jvm = spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(path)
         fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        folders = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils  # spells nulls and escapes as the writer does
         old = []
         for s, a in newest.items():
-            folder = jvm.org.apache.hadoop.fs.Path(root, f"{step}={s}")
-            for f in fs.listStatus(folder) if fs.exists(folder) else []:
+            at = jvm.org.apache.hadoop.fs.Path(root, folders.getPartitionPathString(step, s[1:] if s else None))
+            for f in fs.listStatus(at) if fs.exists(at) else []:
                 seen = int(f.getPath().getName().split("=")[1])
                 newest[s] = max(newest[s], seen)
                 if seen < a:
                     old.append(f.getPath())
         best = F.create_map(*[x for s, a in newest.items() for x in (F.lit(s), F.lit(a))]) if newest else F.create_map().cast("map<string,bigint>")
-        kept = rows.where(F.col("_attempt") == best[F.col("_step").cast("string")]).withColumns({"attempt": F.col("_attempt"), "batch": F.lit(batch_id)}).drop("_step", "_attempt")
+        kept = rows.where(F.col("_attempt") == best[F.col("_step")]).withColumns({"attempt": F.col("_attempt"), "batch": F.lit(batch_id)}).drop("_step", "_attempt")
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(step, "attempt", "batch").parquet(path)
         for p in old:
             fs.delete(p, True)

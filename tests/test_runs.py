@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievework.functions.textkeys import hash_rank
-from sievework.operators import checks, exports, runs, splits
+from sievework.operators import checks, curation, exports, runs, splits
 from sievework.operators.ranks import hash_ranked
 
 
@@ -86,3 +86,15 @@ def test_half_checks(spark):
     a, b = whole.where("id = 1"), whole.where("id > 1")
     assert checks.half_checks(whole, a, b, "id", "g", "dh").where("not passed").isEmpty()
     assert checks.half_checks(whole, whole, b, "id", "g", "dh").where("passed").isEmpty()
+
+
+def test_columns_may_have_inner_names(spark):
+    df = spark.range(50).select("id", (F.col("id") % 3).alias("_h"), F.lit("b").alias("_b"), F.lit(1).alias("_k0"), F.lit(2).alias("_C"), F.lit("s").alias("s"), F.lit(0).alias("_r"))
+    got = hash_ranked(df, ["s"], hash_rank(1, F.col("id")), "id")
+    assert got.columns == ["id", "_h", "_b", "_k0", "_C", "s", "_r", "_n"]
+    assert sorted((r["id"], r["_h"], r["_b"]) for r in got.collect()) == [(i, i % 3, "b") for i in range(50)]
+    assert sorted(r["_r"] for r in got.collect()) == list(range(1, 51))
+    mixed = splits.interleave(df.withColumn("place", F.lit("x")).withColumn("_o1", F.lit(1)).withColumn("_d", F.lit(1)), "s", "_h", "id", 3)
+    assert sorted(r["place"] for r in mixed.collect()) == list(range(1, 51)) and {"_o1", "_d", "turn"} <= set(mixed.columns)
+    rows = spark.createDataFrame([(1, "k", "", 5), (2, "k", "", 6), (3, None, "", 7)], "i int, key string, reason string, _least int")
+    assert sorted((r["i"], r["reason"], r["_least"]) for r in curation.duplicate_reason(rows, ["key"], "i").collect()) == [(1, "", 5), (2, "duplicate_record_of:1", 6), (3, "", 7)]

@@ -128,3 +128,19 @@ def test_stream_adds_up_batches_of_an_attempt(spark, tmp_path):
     for i, (t, v) in enumerate([(2, 10), (1, 3), (2, 11)]):
         (src / f"x{i}.json").write_text(f'{{"step": 1, "try": {t}, "v": {v}}}\n')
     assert run(attempt="try") == [(1, 10), (1, 11), (2, 0), (3, 1), (4, 2)]
+
+
+def test_stream_keeps_rows_without_a_step(spark, tmp_path):
+    schema = "step string, try long, v long"
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+
+    def run():
+        stream = spark.readStream.schema(schema).json(str(src))
+        rollouts.replace_steps(stream, str(out), str(tmp_path / "cp"), "step", attempt="try").awaitTermination()
+        return sorted(((r["step"], r["v"]) for r in rollouts.newest_steps(spark, str(out)).collect()), key=str)
+
+    (src / "0.json").write_text('{"v": 1, "try": 1}\n{"step": "", "try": 1, "v": 2}\n{"step": "a/b=c", "try": 1, "v": 3}\n{"step": "s", "v": 4}\n')
+    assert run() == sorted([(None, 1), (None, 2), ("a/b=c", 3), ("s", 4)], key=str)
+    (src / "1.json").write_text('{"v": 5, "try": 2}\n{"step": "a/b=c", "try": 2, "v": 6}\n{"step": "s", "try": 0, "v": 7}\n')
+    assert run() == sorted([(None, 5), ("a/b=c", 6), ("s", 7)], key=str)

@@ -1,7 +1,6 @@
 """Corpora, eligibility, answers and settings, on small cases written out."""
 
 import json
-from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,24 +213,9 @@ def test_options_and_classes(spark):
     assert [tuple(r) for r in got] == [("A: one\nB: two", "other"), ("", "unjudgeable")]
 
 
-def test_settings(tmp_path, spark):
-    files_ = {"base": {"a": {"x": 1, "y": [2]}, "b": "REQUIRED"}, "mid": {"inherits": "base", "a": {"y": [3]}}, "top": {"inherits": "mid", "c": "c"}}
-    got = settings.load("top", lambda n: files_[n], ["a.z=true", "c=text"])
-    assert {k: v for k, v in got.items() if k[0] != "_"} == {"a": {"x": 1, "y": [3], "z": True}, "b": "REQUIRED", "c": "text"} and got["_chain"] == ["base", "mid", "top"]
-    assert settings.still_required(got) == ["b"] and settings.still_required({"l": [{"m": "REQUIRED"}]}) == ["l[0].m"]
-    with pytest.raises(ValueError, match="a.b=value"):
-        settings.load("base", lambda n: files_[n], ["nope"])
-    with pytest.raises(ValueError, match="themselves"):
-        settings.load("p", lambda n: {"inherits": "p"})
-    assert settings.short_labels(["v1__m__s", "v2__m__s"]) == {"v1__m__s": "v1", "v2__m__s": "v2"} and settings.short_labels(["a", "b__c"]) == {"a": "a", "b__c": "b__c"}
-    noon = datetime(2026, 1, 1, 15, 30, tzinfo=timezone.utc)
-    assert settings.run_name("e", 7, noon) == "e_seed7_20260102_003000"
+def test_stamp(spark):
     d = spark.sql("SELECT timestamp'2026-01-01 15:30:00' AS t").select(settings.stamp(F.col("t")).alias("s"))
     assert d.first()["s"] == "20260102_003000"
-    settings.write_json(str(tmp_path / "é.json"), {"b": "é", "a": 1})
-    at = settings.named(str(tmp_path), "é.json")
-    assert settings.read_json(str(at)) == {"b": "é", "a": 1} and at.read_text().endswith("}\n")
-    assert settings.approved([str(at)], {str(at): settings.file_digest(str(at))}) == [] and settings.approved([str(at)], {}) == [str(at)]
 
 
 def test_key_checks(spark):
