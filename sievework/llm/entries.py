@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import (
+    conversation_repair,
     decontamination,
     license_scan,
     near_dedup,
@@ -36,6 +37,7 @@ def queries() -> dict:
         "op8_license_scan": license_scan.query,
         "op9_suffix_dedup": suffix_dedup.query,
         "op10_quality_model": quality_model.query,
+        "op12_conversation_repair": conversation_repair.query,
         "pipeline": _pipeline,
     }
 
@@ -47,4 +49,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_near_dedup": near_dedup.ORACLE,
         "op7_substring_dedup": substring_dedup.ORACLE,
         "op9_suffix_dedup": suffix_dedup.ORACLE,
+        "op12_conversation_repair": conversation_repair.ORACLE,
     }
