@@ -16,6 +16,7 @@ from sievework.llm import (
     substring_dedup,
     suffix_dedup,
     toxicity,
+    whitening,
 )
 
 
@@ -38,6 +39,7 @@ def queries() -> dict:
         "op9_suffix_dedup": suffix_dedup.query,
         "op10_quality_model": quality_model.query,
         "op12_conversation_repair": conversation_repair.query,
+        "op13_embedding_whitening": whitening.query,
         "pipeline": _pipeline,
     }
 
