@@ -10,6 +10,7 @@ from sievework.llm import (
     license_scan,
     near_dedup,
     packing,
+    private_terms,
     quality_model,
     quality_rules,
     sharding,
@@ -38,6 +39,7 @@ def queries() -> dict:
         "op8_license_scan": license_scan.query,
         "op9_suffix_dedup": suffix_dedup.query,
         "op10_quality_model": quality_model.query,
+        "op11_private_terms": private_terms.query,
         "op12_conversation_repair": conversation_repair.query,
         "op13_embedding_whitening": whitening.query,
         "pipeline": _pipeline,
