@@ -43,6 +43,8 @@ BLOCK_BYTES = 1 << 20
 BUCKET_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
 KEY_BITS = 45  # three more bits say how a block has the key: whether in several documents, and how often about
 RUNS = (1, 32, 512, 8192)
+#: Windows in a segment at most.
+MOST_RUN = 4096
 #: Segments of a key, about, that a shard has room for.
 HOT_RUNS = SHARD_BYTES // 64
 #: Beyond so many blocks their keys are counted by groups of GROUP_BLOCKS first.
@@ -156,7 +158,8 @@ class Units:
             self.first, self.hash = t.offsets, t.data.astype(tx.U64)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(key, document, first window, windows) of each run of neighbouring windows of one document and key."""
+        """(key, document, first window, windows) of each run of neighbouring windows of one document and key; long runs,
+        which periodic texts have, come in pieces of MOST_RUN windows."""
         w, k = self.kind.window, self.kind.gram
         if len(self.hash) < w:
             return np.zeros(0, tx.U64), *(np.zeros(0, np.int64),) * 3
@@ -169,8 +172,11 @@ class Units:
         at = np.flatnonzero(begin)
         past = np.flatnonzero(~inside)
         stop = np.minimum(np.append(at[1:], len(low)), np.append(past, len(low))[np.searchsorted(past, at)])
+        pieces = (stop - at - 1) // MOST_RUN + 1
+        begin = tx.ranges(np.zeros(len(at), np.int64), pieces) * MOST_RUN + np.repeat(at, pieces)
+        size = np.minimum(np.repeat(stop, pieces) - begin, MOST_RUN)
         # smallest hashes lie near 0; mixed, the keys are even again
-        return tx.mix(low[at]) >> tx.U64(64 - KEY_BITS), doc[at], at, stop - at
+        return tx.mix(low[begin]) >> tx.U64(64 - KEY_BITS), doc[begin], begin, size
 
     def content(self, first: int, count: int) -> bytes:
         """The bytes of `count` units; words are joined by one space."""

@@ -326,3 +326,20 @@ def test_links_of_all_texts_of_an_id(spark):
     # an id whose one text is a copy of a smaller id stays for the sake of its other text
     kept = near_dedup.one_of_each(documents(spark, [(3, a), (5, a), (5, b), (9, b + " end")]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 5]
+
+
+def test_long_runs_take_no_longer_than_other_texts():
+    import time
+
+    for text in (b"=" * (1 << 20), b"ab" * (1 << 19), b" " * 3000 + b"x" + b" " * (1 << 20)):
+        began = time.time()
+        out = suffix_dedup.match([text, text[: 1 << 19]], np.array([1, 2]), np.zeros(2, int))
+        assert out == [[], [(0, 1 << 19)]] and time.time() - began < 20  # a loop turn a byte took minutes
+
+
+def test_periodic_texts(spark):
+    """Runs of windows with one key are cut in pieces; every window stays in one of them."""
+    rows = [(1, "=" * 20_000), (2, "-" + "=" * 9_000 + "-" * 60), (3, "ab" * 5_000), (4, "b" + "ab" * 2_100 + "c"), (5, "=" * 49), (6, "x" + "=" * 50), (7, "abc " * 3_000), (8, "c " + "abc " * 4_000)]
+    assert sorted(map(tuple, suffix_dedup.removals(documents(spark, rows)).collect())) == plain_suffix(rows)
+    words = [(1, "a " * 9_000), (2, "b " + "a " * 6_000), (3, "x y " * 3_000), (4, "z " + "y x " * 3_500)]
+    assert sorted(map(tuple, substring_dedup.removals(documents(spark, words)).collect())) == plain_words(words)
