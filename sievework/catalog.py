@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sievework.plans import more  # noqa: F401  (adds its queries)
 from sievework.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -80,6 +80,11 @@ def hash_int(c: Column) -> Column:
     return F.conv(F.substring(F.sha2(c, 256), 1, 8), 16, 10).cast("long")
 
 
+def hash_long(c: Column) -> Column:
+    """First 60 bits of the SHA-256 as a number."""
+    return F.conv(F.substring(F.sha2(c, 256), 1, 15), 16, 10).cast("long")
+
+
 def half_up(c: Column) -> Column:
     return F.floor(c + F.lit(0.5)).cast("long")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.textkeys import hash_rank
-from sievework.operators.ranks import hash_ranked
+from sievework.functions.textkeys import hash_long, hash_rank
+from sievework.operators.ranks import hash_ranked, order_ranked
 from sievework.sources.work import stored
 
 #: Rows of a bucket that a window runs over, besides the few that follow.
@@ -40,6 +42,35 @@ def donors(df: DataFrame, bucket: list[str], id_: str, label: str, group: str, s
     return found.unionByName(late)
 
 
+def uniform_donors(df: DataFrame, bucket: list[str], id_: str, label: str, group: str, seed: object) -> DataFrame:
+    """(bucket, anchor, donor): for each anchor a uniform draw from the rows of its bucket that have another label and
+    another group.  A null label or group is a value like others; an anchor without such rows has no donor.
+
+    A bucket's rows are numbered in the order of label, group and hash, by ranges.  What an anchor may not take are a
+    few ranges of numbers then: its label's, and its group's in each other label.  Their sizes tell how many rows are
+    allowed, a hash picks the r-th of them, and stepping over the ranges that come before gives its number, so no
+    candidates are listed."""
+    keys = [f"b{i}" for i in range(len(bucket))]
+    d = df.select(*[F.col(c).alias(k) for c, k in zip(bucket, keys, strict=True)], F.col(id_).alias("i"), F.col(label).alias("l"), F.col(group).alias("g"))
+    rows = stored(order_ranked(d.withColumn("h", hash_rank(seed, F.col("i"))), keys, ["l", "g", "h", "i"]).drop("h"), "donors")
+    span = F.struct(F.min("_r").alias("s"), F.count(F.lit(1)).alias("n"))
+    labels = rows.groupBy(*keys, "l").agg(span.alias("own"))
+    cells = rows.groupBy(*keys, "g", "l").agg(span.alias("x"))
+    groups = cells.groupBy(*keys, "g").agg(F.collect_list(F.struct("x.s", "x.n", "l")).alias("others"))  # a range a label
+    side = lambda t, names: t.select(*[F.col(c).alias(f"_{c}") for c in names], *[c for c in t.columns if c not in names])
+    same = lambda names: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
+    a = rows.join(side(labels, [*keys, "l"]), same([*keys, "l"])).select(*keys, "i", "l", "g", "_n", "own")
+    a = a.join(side(groups, [*keys, "g"]), same([*keys, "g"])).select(*keys, "i", "l", "_n", "own", "others")
+    apart = F.transform(F.filter("others", lambda x: ~x["l"].eqNullSafe(F.col("l"))), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n")))
+    a = a.withColumn("barred", F.array_sort(F.concat(F.array("own"), apart)))
+    a = a.withColumn("allowed", F.col("_n") - F.aggregate("barred", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])).where("allowed > 0")
+    drawn = hash_long(F.concat_ws("|", F.lit(str(seed)), F.lit("donor"), F.col("i"))) % F.greatest("allowed", F.lit(1)) + 1
+    a = a.select(*keys, "i", F.aggregate("barred", drawn, lambda acc, x: F.when(acc >= x["s"], acc + x["n"]).otherwise(acc)).alias("at"))
+    donors_ = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], "_r", F.col("i").alias("donor"))
+    found = a.join(donors_, same(keys) & (F.col("at") == F.col("_r")) if keys else F.col("at") == F.col("_r"))
+    return found.select(*[F.col(k).alias(c) for c, k in zip(bucket, keys, strict=True)], F.col("i").alias("anchor"), "donor")
+
+
 def candidates(anchors: DataFrame, types: DataFrame, own: str, unit: str, eligible: str) -> DataFrame:
     """Anchors with the types other than their own; unit types only where eligibility is true (a null isn't).  Types
     are a dimension of at most MOST_TYPES rows, which is checked and then broadcast."""

@@ -17,15 +17,15 @@ def vote(df: DataFrame, group: str, stratum: str) -> DataFrame:
     return n.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("k"), F.col(stratum))).alias("v")).select(group, F.col(f"v.{stratum}").alias(stratum))
 
 
-def allocate(strata: DataFrame, total: int, stratum: str = "stratum", available: str = "available") -> DataFrame:
-    """Even shares, the remainder to the largest strata; capped where a stratum is too small, what is over goes round
+def allocate(strata: DataFrame, total: int, stratum: str = "stratum", available: str = "available", rows: str | None = None) -> DataFrame:
+    """Even shares, the remainder to the largest strata (by the column rows, or by what is available); capped where a stratum is too small, what is over goes round
     robin to those with room.  The rounds are not played: strata in order of their room tell how many whole rounds all
     have room for or are full, and the last round goes by size.  Windows are over strata, however many rows those have."""
     all_ = Window.partitionBy()
     by_size = Window.partitionBy(F.lit(0)).orderBy(F.desc(available), stratum)
     by_room = Window.partitionBy(F.lit(0)).orderBy("room", stratum)
     k = F.count(F.lit(1)).over(all_)
-    s = strata.withColumn("rank", F.row_number().over(by_size))
+    s = strata.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(rows or available), stratum)))
     s = s.withColumn("want", (F.floor(F.lit(total) / k) + (F.col("rank") <= F.lit(total) % k).cast("int")).cast("long"))
     s = s.withColumn("got", F.least("want", available)).withColumn("room", F.col(available) - F.col("got")).withColumn("deficit", F.sum(F.col("want") - F.col("got")).over(all_))
     below = F.coalesce(F.sum("room").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -36,7 +36,7 @@ def allocate(strata: DataFrame, total: int, stratum: str = "stratum", available:
     s = s.withColumn("last", F.col("deficit") - F.sum("given").over(all_)).withColumn("open", F.col("room") > F.col("given"))
     turn = F.sum(F.col("open").cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
     extra = F.col("given") + (F.col("open") & (turn <= F.col("last"))).cast("int")
-    return s.select(stratum, available, "want", (F.col("got") + extra).cast("long").alias("allocated"))
+    return s.select(stratum, *([rows] if rows else []), available, "want", (F.col("got") + extra).cast("long").alias("allocated"))
 
 
 def interleave(df: DataFrame, stratum: str, diversity: Column | str, id_: str, seed: object) -> DataFrame:
@@ -109,6 +109,55 @@ def sample_once(df: DataFrame, quotas: list[tuple[str, int]], stratum: str, grou
     return taken
 
 
+def accepted(edges: DataFrame, quotas: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """(stratum, group) pairs of giving the strata, in their order, their quota of groups each: a stratum takes the first
+    groups of its own order that no earlier stratum took.  edges: stratum, group, order (a hash, distinct in a stratum);
+    quotas: stratum, quota; used: groups that nobody may take.
+
+    The strata don't wait for each other.  In a round each proposes to the first groups that are left to it, and a group
+    keeps its earliest proposer for good unless a still earlier one comes, so all later strata lose it at once.  Rounds
+    end when no proposal was turned down.  That gives the pairs of going from stratum to stratum, since the first
+    stratum is settled after one round, and each further one a round after all before it at the latest; the plan of a
+    round doesn't depend on the number of strata."""
+    left = edges.select("stratum", "group", "order")
+    if used is not None:
+        left = left.join(used.select(F.col(used.columns[0]).alias("_u")), F.col("group").eqNullSafe(F.col("_u")), "left_anti")
+    left = stored(left.groupBy("stratum", "group").agg(F.min("order").alias("order")), "edges")
+    limits = quotas.select(F.col("stratum").alias("_s"), F.col("quota").alias("_q"))
+    while True:
+        ranked = hash_ranked(left, ["stratum"], F.col("order"), "group")
+        asked = ranked.join(limits, F.col("stratum").eqNullSafe(F.col("_s"))).where("_r <= _q").select("stratum", "group")
+        asked = stored(asked, "proposals")
+        # a stratum without a name comes first
+        holder = asked.groupBy("group").agg(F.min(F.struct(F.col("stratum").isNotNull().alias("named"), "stratum")).alias("by"), F.count(F.lit(1)).alias("n"))
+        holder = stored(holder.select(F.col("group").alias("_g"), "by", "n"), "holders")
+        if holder.where("n > 1").isEmpty():
+            return asked
+        order = F.struct(F.col("stratum").isNotNull().alias("named"), F.col("stratum"))
+        left = stored(left.join(holder, F.col("group").eqNullSafe(F.col("_g")), "left").where(F.col("by").isNull() | (order <= F.col("by"))).select("stratum", "group", "order"), "edges")
+
+
+def sample_groups(df: DataFrame, total: int, stratum: str, group: str, id_: str, seed: object, used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, plan): about `total` rows with one of each group, shared out over strata: even shares, remainders to the
+    strata of most rows, what small ones lack to those that have more groups; a group goes to the first stratum that
+    reaches it, by the strata's order.  used: groups that were taken before.  plan: stratum, rows, available (groups),
+    want, allocated and taken."""
+    known = df if used is None else df.join(used.select(F.col(used.columns[0]).alias("_u")), F.col(group).eqNullSafe(F.col("_u")), "left_anti")
+    sizes = df.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("rows"))
+    have = known.groupBy(F.col(stratum).alias("_s")).agg(F.count_distinct(F.struct(group)).alias("_n"))
+    sizes = sizes.join(have, F.col("stratum").eqNullSafe(F.col("_s")), "left").select("stratum", "rows", F.coalesce("_n", F.lit(0)).alias("available"))
+    plan = stored(allocate(sizes, total, "stratum", "available", "rows"), "plan")
+    edges = known.select(F.col(stratum).alias("stratum"), F.col(group).alias("group"), hash_rank(seed, F.col(id_)).alias("order"))
+    pairs = accepted(edges, plan.select("stratum", F.col("allocated").alias("quota")))
+    inner = free(known, "_st", "_gr", "_h")
+    taken = known.join(pairs.toDF(*inner[:2]), F.col(stratum).eqNullSafe(F.col(inner[0])) & F.col(group).eqNullSafe(F.col(inner[1])))
+    taken = taken.withColumn(inner[2], hash_rank(seed, F.col(id_)))
+    first = taken.groupBy(*inner[:2]).agg(F.min(F.struct(inner[2], id_, F.struct(*known.columns).alias("r"))).alias("x"))
+    rows = first.select(*[F.col(f"x.r.{c}").alias(c) for c in known.columns])
+    got = pairs.groupBy(F.col("stratum").alias("_s")).agg(F.count(F.lit(1)).alias("_t"))
+    return rows, plan.join(got, F.col("stratum").eqNullSafe(F.col("_s")), "left").select(*plan.columns, F.coalesce("_t", F.lit(0)).alias("taken"))
+
+
 def sample_strata(df: DataFrame, total: int, stratum: str, group: str, id_: str, seed: object) -> tuple[DataFrame, DataFrame]:
     """(rows, plan): `total` rows with one of each group, shared out evenly over strata of bounded number.  What small
     strata lack goes to those with room, by the groups that each has; groups met twice still lack in the end, and the

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions.textkeys import hash_int, hash_rank
 from sievework.operators.metrics import ratio
-from sievework.operators.ranks import hash_ranked
+from sievework.operators.ranks import free, hash_ranked
 
 
 def multiplicities(groups: DataFrame, group: str, replicates: int, seed: object) -> DataFrame:
@@ -27,6 +33,97 @@ def replicate_ratios(counts: DataFrame, times: DataFrame, group: str, over: list
     return s.select(*over, "replicate", ratio(F.col("a"), F.col("b")).alias("value"))
 
 
+#: Groups whose multiplicities are drawn together, at the tree's leaves.
+LEAF = 1024
+
+
+def _node_rng(seed: object, lo: int, hi: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.sha256(f"{seed}|{lo}|{hi}".encode()).digest()[:16], "little")))
+
+
+def leaf_multiplicities(n: int, leaf: int, replicates: int, seed: object, size: int = LEAF) -> np.ndarray:
+    """How often each group of a leaf is drawn in each replicate: (groups, replicates).
+
+    n draws from n groups are split down a tree of ranges of places: of a range's draws, a binomial part falls into its
+    lower half.  Each range has random numbers of its own, so a leaf's counts need its own path only, wherever they
+    are computed, and all leaves together have n draws in each replicate."""
+    lo, hi = 0, n
+    drawn = np.full((1, replicates), n, np.int64)
+    first, last = leaf * size, min(n, (leaf + 1) * size)
+    while hi - lo > last - first:
+        # halves end where a leaf does
+        mid = lo + -(-(hi - lo) // size) // 2 * size
+        low = _node_rng(seed, lo, hi).binomial(drawn, (mid - lo) / (hi - lo))
+        lo, hi, drawn = (lo, mid, low) if first < mid else (mid, hi, drawn - low)
+    rng = _node_rng(seed, lo, -hi)
+    # within the leaf each place in turn takes its part of the draws that are left
+    out = np.zeros((hi - lo, replicates), np.int64)
+    left = drawn[0]
+    for i in range(hi - lo - 1):
+        out[i] = rng.binomial(left, 1 / (hi - lo - i))
+        left = left - out[i]
+    out[-1] = left
+    return out
+
+
+def replicate_sums(counts: DataFrame, group: str, over: list[str], columns: list[str], replicates: int, seed: object, leaf: int = LEAF) -> DataFrame:
+    """(over, replicate, columns): sums of additive whole numbers of groups in replicates of resampling the groups with
+    replacement; a null is no addend.  The same groups are drawn for all of `over`.
+
+    Rows meet by leaves of the groups' places in hash order; a task draws the multiplicities of its leaves and adds up
+    one vector for each of `over` and column, so what is shuffled doesn't grow with groups times replicates."""
+    g, place, all_ = free(counts, "_group", "_place", "_all")
+    places = hash_ranked(counts.select(F.col(group).alias(g)).distinct(), [], hash_rank(seed, F.col(g)), g).select(g, (F.col("_r") - 1).alias(place), F.col("_n").alias(all_))
+    keyed = counts.join(places, F.col(group).eqNullSafe(F.col(g)))
+    key = F.to_json(F.struct(*over), {"ignoreNullFields": "false"})
+    rows = keyed.select(F.floor(F.col(place) / leaf).alias("leaf"), (F.col(place) % leaf).cast("int").alias("place"), F.col(all_).alias("n"), key.alias("key"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"c{i}") for i, c in enumerate(columns)])
+    names = [f"c{i}" for i in range(len(columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        now, times = None, None
+        for batch in batches:
+            at, key, place, n = (np.asarray(batch.column(c)) if c != "key" else batch.column(c).to_pylist() for c in ("leaf", "key", "place", "n"))
+            key = np.array(key, object)
+            values = np.stack([np.asarray(batch.column(c)) for c in names])
+            for i, j in _runs(at):
+                if at[i] != now:
+                    now, times = at[i], leaf_multiplicities(int(n[i]), int(at[i]), replicates, seed, leaf)
+                for k in set(key[i:j].tolist()):
+                    own = np.flatnonzero(key[i:j] == k) + i
+                    made = values[:, own] @ times[place[own]]
+                    total[k] = total[k] + made if k in total else made
+        if total:
+            flat = [pa.array([list(v[c]) for v in total.values()], pa.list_(pa.int64())) for c in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *flat], names=["key", *names])
+
+    made = rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "key string, " + ", ".join(f"{c} array<bigint>" for c in names))
+    each = made.select("key", F.posexplode(F.arrays_zip(*names)).alias("replicate", "v")).groupBy("key", "replicate").agg(*[F.sum(f"v.{c}").alias(c) for c in names])
+    wide = T.StructType([counts.schema[c] for c in over])
+    out = each.withColumn("k", F.from_json("key", wide)) if over else each
+    return out.select(*[F.col(f"k.{c}").alias(c) for c in over], "replicate", *[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return [(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if i < j]
+
+
+def tree_ratios(counts: DataFrame, group: str, over: list[str], num: str, den: str, replicates: int = 1000, seed: object = 0) -> DataFrame:
+    """replicate_ratios by the tree of multiplicities."""
+    s = replicate_sums(counts, group, over, [num, den], replicates, seed)
+    return s.select(*over, "replicate", ratio(F.col(num), F.col(den)).alias("value"))
+
+
+def tree_paired_difference(counts: DataFrame, group: str, model: str, reference: str, num: str, den: str, replicates: int = 1000, seed: object = 0) -> DataFrame:
+    """paired_difference by the tree of multiplicities: in a replicate model and reference have the same groups."""
+    base = counts.where(F.col(model) == reference).select(F.col(group).alias("_g"), F.col(num).alias("_a"), F.col(den).alias("_b"))
+    both = counts.where(F.col(model) != reference).join(base, F.col(group) == F.col("_g"))
+    sums = replicate_sums(both, group, [model], [num, den, "_a", "_b"], replicates, seed)
+    values = sums.select(model, "replicate", (ratio(F.col(num), F.col(den)) - ratio(F.col("_a"), F.col("_b"))).alias("value"))
+    return point_differences(counts, group, model, reference, num, den).join(interval(values, [model]), model, "left")
+
+
 def interval(values: DataFrame, over: list[str], level: float = 0.95) -> DataFrame:
     """Interpolated percentile interval; replicates where the ratio is undefined are left out."""
     e = (1 - level) / 2

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from sievework.functions import textkeys as tk
 from sievework.operators.curation import first_reason, missing_reason
-from sievework.sources.files import BadInput, from_fields
+from sievework.sources.files import BadInput, from_fields, numbered_lines
 
 #: Labels that name no error, and those that two corpora know (fixed values).
 NO_ERROR = ["none of the above", "none", "no error"]
@@ -192,10 +192,7 @@ def pool_of(parts: Mapping[str, DataFrame], revision: str = "") -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, element: str) -> DataFrame:
-    """(file, row, record) of JSON Lines files, below path too.  Row numbers count a file's lines that aren't blank; a
-    file is one text, so that they stay in order.  A line that isn't JSON fails the scan."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
-    rows = text.select("file", F.posexplode(lines).alias("row", "line"))
+    """(file, row, record) of JSON Lines files, below path too, read in splits.  Row numbers count a file's lines that
+    aren't blank.  A line that isn't JSON fails the scan."""
     record = F.from_json("line", T.StructType.fromDDL(f"r {element}")["r"].dataType, {"mode": "FAILFAST"})
-    return rows.select("file", "row", record.alias("record"))
+    return numbered_lines(spark, path).select("file", "row", record.alias("record"))

@@ -291,3 +291,34 @@ def test_index_zip_and_aux(spark):
     rolls = spark.createDataFrame([("g", 0, "incorrect", True, "same text here"), ("g", 1, "incorrect", True, "same text here"), ("g", 2, "correct", True, "z")], "g string, k int, verdict string, accepted boolean, t string")
     out = rewards.with_aux(rolls, "g", "k", lambda d: rewards.bleu_diversity(d, "g", "k", "t").withColumnRenamed("diversity", "aux"))
     assert {r["k"]: r["aux"] for r in out.collect()} == {0: pytest.approx(0), 1: pytest.approx(0), 2: None} and set(rewards.REWARDS) == {"main", "distractor", "verifiable"}
+
+
+def test_lines_of_a_file_in_splits(spark, tmp_path):
+    """Rows are numbered alike in one split and in several, blank lines and carriage returns included."""
+    rows = [{"x": i, "t": "é" * (i % 37)} for i in range(900)]
+    text = "\n".join(("  \n" if i % 50 == 0 else "") + json.dumps(r, ensure_ascii=i % 2 == 0) + ("\r" if i % 3 == 0 else "") for i, r in enumerate(rows))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "a.jsonl").write_text(text)
+    (tmp_path / "d" / "b.jsonl").write_text('{"x": 5}\n')
+    (tmp_path / "d" / "c.jsonl").write_text("\n \n")
+    read = lambda: corpora.read_json_lines(spark, str(tmp_path), "struct<x:int,t:string>")
+    known = sorted((r["file"].rsplit("/", 1)[1], r["row"], r["record"]["x"], r["record"]["t"]) for r in read().collect())
+    assert known == [("a.jsonl", i, r["x"], r["t"]) for i, r in enumerate(rows)] + [("b.jsonl", 0, 5, None)]
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(text.encode()) // 3 + 1))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = files.numbered_lines(spark, str(tmp_path))
+        blocks = spark.read.option("recursiveFileLookup", True).text(str(tmp_path)).select("_metadata.file_block_start").distinct().count()
+        assert blocks >= 3
+        got = sorted((r["file"].rsplit("/", 1)[1], r["row"], r["record"]["x"], r["record"]["t"]) for r in read().collect())
+        assert got == known
+        placed = files.positions(lines, ["c.jsonl", "b.jsonl", "a.jsonl"])
+        assert sorted(r["position"] for r in placed.collect()) == list(range(901)) and placed.where("file like '%b.jsonl'").first()["position"] == 0
+        with pytest.raises(Exception, match="no place for"):
+            files.positions(lines, ["a.jsonl"]).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    with pytest.raises(Exception, match="not counted before"):  # dealt in other splits than those that were counted
+        lines.collect()
