@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.operators.order_stats import quantile_cont
+
 
 class NotAllowed(ValueError):
     """A table breaks a condition that it must fulfil before anything is made of it."""
@@ -73,7 +75,9 @@ def length_check(rows: DataFrame, anchor: str, lengths: dict[str, Column], most:
     bad = rows.where(over).select(F.col(anchor).alias("_long")).distinct()
     sizes = rows.select(by, F.inline(F.array(*[F.struct(F.lit(n).alias("tokenizer"), c.cast("long").alias("tokens")) for n, c in lengths.items()])))
     t = F.col("tokens")
-    stats = sizes.groupBy(by, "tokenizer").agg(F.count(F.lit(1)).alias("n"), F.max(t).alias("longest"), F.percentile(t, F.lit(0.99)).alias("p99"), F.count_if(t > most).alias("over"))
+    p99 = quantile_cont(sizes, [by, "tokenizer"], "tokens", {"p99": 0.99}).select(F.col(by).alias("_by"), F.col("tokenizer").alias("_tok"), "p99")
+    stats = sizes.groupBy(by, "tokenizer").agg(F.count(F.lit(1)).alias("n"), F.max(t).alias("longest"), F.count_if(t > most).alias("over"))
+    stats = stats.join(p99, F.col(by).eqNullSafe(F.col("_by")) & (F.col("tokenizer") == F.col("_tok")), "left").select(by, "tokenizer", "n", "longest", "p99", "over")
     return rows.join(bad, rows[anchor] == F.col("_long"), "left_anti"), stats
 
 

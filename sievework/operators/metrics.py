@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.textkeys import all_aligned
+from sievework.operators.order_stats import at_share, order_values, upper_median
 
 POSITIVE, NEGATIVE, INVALID = "aligned", "not_aligned", "invalid"
 
@@ -75,17 +76,10 @@ def last_pair_accuracy(df: DataFrame, anchor: str, target: str, correct: str, or
 
 
 def length_stats(df: DataFrame, c: str) -> DataFrame:
-    """count, min, upper median, p99 by index, max.  Values are counted first and ranked by running sums, so nothing
-    collects a column."""
-    from pyspark.sql import Window
-
-    v = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("to", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0))))
-    at = lambda place: F.min(F.when(F.col("to") > place, F.col(c)))
-    return v.agg(
-        F.max("all").alias("n"), F.min(c).alias("min"), at(F.floor(F.col("all") / 2)).alias("upper_median"), at(F.floor(F.lit(0.99) * (F.col("all") - 1))).alias("p99"), F.max(c).alias("max")
-    )
+    """count, min, upper median, p99 by index, max of a column of whole numbers."""
+    places = {"min": lambda n: F.lit(0), "upper_median": upper_median, "p99": at_share(0.99), "max": lambda n: n - 1}
+    kind = dict(df.dtypes)[c]
+    return order_values(df, [], c, places).select("n", *[F.col(p).cast(kind).alias(p) for p in places])
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

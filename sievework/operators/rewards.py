@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.textkeys import all_aligned, hash_rank
+from sievework.operators.diversity import bleu_diversity as bleu_diversity
 
 
 def known_verdict(verdict: Column) -> Column:
@@ -85,23 +86,3 @@ def with_aux(rollouts: DataFrame, group: str, item: str, aux: Callable[[DataFram
 
 def total(main: Column, aux: Column, trunc: Column, weight: float) -> Column:
     return main + F.lit(weight) * F.coalesce(aux, F.lit(0.0)) + trunc
-
-
-def bleu_diversity(rollouts: DataFrame, group: str, item: str, text: str) -> DataFrame:
-    """1 - the largest BLEU to another member, of groups of two and more; an empty text has 0.  Members of one group
-    meet in one task; groups are of bounded size (the rollouts of one prompt)."""
-    import pandas as pd
-
-    from sievework.functions.bleu import sentence_bleu
-
-    kind = dict(rollouts.dtypes)
-
-    def score(g: pd.DataFrame) -> pd.DataFrame:
-        t = g[text].fillna("").tolist()
-        if len(t) < 2:
-            return pd.DataFrame({group: [], item: [], "diversity": []})
-        best = [max(sentence_bleu(a, b) for j, b in enumerate(t) if j != i) for i, a in enumerate(t)]
-        value = [0.0 if not a.strip() else min(1.0, max(0.0, 1 - b)) for a, b in zip(t, best, strict=True)]
-        return pd.DataFrame({group: g[group], item: g[item], "diversity": value})
-
-    return rollouts.select(group, item, text).groupBy(group).applyInPandas(score, f"{group} {kind[group]}, {item} {kind[item]}, diversity double")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from sievework.functions import answers
 from sievework.functions import textkeys as tk
-from sievework.operators import checks, eligibility, llmio, metrics, pairs, rewards, splits, stats
+from sievework.operators import checks, eligibility, llmio, metrics, options, order_stats, pairs, rewards, splits, stats
 from sievework.plans.queries import SEED, H, query
 from sievework.plans.report import review_and_key
-from sievework.sources import corpora, files
+from sievework.sources import corpora, files, publish
 from sievework.sources.work import shared_dir
 
 # ---- scans and sinks, over tables written to the shared folder and read again
@@ -300,3 +300,85 @@ def same_rows(read) -> DataFrame:
     o = read("orders").select("o_orderkey", "o_totalprice")
     other = o.where("o_orderkey % 5 <> 0").withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0))
     return checks.same_rows(o, other, "o_orderkey", ["o_totalprice"])
+
+
+@query("""WITH d AS (SELECT doc_id AS i, doc_id % 30 AS g, doc_id % 4 AS own, coalesce(n_chars, 0) AS n, lang IS NOT NULL AND source IS NOT NULL AND doc_id % 17 <> 0 AS kept FROM documents),
+p AS (SELECT *, 'aligned' AS target, own AS t FROM d UNION ALL SELECT *, 'not_aligned', (i + 1) % 5 FROM d WHERE i % 10 <> 0),
+v AS (SELECT * FROM (VALUES ('type.own', 0), ('group.split', 0), ('group.half', 0)) x(name, k)
+ UNION ALL SELECT 'type.other', count_if(target = 'not_aligned' AND t = own) FROM p UNION ALL SELECT 'type.adopted', count_if(t = 4) FROM p UNION ALL SELECT 'type.stage', count_if(t >= 3) FROM p
+ UNION ALL SELECT 'type.unit', count_if(target = 'not_aligned' AND t = 2 AND i % 3 <> 0) FROM p UNION ALL SELECT 'text.own', count_if(NOT kept) FROM p
+ UNION ALL SELECT 'draw.first', count_if(target = 'not_aligned' AND i % 7 = 0) FROM p UNION ALL SELECT 'text.length', count_if(n > 2000) FROM p UNION ALL SELECT 'anchor.targets', count_if(i % 10 = 0) FROM d
+ UNION ALL SELECT 'group.region', count(DISTINCT g) FROM p WHERE g = 5 AND target = 'not_aligned' UNION ALL SELECT 'group.forced_train', count(DISTINCT g) FROM d WHERE g = 25 UNION ALL SELECT 'group.forced_a', count(DISTINCT g) FROM d WHERE g = 12)
+SELECT name, k = 0 AS passed, k || ' violations' AS detail FROM v""")
+def typed_expectations(read) -> DataFrame:
+    d, i, g = read("documents"), F.col("doc_id"), F.col("doc_id") % 30
+    group = F.col("group_id")
+    groups = d.select(g.alias("group_id")).distinct().select(
+        "group_id", F.when(group < 20, "train").otherwise("test").alias("split"), F.when(group < 10, "A").when(group < 20, "B").alias("half"),
+        (group % 2 == 0).alias("has_sft"), group.isin(3, 25).alias("forced_train"), group.isin(2, 12).alias("forced_a"),
+    )
+    cases = d.select(i.alias("sample_id"), F.col("lang").alias("question"), F.col("source").alias("solution"))
+    types = d.select((i % 4).alias("type_id")).distinct().select("type_id", F.when(F.col("type_id") == 3, "late").otherwise("early").alias("stage"), (F.col("type_id") == 2).alias("unit_related"))
+    side = F.when(g < 20, "train").otherwise("test")
+
+    def made(rows: DataFrame, target: str, kind, mark: str, region) -> DataFrame:
+        return rows.select(
+            F.concat(i.cast("string"), F.lit(mark)).alias("pair_id"), region.alias("region"), g.alias("question_group_id"), F.lit(target).alias("target"), i.alias("anchor_sample_id"), (i % 4).alias("anchor_error_id"),
+            kind.alias("target_error_id"), F.lit("early").alias("target_stage"), (i % 3 == 0).alias("unit_conversion_eligible"), F.when(i % 7 == 0, "other_dataset").otherwise("same_dataset").alias("negative_dataset_relation"),
+            F.lit("same_stage").alias("negative_kind"), F.when(i % 17 != 0, F.col("lang")).otherwise("another").alias("question"), F.col("source").alias("solution"), F.create_map(F.lit("x"), F.coalesce("n_chars", F.lit(0))).alias("n_tokens"),
+        )
+
+    right = made(d, "aligned", i % 4, "::pos", side)
+    wrong = made(d.where("doc_id % 10 <> 0"), "not_aligned", (i + 1) % 5, "::neg", F.when(g == 5, "eval").otherwise(side))
+    return checks.typed_expectations(groups, cases, right.unionByName(wrong), types, longest=2000)
+
+
+# ---- order statistics, options, publishing
+
+
+@query("""SELECT l_returnflag, count(*) AS n, CAST(list_sort(list(l_partkey))[1 + count(*) // 2] AS BIGINT) AS upper_median, quantile_disc(l_partkey, 0) AS least, quantile_disc(l_partkey, 1) AS most,
+ CAST(list_sort(list(l_partkey))[1 + CAST(floor(0.9 * (count(*) - 1)) AS BIGINT)] AS BIGINT) AS p90 FROM lineitem GROUP BY 1""")
+def order_values(read) -> DataFrame:
+    places = {"upper_median": order_stats.upper_median, "least": lambda n: F.lit(0), "most": lambda n: n - 1, "p90": order_stats.at_share(0.9)}
+    return order_stats.order_values(read("lineitem"), ["l_returnflag"], "l_partkey", places)
+
+
+@query("""WITH o AS (SELECT o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders)
+SELECT o_orderpriority, count(*) AS n, list_sort(list(v))[1 + count(*) // 2] AS upper_median, list_sort(list(v))[1 + CAST(floor(0.99 * (count(*) - 1)) AS BIGINT)] AS p99, true AS within FROM o GROUP BY 1""")
+def sketched_values(read) -> DataFrame:
+    o = read("orders").select("o_orderkey", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("v"))
+    places, by = {"upper_median": order_stats.upper_median, "p99": order_stats.at_share(0.99)}, ["o_orderpriority"]
+    exact = order_stats.order_values(o, by, "v", places)
+    halves = [order_stats.sketch(o.where(F.col("o_orderkey") % 2 == k), by, "v") for k in (0, 1)]
+    near = order_stats.sketched_values(order_stats.merged(*halves), by, places).select(F.col("o_orderpriority").alias("_p"), *[F.col(p).alias(f"_{p}") for p in places])
+    good = [F.abs(F.col(f"_{p}") - F.col(p)) <= 0.010001 * F.abs(F.col(p)) for p in places]
+    return exact.join(near, F.col("o_orderpriority").eqNullSafe(F.col("_p"))).select("o_orderpriority", "n", *places, (good[0] & good[1]).alias("within"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 5 AS target, (['A', 'B', 'C', 'D'])[1 + p_partkey % 4] AS correct, unnest(['A', 'B', 'C', 'D']) AS o, unnest([p_type, p_brand, '', p_name]) AS t,
+ unnest([p_size % 5, p_partkey % 5, CASE WHEN p_size % 3 > 0 THEN p_size % 3 END, NULL]) AS l FROM part)
+SELECT p_partkey, coalesce(string_agg(o || ':' || t, '|' ORDER BY o) FILTER (o <> correct AND l = target), '') AS target, coalesce(string_agg(o || ':' || t, '|' ORDER BY o) FILTER (o <> correct AND l <> target), '') AS other,
+ coalesce(string_agg(o || ':' || t, '|' ORDER BY o) FILTER (o <> correct AND l IS NULL), '') AS unlabelled FROM p GROUP BY 1""")
+def label_lists(read) -> DataFrame:
+    p, i = read("part"), F.col("p_partkey") % 5
+    texts = {"A": F.col("p_type"), "B": F.col("p_brand"), "C": F.lit(None).cast("string"), "D": F.col("p_name")}
+    labels = {"A": F.col("p_size") % 5, "B": i, "C": F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 3)}
+    wide = p.select("p_partkey", i.alias("wanted"), F.substring(F.lit("ABCD"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)).alias("right"), *[c.alias(f"Answer{o}Text") for o, c in texts.items()], *[c.alias(f"Label{o}Id") for o, c in labels.items()])
+    got = options.label_lists(wide, "Answer(.+)Text", "Label(.+)Id", F.col("right"), F.col("wanted"))
+    line = lambda c: F.array_join(F.transform(c, lambda o: F.concat(o["option"], F.lit(":"), o["text"])), "|").alias(c)
+    return got.select("p_partkey", line("target"), line("other"), line("unlabelled"))
+
+
+@query("SELECT o_orderkey, o_totalprice, 2 AS versions FROM orders")
+def published_table(read) -> DataFrame:
+    o = read("orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    at = _folder(o, "published")
+    rules = {"key": F.col("o_orderkey").isNotNull(), "price": F.col("o_totalprice") > 0}
+    unique = lambda t: checks.violations("unique", checks.not_unique(t, "o_orderkey"))
+    publish.publish(o.where("o_orderstatus = 'O'"), at, rules, unique)
+    publish.publish(o, at, rules, unique, least=1)
+    try:
+        publish.publish(o.unionAll(o), at, rules, unique)
+    except checks.CheckFailed:
+        return publish.current(o.sparkSession, at).select("o_orderkey", "o_totalprice", F.lit(len(publish.versions(o.sparkSession, at))).alias("versions"))
+    raise AssertionError("a table with each key twice was published")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sievework.functions import answers, settings
 from sievework.functions import textkeys as tk
-from sievework.operators import checks, curation, eligibility, exports, llmio, metrics, pairs, rewards, runs, splits, stats
+from sievework.functions.bleu import SPLITS
+from sievework.operators import checks, curation, eligibility, exports, llmio, metrics, options, pairs, rewards, runs, splits, stats
 from sievework.sources import corpora
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -412,9 +413,21 @@ def win_scores(read) -> DataFrame:
     return rewards.win_scores(_schedule(read).withColumn("winner", F.when(c == 0, "A").when(c == 1, "B").otherwise("tie")), "user_id")
 
 
-@query()
+_TOKENS = """replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(text, ''), '\\s+$', ''), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"""
+for _find, _put in SPLITS:
+    _TOKENS = f"regexp_replace({_TOKENS if _find is not SPLITS[0][0] else chr(39) + ' ' + chr(39) + ' || ' + _TOKENS + ' || ' + chr(39) + ' ' + chr(39)}, '{_find}', '{_put}', 'g')"
+
+
+@query(f"""WITH t AS (SELECT row_number() OVER () AS r, conv_id, turn, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' AS void, list_filter(string_split_regex({_TOKENS}, '\\s+'), lambda x: x <> '') AS tok FROM conversations),
+g AS (SELECT conv_id, r, n, gram, count(*) AS c FROM (SELECT conv_id, r, n, unnest(list_transform(range(1, len(tok) - n + 2), lambda i: array_to_string(tok[i:i + n - 1], ' '))) AS gram FROM t, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL),
+m AS (SELECT a.r AS x, b.r AS y, a.n, sum(least(a.c, b.c)) AS m FROM g a JOIN g b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.n = b.n AND a.gram = b.gram AND a.r <> b.r GROUP BY ALL),
+p AS (SELECT a.r AS x, b.r AS y, len(a.tok) AS k, len(b.tok) AS l FROM t a JOIN t b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.r <> b.r),
+q AS (SELECT x, y, k, l, n, k - n + 1 AS total, coalesce(m, 0) AS m FROM p CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) LEFT JOIN m USING (x, y, n) WHERE n <= k),
+z AS (SELECT *, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY x, y ORDER BY n) AS zeros FROM q),
+s AS (SELECT x, y, CASE WHEN max(m) = 0 THEN 0 ELSE exp(avg(ln(CASE WHEN m > 0 THEN m / total ELSE 1 / (2.0 ** zeros * total) END)) + CASE WHEN any_value(k) > any_value(l) THEN 0 ELSE 1 - any_value(l) / any_value(k) END) END AS bleu FROM z GROUP BY 1, 2)
+SELECT conv_id, turn, round(CASE WHEN any_value(void) THEN 0 ELSE least(1, greatest(0, 1 - coalesce(max(bleu), 0))) END, 9) AS diversity FROM t JOIN p ON p.x = t.r LEFT JOIN s ON s.x = p.x AND s.y = p.y GROUP BY r, conv_id, turn""")
 def bleu_diversity(read) -> DataFrame:
-    return rewards.bleu_diversity(read("conversations"), "conv_id", "turn", "text")
+    return rewards.bleu_diversity(read("conversations"), "conv_id", "turn", "text").withColumn("diversity", F.round("diversity", 9))
 
 
 _EDGE = """WITH c AS (SELECT o_custkey % 200 AS g, o_orderpriority AS model, count_if(l_returnflag = 'R') AS a, count(*) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
@@ -523,8 +536,9 @@ def offset_audit(read) -> DataFrame:
 @query("""SELECT p_partkey, option, CASE WHEN text = p_type THEN 'target' WHEN text = '' THEN 'unlabelled' ELSE 'other' END AS kind FROM (
  SELECT p_partkey, p_type, unnest(['A', 'B', 'C', 'D']) AS option, unnest([p_type, p_brand, '', p_name]) AS text FROM part)""")
 def distractor_classify(read) -> DataFrame:
-    p = read("part").select("p_partkey", "p_type", F.stack(F.lit(4), F.lit("A"), "p_type", F.lit("B"), "p_brand", F.lit("C"), F.lit(""), F.lit("D"), "p_name").alias("option", "text"))
-    return p.select("p_partkey", "option", F.when(F.col("text") == F.col("p_type"), "target").when(F.col("text") == "", "unlabelled").otherwise("other").alias("kind"))
+    said = {"A": F.col("p_type"), "B": F.col("p_brand"), "C": F.lit(""), "D": F.col("p_name")}
+    p = read("part").select("p_partkey", "p_type", *[c.alias(f"{part}{o}") for o, c in said.items() for part in ("text", "label")])
+    return options.option_rows(p, ["p_partkey", "p_type"], "text(.)", "label(.)").select("p_partkey", "option", options.kind_of(F.col("label"), F.col("p_type")).alias("kind"))
 
 
 @query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat, count(*) AS turns FROM conversations GROUP BY 1""")
