@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import answers
 from sievework.functions import textkeys as tk
-from sievework.operators import checks, eligibility, llmio, metrics, options, order_stats, pairs, rewards, splits, stats
+from sievework.operators import asking, checks, eligibility, llmio, metrics, options, order_stats, pairs, rewards, splits, stats
 from sievework.plans.queries import SEED, H, query
 from sievework.plans.report import review_and_key
 from sievework.sources import corpora, files, publish
@@ -382,3 +382,15 @@ def published_table(read) -> DataFrame:
     except checks.CheckFailed:
         return publish.current(o.sparkSession, at).select("o_orderkey", "o_totalprice", F.lit(len(publish.versions(o.sparkSession, at))).alias("versions"))
     raise AssertionError("a table with each key twice was published")
+
+
+async def _upper(text: str | None) -> str | None:
+    """A model's place in the catalogue."""
+    return text and text.upper()
+
+
+@query("SELECT conv_id || '/' || turn AS key, upper(any_value(role)) AS answer, true AS ok FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1 HAVING count(DISTINCT role) <= 1")
+def asked_within(read) -> DataFrame:
+    c = read("conversations").where("conv_id is not null and turn is not null").select(F.concat_ws("/", "conv_id", "turn").alias("k"), "role")
+    one = c.join(c.groupBy("k").agg(F.count_distinct("role").alias("n")).where("n < 2"), "k").select("k", "role")
+    return asking.asked_within(one, "k", "role", _upper, _folder(c, "asked"), 8, 64, 10).select("key", "answer", "ok")
