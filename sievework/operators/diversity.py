@@ -17,11 +17,12 @@ _SLACK = 1e-9
 
 
 def _grams(texts: DataFrame, n: int, *carry: str) -> DataFrame:
-    """(_g, _h, carry..., _gram, _c): the n-grams of texts of at least n tokens, as texts (tokens hold no blank)."""
+    """(_g, _id, carry..., _gram, _c): hashes of the n-grams of texts of at least n tokens.  Grams of one hash count as one,
+    which only raises what two texts are taken to share: pairs are chosen by it and scored by their tokens."""
     starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - (n - 1), F.lit(1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice("_t", i, n), " "))
-    rows = texts.where(F.size("_t") >= n).select("_g", "_h", *carry, F.explode(grams).alias("_gram"))
-    return rows.groupBy("_g", "_h", *carry, "_gram").agg(F.count(F.lit(1)).alias("_c"))
+    grams = F.transform(starts, lambda i: F.xxhash64(F.slice("_t", i, n)))
+    rows = texts.where(F.size("_t") >= n).select("_g", "_id", *carry, F.explode(grams).alias("_gram"))
+    return rows.groupBy("_g", "_id", *carry, "_gram").agg(F.count(F.lit(1)).alias("_c"))
 
 
 def _bound(n: int, length: Column, other: Column, matches: Column | None) -> Column:
@@ -61,22 +62,22 @@ def bleu_diversity(rollouts: DataFrame, group: str, item: str, text: str) -> Dat
     sizes = rows.groupBy(F.col("_g").alias("_k")).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     rows = rows.join(sizes, F.col("_g").eqNullSafe(F.col("_k"))).drop("_k", "_size")
     known = rows.groupBy("_g", "_h").agg(F.first("_t").alias("_t"), F.count(F.lit(1)).alias("_n"))
-    texts = stored(known.withColumn("_len", F.size("_t")), "texts")
-    others = texts.select(F.col("_g").alias("_g2"), F.col("_h").alias("_h2"), F.col("_t").alias("_t2"), F.col("_len").alias("_len2"))
-    best = texts.select("_g", "_h", "_t", "_len", F.when((F.col("_n") > 1) & (F.col("_len") > 0), 1.0).otherwise(0.0).alias("_best"), F.lit(False).alias("_done"))
+    texts = stored(known.withColumn("_len", F.size("_t")).withColumn("_id", F.monotonically_increasing_id()), "texts")
+    others = texts.select(F.col("_g").alias("_g2"), F.col("_id").alias("_id2"), F.col("_t").alias("_t2"), F.col("_len").alias("_len2"))
+    best = texts.select("_g", "_h", "_id", "_t", "_len", F.when((F.col("_n") > 1) & (F.col("_len") > 0), 1.0).otherwise(0.0).alias("_best"), F.lit(False).alias("_done"))
     for n in range(ORDER, 0, -1):
         best = best.withColumn("_done", F.col("_done") | (F.col("_len") == 0) | (F.col("_best") >= 1))
         open_ = best.where("not _done")
-        lists = _grams(texts, n, "_len").select(F.col("_g").alias("_g2"), F.col("_h").alias("_h2"), F.col("_len").alias("_len2"), F.col("_gram").alias("_gram2"), F.col("_c").alias("_c2"))
-        met = _grams(open_, n, "_len", "_best").join(lists, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_gram") == F.col("_gram2")) & (F.col("_h") != F.col("_h2")))
-        pairs = met.groupBy("_g", "_h", "_h2", "_len", "_len2", "_best").agg(F.sum(F.least("_c", "_c2")).alias("_m"))
-        pairs = pairs.where(_bound(n, F.col("_len"), F.col("_len2"), F.col("_m")) > F.col("_best") - _SLACK).select("_g", "_h", "_h2")
-        sides = pairs.join(texts.select(F.col("_g").alias("_g1"), F.col("_h").alias("_h1"), "_t"), F.col("_g").eqNullSafe(F.col("_g1")) & (F.col("_h") == F.col("_h1")))
-        sides = sides.withColumnRenamed("_h2", "_other")
-        sides = sides.join(others, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_other") == F.col("_h2")))
-        found = sides.select("_g", "_h", _scores("_t", "_t2").alias("_s")).groupBy(F.col("_g").alias("_g3"), F.col("_h").alias("_h3")).agg(F.max("_s").alias("_s"))
-        best = best.join(found, F.col("_g").eqNullSafe(F.col("_g3")) & (F.col("_h") == F.col("_h3")), "left")
-        best = best.withColumn("_best", F.greatest("_best", F.coalesce("_s", F.lit(0.0)))).drop("_g3", "_h3", "_s")
+        lists = _grams(texts, n, "_len").select(F.col("_g").alias("_g2"), F.col("_id").alias("_id2"), F.col("_len").alias("_len2"), F.col("_gram").alias("_gram2"), F.col("_c").alias("_c2"))
+        met = _grams(open_, n, "_len", "_best").join(lists, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_gram") == F.col("_gram2")) & (F.col("_id") != F.col("_id2")))
+        pairs = met.groupBy("_g", "_id", "_id2", "_len", "_len2", "_best").agg(F.sum(F.least("_c", "_c2")).alias("_m"))
+        pairs = pairs.where(_bound(n, F.col("_len"), F.col("_len2"), F.col("_m")) > F.col("_best") - _SLACK).select("_g", "_id", "_id2")
+        sides = pairs.join(texts.select(F.col("_g").alias("_g1"), F.col("_id").alias("_id1"), "_t"), F.col("_g").eqNullSafe(F.col("_g1")) & (F.col("_id") == F.col("_id1")))
+        sides = sides.withColumnRenamed("_id2", "_other")
+        sides = sides.join(others, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_other") == F.col("_id2")))
+        found = sides.select("_g", "_id", _scores("_t", "_t2").alias("_s")).groupBy(F.col("_g").alias("_g3"), F.col("_id").alias("_id3")).agg(F.max("_s").alias("_s"))
+        best = best.join(found, F.col("_g").eqNullSafe(F.col("_g3")) & (F.col("_id") == F.col("_id3")), "left")
+        best = best.withColumn("_best", F.greatest("_best", F.coalesce("_s", F.lit(0.0)))).drop("_g3", "_id3", "_s")
         # done where a pair without a common n-gram, of the best length, is worse
         best = best.withColumn("_done", F.col("_done") | ((F.col("_len") >= n) & (F.col("_best") > _bound(n, F.col("_len"), F.col("_len"), None) + _SLACK)))
         best = stored(best, "best")
