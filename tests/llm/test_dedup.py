@@ -343,3 +343,21 @@ def test_periodic_texts(spark):
     assert sorted(map(tuple, suffix_dedup.removals(documents(spark, rows)).collect())) == plain_suffix(rows)
     words = [(1, "a " * 9_000), (2, "b " + "a " * 6_000), (3, "x y " * 3_000), (4, "z " + "y x " * 3_500)]
     assert sorted(map(tuple, substring_dedup.removals(documents(spark, words)).collect())) == plain_words(words)
+
+
+def test_only_segments_with_a_common_window_are_sorted(monkeypatch):
+    """Segments that share a key but no window cost a hash a window, not a place in the suffix array."""
+    rng = np.random.default_rng(3)
+    text = lambda n: bytes(rng.integers(97, 123, n, np.uint8))
+    gram = text(20)
+    apart = [text(40) + gram + text(40) for _ in range(500)]
+    common = [b"a" + gram + text(30), None]
+    common[1] = b"b" + common[0][1:]
+    sizes, sort = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s, sigma: sizes.append(len(s)) or sort(s, sigma))
+    segments = [*apart, *common]
+    assert suffix_dedup.match(segments, np.arange(len(segments)), np.zeros(len(segments), int)) == [[] for _ in segments[:-1]] + [[(1, 50)]]
+    assert sizes[0] == sum(map(len, common)) + 3
+    sizes.clear()
+    assert suffix_dedup.match(apart, np.arange(len(apart)), np.zeros(len(apart), int)) == [[] for _ in apart] and not sizes
+    assert suffix_dedup.match([b"x"], np.zeros(1, int), np.zeros(1, int)) == [[]]
