@@ -52,17 +52,19 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, tx.U64), np.zeros(0, np.int32)  # by key
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, keys: list[int], texts: list[str]) -> None:
+    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
         ids, size = self.encode(texts)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
         start = self.used + np.concatenate(([0], np.cumsum(size)))[:-1]
-        self.at.update(zip(keys, range(len(self.start), len(self.start) + len(keys)), strict=True))
+        at = np.searchsorted(self.keys, keys)
+        self.slots = np.insert(self.slots, at, np.arange(len(self.start), len(self.start) + len(keys), dtype=np.int32))
+        self.keys = np.insert(self.keys, at, keys)
         self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
         self.used += len(ids)
 
@@ -87,14 +89,16 @@ class WordTokens:
             first = np.concatenate(([0], np.cumsum(stay)))[first]
             s, e = s[stay], e[stay]
         keys, at, back = np.unique(tx.span_hashes(low, s, e), return_index=True, return_inverse=True)
-        if len(self.at) + len(keys) > REMEMBERED:
+        if len(self.keys) + len(keys) > REMEMBERED:
             self.clear()
-        listed = keys.tolist()
-        slot = np.fromiter((self.at.get(k, -1) for k in listed), np.int64, len(listed))
+        place = np.searchsorted(self.keys, keys)
+        known = np.append(self.keys, tx.U64(0))[place] == keys
+        known[place == len(self.keys)] = False
+        slot = np.where(known, np.append(self.slots, np.int32(0))[place], -1)
         new = np.flatnonzero(slot < 0)
         if len(new):
             n = len(self.start)
-            self.learn([listed[i] for i in new], [raw[a:b].decode() for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
+            self.learn(keys[new], [raw[a:b].decode() for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
             slot[new] = n + np.arange(len(new))
         which = slot[back]
         size = self.size[which]
@@ -144,7 +148,7 @@ def tokenized(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
         words = WordTokens(vocabulary)
         kind = np.uint32 if words.wide else np.uint16
         for batch in batches:
-            for rows, t in tx.chunks(batch, text, 2 * tx.CHUNK_BYTES):
+            for rows, t in tx.chunks(batch, text, tx.CHUNK_BYTES // 2):
                 ids, counts = words(t)
                 key_of = rows.column(key).cast(pa.int64())
                 doc, nulls = np.asarray(key_of.fill_null(0)), np.packbits(np.asarray(key_of.is_null())).tobytes() if key_of.null_count else None

@@ -408,3 +408,23 @@ def plain_representatives(rows, threshold):
                 smallest[a] = smallest[b] = m
                 changed = True
     return {i for i in ids if smallest[i] == i}
+
+
+def test_remembered_words_take_few_bytes():
+    """A dictionary of Python's numbers took over 100 bytes a word."""
+    import tracemalloc
+
+    words = packing.WordTokens(packing.default_vocabulary())
+    text = lambda a, b: packing.tx.Texts(np.frombuffer(b := " ".join(f"w{i}" for i in range(a, b)).encode(), np.uint8), np.array([0, len(b)]))
+    first = words(text(0, 100_000))[0].tolist()
+    words.clear()
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for a in range(0, 100_000, 10_000):
+            words(text(a, a + 10_000))
+        size = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert size < 5_000_000 and len(words.start) == 100_000
+    assert words(text(0, 100_000))[0].tolist() == first and len(words.start) == 100_000
