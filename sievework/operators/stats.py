@@ -7,30 +7,116 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.functions.textkeys import hash_int, hash_rank
+from sievework.functions.textkeys import hash_rank
 from sievework.operators.metrics import ratio
 from sievework.operators.ranks import free, hash_ranked
+from sievework.sources.work import stored
 
 
-def multiplicities(groups: DataFrame, group: str, replicates: int, seed: object) -> DataFrame:
-    """(replicate, group, times) of resampling the groups with replacement: draw i of a replicate takes the group at a
-    hashed place.  Groups are numbered in hash order; draws that take a group are counted before any join."""
-    g = hash_ranked(groups.select(group).distinct(), [], hash_rank(seed, F.col(group)), group).select(group, (F.col("_r") - 1).alias("place"))
-    n = g.agg(F.count(F.lit(1)).alias("n_groups"))
-    draws = g.select(F.col("place").alias("draw")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).join(F.broadcast(n))
-    taken = draws.select("replicate", (hash_int(F.concat_ws("|", F.lit(str(seed)), "replicate", "draw")) % F.col("n_groups")).alias("place")).groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("times"))
-    return taken.join(g, "place").select("replicate", group, "times")
+#: Entries, at most, of a range's table of multiplicities, and draws that a chunk makes.
+DRAWN = 1 << 21
 
 
-def replicate_ratios(counts: DataFrame, times: DataFrame, group: str, over: list[str], num: str, den: str) -> DataFrame:
-    """The ratio in each replicate, from the groups' additive counts."""
-    j = counts.join(times, group)
-    s = j.groupBy(*over, "replicate").agg(F.sum(F.col(num) * F.col("times")).alias("a"), F.sum(F.col(den) * F.col("times")).alias("b"))
-    return s.select(*over, "replicate", ratio(F.col("a"), F.col("b")).alias("value"))
+def _draws(spark: SparkSession, n: int, replicates: int, seed: object, leaf: int) -> DataFrame:
+    """(leaf, drawn): n draws from n places in each replicate; draw i takes the place that the hash of (seed, replicate, i)
+    names.  A row holds the draws of a chunk that fall into a range of `leaf` places, as replicate * leaf + place in it."""
+    size = max(1, DRAWN // replicates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch.column("id").to_pylist():
+                of = range(chunk * size, min(n, (chunk + 1) * size))
+                at = np.empty((replicates, len(of)), np.int64)
+                for r in range(replicates):
+                    head = f"{seed}|{r}|".encode()
+                    hashes = b"".join([hashlib.sha256(head + b"%d" % i).digest() for i in of])
+                    at[r] = np.frombuffer(hashes, ">u4")[::8].astype(np.int64) % n
+                code = (np.arange(replicates)[:, None] * leaf + at % leaf).astype(np.uint32).ravel()
+                to = (at // leaf).ravel()
+                order = np.argsort(to, kind="stable")
+                code, to = code[order], to[order]
+                runs = _runs(to)
+                yield pa.RecordBatch.from_arrays([pa.array([int(to[i]) for i, _ in runs], pa.int64()), pa.array([code[i:j].tobytes() for i, j in runs], pa.binary())], names=["leaf", "drawn"])
+
+    return spark.range(-(-n // size)).mapInArrow(run, "leaf long, drawn binary")
+
+
+def drawn_sums(counts: DataFrame, groups: DataFrame, group: str, over: list[str], columns: list[str], replicates: int, seed: object) -> DataFrame:
+    """(over, replicate, columns): sums of whole numbers over the rows of the groups drawn, each as often as it is drawn;
+    a null is no addend.  All of `groups` are drawn from, numbered in hash order, and each replicate has as many draws; one
+    that hits no row of some `over` has no row for it.
+
+    Draws go packed to the range of places that they hit, and meet its groups' rows there; a task adds up one vector for each
+    of `over` and column, so neither a row for each group and replicate nor a join with them is shuffled."""
+    spark = counts.sparkSession
+    g, place = free(counts, "_group", "_place")
+    numbered = hash_ranked(groups.select(F.col(group).alias(g)).distinct(), [], hash_rank(seed, F.col(g)), g)
+    places = stored(numbered.select(g, (F.col("_r") - 1).alias(place)), "places")
+    n, leaf = places.count(), max(1, DRAWN // replicates)
+    names = [*[f"c{i}" for i in range(len(columns))], "hits"]
+    values = [*[F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in columns], F.lit(1).cast("long")]
+    key = F.to_json(F.struct(*over), {"ignoreNullFields": "false"})
+    at = F.col(place)
+    rows = counts.join(places, F.col(group) == F.col(g)).select(
+        F.floor(at / leaf).alias("leaf"), F.lit(None).cast("binary").alias("drawn"), (at % leaf).cast("int").alias("place"), key.alias("key"), *[v.alias(c) for v, c in zip(values, names, strict=True)]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        now, drawn, times = None, [], None
+        for batch in batches:
+            for i, j in _runs(np.asarray(batch.column("leaf"))):
+                part = batch.slice(i, j - i)
+                if part.column("leaf")[0].as_py() != now:
+                    now, drawn, times = part.column("leaf")[0].as_py(), [], None
+                packed = part.column("drawn")
+                first = len(packed) - packed.null_count  # a range's draws come before its rows
+                drawn += [np.frombuffer(x, np.uint32) for x in packed.slice(0, first).to_pylist()]
+                if first == len(packed):
+                    continue
+                if times is None:
+                    code = np.concatenate(drawn) if drawn else np.zeros(0, np.uint32)
+                    drawn, times = [], np.bincount(code, minlength=replicates * leaf).reshape(replicates, leaf).T.astype(np.float64)
+                part = part.slice(first)
+                places_, keys = np.asarray(part.column("place")), part.column("key").dictionary_encode()
+                held = np.stack([np.asarray(part.column(c)) for c in names])
+                for k, text in enumerate(keys.dictionary.to_pylist()):
+                    own = np.flatnonzero(np.asarray(keys.indices) == k)
+                    made = _product(held[:, own], times[places_[own]])
+                    total[text] = total[text] + made if text in total else made
+        if total:
+            flat = [pa.array([list(v[c]) for v in total.values()], pa.list_(pa.int64())) for c in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *flat], names=["key", *names])
+
+    both = _draws(spark, n, replicates, seed, leaf).unionByName(rows, allowMissingColumns=True)
+    made = both.repartition("leaf").sortWithinPartitions("leaf", F.col("drawn").isNull()).mapInArrow(run, "key string, " + ", ".join(f"{c} array<bigint>" for c in names))
+    return _summed(made, counts, over, columns, names).where("hits > 0").drop("hits")
+
+
+def _product(values: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """values @ times in whole numbers; doubles are faster, and exact below 2 ** 53."""
+    if np.abs(values).sum(axis=1, dtype=np.float64).max(initial=0) * times.max(initial=0) < 1 << 53:
+        return (values.astype(np.float64) @ times).astype(np.int64)
+    return values @ times.astype(np.int64)
+
+
+def _summed(made: DataFrame, counts: DataFrame, over: list[str], columns: list[str], names: list[str]) -> DataFrame:
+    """The tasks' vectors added up: a row for each of `over` and replicate."""
+    each = made.select("key", F.posexplode(F.arrays_zip(*names)).alias("replicate", "v")).groupBy("key", "replicate").agg(*[F.sum(f"v.{c}").alias(c) for c in names])
+    wide = T.StructType([counts.schema[c] for c in over])
+    out = each.withColumn("k", F.from_json("key", wide)) if over else each
+    rest = names[len(columns) :]
+    return out.select(*[F.col(f"k.{c}").alias(c) for c in over], "replicate", *[F.col(n).alias(c) for n, c in zip(names, columns, strict=False)], *rest)
+
+
+def replicate_ratios(counts: DataFrame, group: str, over: list[str], num: str, den: str, replicates: int, seed: object) -> DataFrame:
+    """The ratio in each replicate of drawing the groups with replacement, from their additive counts."""
+    s = drawn_sums(counts, counts, group, over, [num, den], replicates, seed)
+    return s.select(*over, "replicate", ratio(F.col(num), F.col(den)).alias("value"))
 
 
 #: Groups whose multiplicities are drawn together, at the tree's leaves.
@@ -98,10 +184,7 @@ def replicate_sums(counts: DataFrame, group: str, over: list[str], columns: list
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *flat], names=["key", *names])
 
     made = rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "key string, " + ", ".join(f"{c} array<bigint>" for c in names))
-    each = made.select("key", F.posexplode(F.arrays_zip(*names)).alias("replicate", "v")).groupBy("key", "replicate").agg(*[F.sum(f"v.{c}").alias(c) for c in names])
-    wide = T.StructType([counts.schema[c] for c in over])
-    out = each.withColumn("k", F.from_json("key", wide)) if over else each
-    return out.select(*[F.col(f"k.{c}").alias(c) for c in over], "replicate", *[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
+    return _summed(made, counts, over, columns, names)
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -152,14 +235,13 @@ def point_differences(counts: DataFrame, group: str, model: str, reference: str,
     return sums.select(model, (ratio(F.col("a"), F.col("b")) - ratio(F.col("ra"), F.col("rb"))).alias("point"))
 
 
-def paired_difference(counts: DataFrame, times: DataFrame, group: str, model: str, reference: str, num: str, den: str) -> DataFrame:
+def paired_difference(counts: DataFrame, group: str, model: str, reference: str, num: str, den: str, replicates: int, seed: object) -> DataFrame:
     """(model, point, low, high): the difference to the reference with a paired bootstrap's interval.  In a replicate
     model and reference have the same groups, those that both have."""
     base = counts.where(F.col(model) == reference).select(group, F.col(num).alias("_a"), F.col(den).alias("_b"))
-    both = counts.where(F.col(model) != reference).join(base, group).join(times, group)
-    t = F.col("times")
-    sums = both.groupBy(model, "replicate").agg(*[F.sum(F.col(c) * t).alias(n) for c, n in ((num, "a"), (den, "b"), ("_a", "ra"), ("_b", "rb"))])
-    values = sums.select(model, "replicate", (ratio(F.col("a"), F.col("b")) - ratio(F.col("ra"), F.col("rb"))).alias("value"))
+    both = counts.where(F.col(model) != reference).join(base, group)
+    sums = drawn_sums(both, counts, group, [model], [num, den, "_a", "_b"], replicates, seed)
+    values = sums.select(model, "replicate", (ratio(F.col(num), F.col(den)) - ratio(F.col("_a"), F.col("_b"))).alias("value"))
     return point_differences(counts, group, model, reference, num, den).join(interval(values, [model]), model, "left")
 
 

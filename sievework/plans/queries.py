@@ -12,6 +12,7 @@ from sievework.functions import textkeys as tk
 from sievework.functions.bleu import SPLITS
 from sievework.operators import checks, curation, eligibility, exports, llmio, metrics, options, pairs, rewards, runs, splits, stats
 from sievework.sources import corpora
+from sievework.sources.work import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -440,7 +441,7 @@ v AS (SELECT model, replicate, CAST(sum(a * times) AS DOUBLE) / sum(b * times) A
 def _replicates(read) -> DataFrame:
     o = read("orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("g"), F.col("o_orderpriority").alias("model"))
     c = read("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("g", "model").agg(F.count_if(F.col("l_returnflag") == "R").alias("a"), F.count(F.lit(1)).alias("b"))
-    return stats.replicate_ratios(c, stats.multiplicities(c, "g", 50, SEED), "g", ["model"], "a", "b")
+    return stats.replicate_ratios(stored(c, "clusters"), "g", ["model"], "a", "b", 50, SEED)
 
 
 @query(_EDGE + " SELECT model, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high, count(*) AS replicates FROM v GROUP BY 1")
@@ -826,10 +827,10 @@ d AS (SELECT replicate, CAST(('0x' || substr(sha256(concat_ws('|', '7', replicat
 t AS (SELECT replicate, g, count(*) AS times FROM d JOIN g USING (place) GROUP BY 1, 2)"""
 
 
-def _clusters(read) -> tuple[DataFrame, DataFrame]:
+def _clusters(read) -> DataFrame:
     o = read("orders").select("o_orderkey", F.col("o_custkey").alias("g"), F.col("o_orderpriority").alias("model"))
     c = read("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("g", "model").agg(F.count_if(F.col("l_returnflag") == "R").alias("a"), F.count(F.lit(1)).alias("b"))
-    return c, stats.multiplicities(c, "g", 200, SEED)
+    return stored(c, "clusters")
 
 
 @query(_CLUSTERS + """, b AS (SELECT x.model, x.g, x.a, x.b, y.a AS ra, y.b AS rb FROM c x JOIN c y ON x.g = y.g AND y.model = '1-URGENT' WHERE x.model <> '1-URGENT'),
@@ -837,15 +838,14 @@ v AS (SELECT model, replicate, CAST(sum(a * times) AS DOUBLE) / sum(b * times) -
 p AS (SELECT model, CAST(sum(a) AS DOUBLE) / sum(b) - CAST(sum(ra) AS DOUBLE) / sum(rb) AS point FROM b GROUP BY 1)
 SELECT model, round(any_value(point), 9) AS point, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high, count(*) AS replicates FROM v JOIN p USING (model) GROUP BY 1""")
 def paired_difference(read) -> DataFrame:
-    r = stats.paired_difference(*_clusters(read), "g", "model", "1-URGENT", "a", "b")
+    r = stats.paired_difference(_clusters(read), "g", "model", "1-URGENT", "a", "b", 200, SEED)
     return r.select("model", *[F.round(c, 9).alias(c) for c in ("point", "low", "high")], "replicates")
 
 
 @query(_CLUSTERS + """, v AS (SELECT model, replicate, CAST(sum(a * times) AS DOUBLE) / sum(b * times) AS value FROM c JOIN t USING (g) GROUP BY 1, 2), l AS (SELECT model, list_sort(list(value)) AS v FROM v GROUP BY 1)
 SELECT model, round(v[1 + CAST(floor(0.025 * len(v)) AS BIGINT)], 9) AS low, round(v[1 + CAST(floor(0.975 * len(v)) AS BIGINT)], 9) AS high FROM l""")
 def bootstrap_index(read) -> DataFrame:
-    c, times = _clusters(read)
-    r = stats.index_interval(stats.replicate_ratios(c, times, "g", ["model"], "a", "b"), ["model"])
+    r = stats.index_interval(stats.replicate_ratios(_clusters(read), "g", ["model"], "a", "b", 200, SEED), ["model"])
     return r.select("model", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 

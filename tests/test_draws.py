@@ -126,3 +126,27 @@ def test_tree_bootstrap(spark):
     r = stats.tree_paired_difference(counts.where("model is not null"), "g", "model", "base", "a", "b", 200, 4).collect()
     assert len(r) == 1 and r[0]["low"] < r[0]["point"] < r[0]["high"] and r[0]["replicates"] == 200
     assert stats.replicate_sums(counts.where("false"), "g", ["model"], ["a"], 5, 1).count() == 0
+
+
+def test_drawn_sums(spark, monkeypatch):
+    """Hashed draws against a plain version, in ranges of 8 places; draws are rows by chunk and range, not each one."""
+    import hashlib
+
+    rows = [(f"g{i}", m, i % 5, i % 7 + 1) for i in range(37) for m in ("x", "y") if m == "x" or i % 3] + [("g0", "z", None, 2)]
+    counts = spark.createDataFrame(rows, "g string, m string, a long, b long")
+    sha = lambda *x: hashlib.sha256("|".join(map(str, (9, *x))).encode()).hexdigest()
+    groups = sorted({r[0] for r in rows}, key=lambda g: (sha(g), g))
+    plain = {}
+    for rep in range(30):
+        times = Counter(groups[int(sha(rep, i)[:8], 16) % len(groups)] for i in range(len(groups)))
+        for g, m, a, b in rows:
+            if times[g]:
+                s = plain.setdefault((m, rep), [0, 0])
+                s[0] += (a or 0) * times[g]
+                s[1] += b * times[g]
+    for size in (240, 1 << 21):
+        monkeypatch.setattr(stats, "DRAWN", size)
+        got = stats.drawn_sums(counts, counts, "g", ["m"], ["a", "b"], 30, 9).collect()
+        assert len(got) == len(plain) and {(r["m"], r["replicate"]): [r["a"], r["b"]] for r in got} == plain
+    assert stats._draws(spark, 20_000, 200, 7, 10_485).count() == 4  # 4,000,000 draws
+    assert stats.drawn_sums(counts.where("false"), counts.where("false"), "g", ["m"], ["a"], 30, 9).count() == 0
