@@ -145,15 +145,33 @@ def ratio_table(counts: DataFrame, ratios: dict[str, tuple[str, str]] = RATIOS)
 
 def facet_breakdown(df: DataFrame, facets: dict[str, Column], least: int, anchor: str, correct: str, negatives_only: tuple[str, ...] = ()) -> DataFrame:
     """Confusion counts and pair accuracy of each value of each facet.  A row counts once for each facet; facets named
-    in negatives_only have negatives alone.  Pairs are formed within a facet's value, anchor by anchor, so the first
-    of two aggregates is by anchor too."""
-    value = lambda name, c: F.struct(F.lit(name).alias("facet"), F.coalesce(c.cast("string"), F.lit("")).alias("value"))
-    entries = [F.when(F.col("target") == NEGATIVE, value(f, c)) if f in negatives_only else value(f, c) for f, c in facets.items()]
-    rows = df.select("*", F.inline(F.array_compact(F.array(*entries))))
-    per = rows.groupBy("facet", "value", anchor).agg(*confusion(), F.count_distinct("target").alias("_k"), F.min(F.col(correct).cast("int")).alias("_ok"))
-    add = [c for c in per.columns if c not in ("facet", "value", anchor, "_k", "_ok")]
-    out = per.groupBy("facet", "value").agg(*[F.sum(c).alias(c) for c in add], F.count_if(F.col("_k") == 2).alias("pairs"), F.count_if((F.col("_k") == 2) & (F.col("_ok") == 1)).alias("right"))
-    return out.where(F.col("n") >= least).withColumn("pair_accuracy", ratio(F.col("right"), F.col("pairs")))
+    in negatives_only have negatives alone.  Pairs are formed within a facet's value, anchor by anchor.
+
+    Rows of the same facets are counted together before a row is taken for each facet.  For the pairs they are combined by
+    anchor, facets and target, so that a frequent anchor is a few rows, and dealt by anchor: the rows for each facet are
+    made and combined where they lie, and not shuffled."""
+    names = [f"_f{i}" for i in range(len(facets))]
+    value = lambda f, c: F.when(F.col("target") == NEGATIVE, F.coalesce(c.cast("string"), F.lit(""))) if f in negatives_only else F.coalesce(c.cast("string"), F.lit(""))
+    rows = df.select("target", "prediction", F.col(anchor).alias("_anchor"), F.col(correct).cast("int").alias("_ok"), *[value(f, c).alias(n) for (f, c), n in zip(facets.items(), names, strict=True)])
+    entries = [F.when(F.col(n).isNotNull(), F.struct(F.lit(f).alias("facet"), F.col(n).alias("value"))) for f, n in zip(facets, names, strict=True)]
+    each = F.inline(F.array_compact(F.array(*entries)))
+    counts = rows.groupBy(*names).agg(*confusion())
+    add = [c for c in counts.columns if c not in names]
+    counts = counts.select(*add, each).groupBy("facet", "value").agg(*[F.sum(c).alias(c) for c in add]).where(F.col("n") >= least)
+    target, ok = F.col("target"), F.col("_ok")
+    if df.where(~target.isin(POSITIVE, NEGATIVE)).isEmpty():
+        # bits: a right partner, a wrong one, a wrong answer, a right one
+        bit = lambda c, n: F.when(c, n).otherwise(0)
+        bits = bit(target == POSITIVE, 1) + bit(target == NEGATIVE, 2) + bit(ok == 0, 4) + bit(ok == 1, 8)
+        some = rows.groupBy("_anchor", *names).agg(F.bit_or(bits).alias("_b")).repartition("_anchor")
+        per = some.select("_anchor", "_b", each).groupBy("facet", "value", "_anchor").agg(F.bit_or("_b").alias("_b"))
+        per = per.where(F.col("_b").bitwiseAND(3) == 3).withColumn("_ok", F.when(F.col("_b").bitwiseAND(12) == 8, 1))
+    else:
+        some = rows.groupBy("_anchor", *names, "target").agg(F.min("_ok").alias("_ok")).repartition("_anchor")
+        per = some.select("_anchor", "target", "_ok", each).groupBy("facet", "value", "_anchor").agg(F.count_distinct("target").alias("_k"), F.min("_ok").alias("_ok")).where("_k = 2")
+    two = per.groupBy(F.col("facet").alias("_facet"), F.col("value").alias("_value")).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("_ok") == 1).alias("right"))
+    out = counts.join(two, (F.col("facet") == F.col("_facet")) & (F.col("value") == F.col("_value")), "left").drop("_facet", "_value")
+    return out.fillna(0, ["pairs", "right"]).withColumn("pair_accuracy", ratio(F.col("right"), F.col("pairs")))
 
 
 def token_weighted_mean(df: DataFrame, loss: str, tokens: str) -> DataFrame:

@@ -170,3 +170,31 @@ def test_stream_replaces_steps(spark, tmp_path):
         (src / f"{name}.json").write_text(f'{{"step": 7, "v": {v}}}\n')
         rollouts.replace_steps(rollouts.read_rollouts(spark, str(src), schema), str(out), str(tmp_path / "cp"), "step").awaitTermination()
     assert [(r["step"], r["v"]) for r in spark.read.parquet(str(out)).collect()] == [(7, 2)]
+
+
+def test_facet_rows_are_not_shuffled(spark):
+    """What is shuffled for facets doesn't grow with their number; null anchors and frequent ones are as in a plain count."""
+    from collections import defaultdict
+
+    data = [(i % 7 if i % 11 else None, "aligned" if i % 2 else "not_aligned", ("aligned", "not_aligned", "invalid")[i % 3], i % 5, None if i % 4 == 0 else "u") for i in range(300)]
+    df = spark.createDataFrame(data, "g int, target string, prediction string, x int, y string").withColumn("correct", F.expr("target = prediction"))
+    facets = {"x": F.col("x"), "y": F.col("y"), "neg": F.col("x") % 2}
+    got = metrics.facet_breakdown(df, facets, 1, "g", "correct", ("neg",))
+    plain = defaultdict(list)
+    for g, t, p, x, y in data:
+        for f, v in (("x", str(x)), ("y", y or ""), *((("neg", str(x % 2)),) if t == "not_aligned" else ())):
+            plain[f, v].append((g, t, p))
+    want = {}
+    for k, rows in plain.items():
+        by = defaultdict(list)
+        for g, t, p in rows:
+            by[g].append((t, p))
+        two = [r for r in by.values() if len({t for t, _ in r}) == 2]
+        right = sum(all(t == p for t, p in r) for r in two)
+        want[k] = (len(rows), sum(t == p == "aligned" for _, t, p in rows), len(two), right)
+    assert {(r["facet"], r["value"]): (r["n"], r["tp"], r["pairs"], r["right"]) for r in got.collect()} == want
+    exchanges = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("facet" in line and "_anchor" in line for line in exchanges)
+    other = df.withColumn("target", F.expr("case when g = 1 and target = 'aligned' then 'third' else target end"))
+    pairs_of = {(r["facet"], r["value"]): r["pairs"] for r in metrics.facet_breakdown(other, facets, 1, "g", "correct", ("neg",)).collect()}
+    assert pairs_of == {k: v[2] for k, v in want.items()}  # two kinds, whichever
