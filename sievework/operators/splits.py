@@ -3,6 +3,9 @@ their members, and a row's place never depends on rows of other strata."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,23 +196,29 @@ def balanced(df: DataFrame, id_: str, options: list[str], seed: object, split: s
 
 def balanced_exact(df: DataFrame, id_: str, options: str, seed: object, split: str) -> DataFrame:
     """Greedy: in hash order each row takes, of its own options, the least used so far, ties by hash.  Each split is
-    one ordered task, as each choice depends on all before it."""
+    one ordered task, as each choice depends on all before it; its rows are sorted by Spark and stream through, and only
+    how often each option was used is held."""
     import hashlib
 
-    import pandas as pd
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = lambda *x: hashlib.sha256("|".join(map(str, (seed, *x))).encode()).hexdigest()
         used: dict[str, int] = {}
-        rows = rows.assign(_h=[h(i) for i in rows[id_]]).sort_values(["_h", id_])
-        chosen = []
-        for i, own in zip(rows[id_], rows[options], strict=True):
-            best = min(own, key=lambda o: (used.get(o, 0), h(i, o))) if len(own) else None
-            used[best] = used.get(best, 0) + 1
-            chosen.append(best)
-        return rows.assign(option=chosen)[[id_, split, "option"]]
-
-    return df.select(id_, split, options).groupBy(split).applyInPandas(assign, f"{id_} {dict(df.dtypes)[id_]}, {split} {dict(df.dtypes)[split]}, option string")
+        now: object = assign  # no split yet
+        for batch in batches:
+            ids = batch.column(0)
+            chosen = []
+            for text, of, own in zip(*(batch.column(c).to_pylist() for c in ("_text", split, options)), strict=True):
+                if of != now:
+                    now, used = of, {}
+                best = min(own, key=lambda o: (used.get(o, 0), h(text, o))) if own else None
+                used[best] = used.get(best, 0) + 1
+                chosen.append(best)
+            yield pa.RecordBatch.from_arrays([ids, batch.column(split), pa.array(chosen, pa.string())], names=[id_, split, "option"])
+
+    types = dict(df.dtypes)
+    rows = df.select(id_, split, options, F.col(id_).cast("string").alias("_text"), hash_rank(seed, F.col(id_)).alias("_h"))
+    dealt = rows.repartition(split).sortWithinPartitions(split, "_h", id_).drop("_h")
+    return dealt.mapInArrow(assign, f"{id_} {types[id_]}, {split} {types[split]}, option string")
 
 
 def spread_pick(df: DataFrame, category: str, quotas: dict[str, int], stage: str, id_: str, seed: object) -> DataFrame:

@@ -150,3 +150,25 @@ def test_drawn_sums(spark, monkeypatch):
         assert len(got) == len(plain) and {(r["m"], r["replicate"]): [r["a"], r["b"]] for r in got} == plain
     assert stats._draws(spark, 20_000, 200, 7, 10_485).count() == 4  # 4,000,000 draws
     assert stats.drawn_sums(counts.where("false"), counts.where("false"), "g", ["m"], ["a"], 30, 9).count() == 0
+
+
+def test_balanced_exact_streams(spark):
+    """Equal to a plain greedy pass; a split's rows come in batches, so none is held whole."""
+    import hashlib
+
+    rows = [(i, "ab"[i % 2] if i % 9 else None, ["x", "y", "z"][i % 3 :] or None) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, s string, o array<string>")
+    sha = lambda *x: hashlib.sha256("|".join(map(str, (4, *x))).encode()).hexdigest()
+    want, used = {}, {}
+    for i, s, o in sorted(rows, key=lambda r: (sha(r[0]), r[0])):
+        best = min(o, key=lambda c: (used.get((s, c), 0), sha(i, c)))
+        used[s, best] = used.get((s, best), 0) + 1
+        want[i] = (s, best)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = splits.balanced_exact(df, "i", "o", 4, "s")
+        assert {r["i"]: (r["s"], r["option"]) for r in got.collect()} == want
+        assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
