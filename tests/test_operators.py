@@ -198,3 +198,17 @@ def test_facet_rows_are_not_shuffled(spark):
     other = df.withColumn("target", F.expr("case when g = 1 and target = 'aligned' then 'third' else target end"))
     pairs_of = {(r["facet"], r["value"]): r["pairs"] for r in metrics.facet_breakdown(other, facets, 1, "g", "correct", ("neg",)).collect()}
     assert pairs_of == {k: v[2] for k, v in want.items()}  # two kinds, whichever
+
+
+def test_pair_checks_join_no_texts(spark):
+    """Whether a text is blank is told before the joins."""
+    cases = spark.createDataFrame([(1, "d", 1, "train", "ok", False, "")], "sample_id int, dataset string, question_group_id int, split string, description_status string, prompt_dev_group boolean, exclusion_reason string")
+    data = [("aligned", "train", "d", 1, 1, 1, 1, "a", "a", q, "s", "e", 5) for q in ("text", " \n", None)]
+    kinds = "target string, split string, dataset string, anchor_sample_id int, donor_sample_id int, question_group_id int, donor_question_group_id int, anchor_source_error_label string, donor_source_error_label string, question string, solution string, error_description string, n_tokens int"
+    out = checks.pair_checks(cases, spark.createDataFrame(data, kinds), 10)
+    assert {r["name"]: r["detail"] for r in out.collect()}["text.present"] == "2 violations"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join LeftOuter") :]
+    assert "_texts" in below
+    first = plan[: plan.index("Join LeftOuter")]
+    assert "question#" not in first and "solution#" not in first
