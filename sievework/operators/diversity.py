@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from sievework.functions.bleu import token_bleu, token_column
 from sievework.functions.textkeys import blank
@@ -16,13 +17,19 @@ ORDER = 4
 _SLACK = 1e-9
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("_gram", LongType()), StructField("_c", LongType())])))
+def _counted(hashes: pd.Series) -> pd.Series:
+    made = (np.unique(h, return_counts=True) for h in hashes)
+    return pd.Series([[{"_gram": g, "_c": c} for g, c in zip(x.tolist(), n.tolist(), strict=True)] for x, n in made], dtype=object)
+
+
 def _grams(texts: DataFrame, n: int, *carry: str) -> DataFrame:
-    """(_g, _id, carry..., _gram, _c): hashes of the n-grams of texts of at least n tokens.  Grams of one hash count as one,
-    which only raises what two texts are taken to share: pairs are chosen by it and scored by their tokens."""
+    """(_id, carry..., _gram, _c): hashes of the n-grams, with their group, of texts of at least n tokens.  Grams of one
+    hash count as one, which only raises what two texts are taken to share: pairs are chosen by it and scored by their
+    tokens, if they are of one group.  A text's grams are counted where it lies."""
     starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - (n - 1), F.lit(1)))
-    grams = F.transform(starts, lambda i: F.xxhash64(F.slice("_t", i, n)))
-    rows = texts.where(F.size("_t") >= n).select("_g", "_id", *carry, F.explode(grams).alias("_gram"))
-    return rows.groupBy("_g", "_id", *carry, "_gram").agg(F.count(F.lit(1)).alias("_c"))
+    grams = F.transform(starts, lambda i: F.xxhash64("_g", F.slice("_t", i, n)))
+    return texts.where(F.size("_t") >= n).select("_id", *carry, F.inline(_counted(grams)))
 
 
 def _bound(n: int, length: Column, other: Column, matches: Column | None) -> Column:
@@ -68,11 +75,11 @@ def bleu_diversity(rollouts: DataFrame, group: str, item: str, text: str) -> Dat
     for n in range(ORDER, 0, -1):
         best = best.withColumn("_done", F.col("_done") | (F.col("_len") == 0) | (F.col("_best") >= 1))
         open_ = best.where("not _done")
-        lists = _grams(texts, n, "_len").select(F.col("_g").alias("_g2"), F.col("_id").alias("_id2"), F.col("_len").alias("_len2"), F.col("_gram").alias("_gram2"), F.col("_c").alias("_c2"))
-        met = _grams(open_, n, "_len", "_best").join(lists, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_gram") == F.col("_gram2")) & (F.col("_id") != F.col("_id2")))
-        pairs = met.groupBy("_g", "_id", "_id2", "_len", "_len2", "_best").agg(F.sum(F.least("_c", "_c2")).alias("_m"))
-        pairs = pairs.where(_bound(n, F.col("_len"), F.col("_len2"), F.col("_m")) > F.col("_best") - _SLACK).select("_g", "_id", "_id2")
-        sides = pairs.join(texts.select(F.col("_g").alias("_g1"), F.col("_id").alias("_id1"), "_t"), F.col("_g").eqNullSafe(F.col("_g1")) & (F.col("_id") == F.col("_id1")))
+        lists = _grams(texts, n, "_len").select(F.col("_id").alias("_id2"), F.col("_len").alias("_len2"), F.col("_gram").alias("_gram2"), F.col("_c").alias("_c2"))
+        met = _grams(open_, n, "_len", "_best").join(lists, (F.col("_gram") == F.col("_gram2")) & (F.col("_id") != F.col("_id2")))
+        pairs = met.groupBy("_id", "_id2", "_len", "_len2", "_best").agg(F.sum(F.least("_c", "_c2")).alias("_m"))
+        pairs = pairs.where(_bound(n, F.col("_len"), F.col("_len2"), F.col("_m")) > F.col("_best") - _SLACK).select("_id", "_id2")
+        sides = pairs.join(texts.select("_g", F.col("_id").alias("_id1"), "_t"), F.col("_id") == F.col("_id1"))
         sides = sides.withColumnRenamed("_id2", "_other")
         sides = sides.join(others, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_other") == F.col("_id2")))
         found = sides.select("_g", "_id", _scores("_t", "_t2").alias("_s")).groupBy(F.col("_g").alias("_g3"), F.col("_id").alias("_id3")).agg(F.max("_s").alias("_s"))

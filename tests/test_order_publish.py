@@ -107,3 +107,10 @@ def test_diversity_is_that_of_all_pairs(spark, seed):
     key = lambda r: (str(r[0]), r[1], round(r[2], 9))
     assert sorted(map(key, got)) == sorted(map(key, want))
     assert diversity.bleu_diversity(df.where("false"), "_g", "_h", "_t").count() == 0
+
+
+def test_grams_are_counted_without_a_shuffle(spark):
+    df = spark.createDataFrame([("g", 1, ["a", "b", "a", "b"]), (None, 2, ["a"])], "_g string, _id long, _t array<string>")
+    got = diversity._grams(df, 2)
+    assert sorted((r["_id"], r["_c"]) for r in got.collect()) == [(1, 1), (1, 2)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
